@@ -53,8 +53,8 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The runs of ``[^\\x20\\x09-\\x0D]`` in order; none for a null text."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def id_remainder(key: Column, n: int) -> Column:

@@ -53,7 +53,7 @@ def ring(spark: SparkSession, shards: int = SHARDS, vnodes: int = VNODES, cells:
         .withColumnRenamed("id", "cell")
         .join(points, "cell", "left")
         .withColumn("arc", F.count("shard").over(clockwise.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("shard", F.first("shard", ignorenulls=True).over(clockwise.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("shard", F.last("shard", ignorenulls=True).over(Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("shard", F.coalesce("shard", F.first("shard").over(clockwise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     )
 
