@@ -87,6 +87,8 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     )
     cells = spark.range(buckets).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").fillna(0).orderBy("cell")
     raw, target = np.array(cells.select("raw", "target").collect(), np.int64).T + 1  # `buckets` rows
+    if (target == 1).all():
+        return np.zeros(buckets, np.int64)
     return np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * UNIT).astype(np.int64)
 
 
@@ -109,7 +111,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus the base counts, ``llr`` and ``kept``; a text without an n-gram has a null ``llr`` and goes.
 
-    Without any trusted document all weights are nearly even and the base rules decide. Columns of these names are replaced.
+    Without any trusted document all weights are 0 and the base rules decide. Columns of these names are replaced.
     """
     weights = ratio_weights(docs, trusted_ids(labels), key, text)
     out = ratio_scores(base_counts(hashed_words(docs, text), text), weights)

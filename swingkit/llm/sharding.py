@@ -66,7 +66,7 @@ def place(rows: DataFrame, key: str, order: list[str], shards: int = SHARDS, vno
     """
     spark = rows.sparkSession
     kept = [c for c in rows.columns if c not in ("shard", "slot", "moved")]
-    spread = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"))).otherwise(F.xxhash64(*order))
+    spread = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"))).otherwise(F.xxhash64(*(order or [key])))
     placed = checkpointed(
         rows.select(F.struct(*kept).alias("row"), spread.alias("hash"), F.struct(key, *order).alias("tie")).withColumn("cell", F.pmod("hash", F.lit(cells)))
     )

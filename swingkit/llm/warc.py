@@ -58,7 +58,8 @@ def records(typed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row for each WARC record, without its last line end: ``value``; the chunks of a payload follow one another."""
     safe = F.split("payload", r"(?<=WARC)(?=/1\.1\r\n)")
     body = F.when(F.col("record_type") == "revisit", F.array(F.lit(""))).otherwise(F.flatten(F.transform(safe, lambda p: _chunks(p, chunk))))
-    rows = typed.withColumn("record_id", F.expr("uuid()")).select("*", F.size(body).alias("chunks"), F.posexplode(body).alias("number", "chunk"))
+    rows = typed.withColumns({"record_id": F.expr("uuid()"), "body": body}).drop("payload")
+    rows = rows.select("*", F.size("body").alias("chunks"), F.posexplode_outer("body").alias("number", "chunk")).drop("body")
     first = F.col("number") == 0
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(LINE))
     return rows.select(
