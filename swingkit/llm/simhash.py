@@ -29,6 +29,8 @@ BANDS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of a shard that get a tree at most.
 MOST = 2048
 _BLOCK = 1 << 15
+#: Nodes to a partition of the tables that are checkpointed while components are found.
+_PART = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -126,12 +128,12 @@ def _tree_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
-    """Links ``a``, ``b`` between the distinct ``fp`` of a table that connect all within RADIUS bits."""
+def links(fingerprints: DataFrame, most: int = MOST, parts: int = 1) -> DataFrame:
+    """Links ``a``, ``b`` between the distinct ``fp`` of a table that connect all within RADIUS bits. ``parts``: partitions of what is kept."""
     bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1).alias("value")) for k, (at, width) in enumerate(BANDS)))
     shards = fingerprints.select("fp", F.explode(bands).alias("b")).select("fp", (F.col("b.value") * len(BANDS) + F.col("b.band")).alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = checkpointed(shards.join(sizes, "shard"))
+    shared = checkpointed(shards.join(sizes, "shard").coalesce(parts))
     from_trees = shared.filter(F.col("n") <= most).repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp").mapInPandas(_tree_links, "a long, b long")
     near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     from_neighbours = (
@@ -140,23 +142,28 @@ def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
         .filter("a <> fp")
         .select("a", F.col("fp").alias("b"))
     )
-    return from_trees.unionByName(from_neighbours).distinct()
+    return from_trees.unionByName(from_neighbours)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` (the component's least node) for every node of the edges ``a``, ``b`` that isn't a root."""
-    now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+def components(edges: DataFrame, parts: int = 1) -> DataFrame:
+    """``node``, ``root`` (the component's least node) for every node of the edges ``a``, ``b`` that isn't a root.
+
+    Large-star and small-star steps until every node has one edge, to a node that has none of its own. Each step keeps
+    a table of ``parts`` partitions in the shared folder.
+    """
+
+    def step(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return now, now.groupBy("u").agg(F.min("v").alias("m"))
+
+    kept = lambda df: checkpointed(df.filter("u <> v").distinct().coalesce(parts))
+    now = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
-        large = checkpointed(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = checkpointed(small.filter("u <> v").distinct())
-        before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == mark:
+        both, least = step(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        now, least = step(kept(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        now = kept(now.join(least, "u").select(F.explode(ends).alias("e")).select("e.*"))
+        twice = now.groupBy("u").count().filter("count > 1").select("u")
+        if twice.unionByName(now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -172,8 +179,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.Series([fingerprint(x) for x in batch], dtype="int64")
 
     marked = checkpointed(docs.select(F.col(key).alias("_key"), F.pandas_udf(fingerprints, "long")(F.col(text)).alias("fp")))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("_key").alias("least")))
-    roots = components(links(nodes.select("fp")))
+    parts = 1 + marked.count() // _PART
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("_key").alias("least")).coalesce(parts))
+    roots = components(links(nodes.select("fp"), parts=parts), parts)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("_key").alias(key), "fp", "component_id")
