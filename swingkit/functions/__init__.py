@@ -1,0 +1 @@
+"""functions of the price-pattern engine."""
