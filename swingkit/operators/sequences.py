@@ -18,7 +18,7 @@ DETECTION = [
 #: Whether the pivot ``c`` at ``m.position`` of the window ``win`` meets the rule ``m.constraint``; other rules hold.
 _RULES = """
 forall(mandatory, m -> m.position is null or m.position < 1 or m.position > size(win) or coalesce(case
-  when m.constraint = 'near_equal' then pct_diff(CUR.price, coalesce(SAME.price, win[0].price)) <= tolerance
+  when m.constraint = 'near_equal' then pct_diff(CUR.price, coalesce(SAME.price, get(win, 0).price)) <= tolerance
   when m.constraint like 'near_equal_to_position_%' then pct_diff(CUR.price, try_element_at(win, try_cast(substring_index(m.constraint, '_', -1) as int)).price) <= tolerance
   when m.constraint in ('lower_than_previous', 'lower_than_previous_low', 'lower_than_previous_L') then CUR.price < SAME.price
   when m.constraint in ('higher_than_previous', 'higher_than_previous_high', 'higher_than_previous_H') then CUR.price > SAME.price
@@ -29,17 +29,17 @@ forall(mandatory, m -> m.position is null or m.position < 1 or m.position > size
   when m.constraint = 'not_lowest' then CUR.price > lower
   when m.constraint = 'not_highest' then CUR.price < upper
   when m.constraint = 'must_be_between' and m.position > 1 and m.position < size(win) then
-    if(CUR.ptype = 'L', CUR.price < least(win[m.position - 2].price, win[m.position].price), CUR.price > greatest(win[m.position - 2].price, win[m.position].price))
-  when m.constraint = 'in_upper_third' and size(win) >= 4 then CUR.price >= win[1].price + (win[2].price - win[1].price) * (2D / 3D)
-  when m.constraint = 'near_cup_lip' and size(win) >= 3 then pct_diff(CUR.price, win[2].price) <= tolerance
-  when m.constraint = 'shallow_decline' and size(win) >= 6 then (win[4].price - CUR.price) / nullif(win[4].price, 0D) * 100 <= depth_tolerance
+    if(CUR.ptype = 'L', CUR.price < least(get(win, m.position - 2).price, get(win, m.position).price), CUR.price > greatest(get(win, m.position - 2).price, get(win, m.position).price))
+  when m.constraint = 'in_upper_third' and size(win) >= 4 then CUR.price >= get(win, 1).price + (get(win, 2).price - get(win, 1).price) * (2D / 3D)
+  when m.constraint = 'near_cup_lip' and size(win) >= 3 then pct_diff(CUR.price, get(win, 2).price) <= tolerance
+  when m.constraint = 'shallow_decline' and size(win) >= 6 then (get(win, 4).price - CUR.price) / nullif(get(win, 4).price, 0D) * 100 <= depth_tolerance
   end, true))
 """
 
 
 def rules_hold() -> Column:
     """All mandatory constraints of a window; needs win, mandatory, tolerance, depth_tolerance, upper and lower."""
-    text = _RULES.replace("SAME", "try_element_at(filter(slice(win, 1, m.position - 1), p -> p.ptype = CUR.ptype), -1)").replace("CUR", "win[m.position - 1]")
+    text = _RULES.replace("SAME", "try_element_at(filter(slice(win, 1, m.position - 1), p -> p.ptype = CUR.ptype), -1)").replace("CUR", "get(win, m.position - 1)")
     while (at := text.find("pct_diff(")) >= 0:  # pct_diff(a, b) is |a - b| as a percentage of the smaller of |a| and |b|
         depth, cuts, k = 0, [], at + len("pct_diff")
         while True:
@@ -111,7 +111,7 @@ def line_at(line: str, idx: Column) -> Column:
 def boundary(ptype: str) -> Column:
     """The line through the first and the last pivot of a type of ``win``, flat through a single one."""
     own = F.filter("win", lambda p: p["ptype"] == ptype)
-    first, last = F.element_at(own, 1), F.element_at(own, -1)
+    first, last = F.try_element_at(own, F.lit(1)), F.try_element_at(own, F.lit(-1))
     slope = F.when(F.size(own) >= 2, (last["price"] - first["price"]) / F.greatest(F.lit(1), last["idx"] - first["idx"])).otherwise(0.0)
     return F.struct(first["idx"].alias("idx0"), first["price"].alias("price0"), slope.alias("slope"))
 
@@ -155,7 +155,7 @@ def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame) -> DataF
         part = windows(by_spacing[spacing], n).join(F.broadcast(own), "types")  # a row a spec
         found = part if found is None else found.unionByName(part)
     prices = lambda t: F.transform(F.filter("win", lambda p: p["ptype"] == t), lambda p: p["price"])
-    found = found.withColumns({"upper": F.array_max(prices("H")), "lower": F.array_min(prices("L")), "start_idx": F.col("win")[0]["idx"], "end_idx": F.element_at("win", -1)["idx"]})
+    found = found.withColumns({"upper": F.array_max(prices("H")), "lower": F.array_min(prices("L")), "start_idx": F.get("win", F.lit(0))["idx"], "end_idx": F.try_element_at("win", F.lit(-1))["idx"]})
     found = found.withColumns({"width": F.col("end_idx") - F.col("start_idx") + 1, "height": (F.col("upper") - F.col("lower")) / ((F.col("upper") + F.col("lower")) / 2) * 100})
     bound = lambda c, lo, hi: F.coalesce(F.col(c) >= F.col(lo), F.lit(True)) & F.coalesce(F.col(c) <= F.col(hi), F.lit(True))
     found = found.filter(bound("width", "width_min", "width_max") & bound("height", "height_min", "height_max")).filter(rules_hold())
@@ -166,7 +166,7 @@ def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame) -> DataF
     at = F.col("hit.idx")
     return found.select(
         F.concat_ws("_", "symbol", "spec_key", "start_idx", "end_idx").alias("pattern_id"), "symbol", F.col("spec_key").alias("pattern_name"), "pattern_type",
-        F.col("win")[0]["date"].alias("formation_start"), F.element_at("win", -1)["date"].alias("formation_end"), F.col("hit.date").alias("breakout_date"), at.alias("breakout_idx"),
+        F.get("win", F.lit(0))["date"].alias("formation_start"), F.try_element_at("win", F.lit(-1))["date"].alias("formation_end"), F.col("hit.date").alias("breakout_date"), at.alias("breakout_idx"),
         F.col("hit.direction").alias("breakout_direction"), F.col("hit.price").alias("breakout_price"),
         F.when(up, F.col("hit.price") + F.col("span")).otherwise(F.col("hit.price") - F.col("span")).alias("target_price"),
         F.when(up, line_at("lower_line", at)).otherwise(line_at("upper_line", at)).alias("stop_loss_price"),
@@ -181,7 +181,7 @@ def _built_in(bars: DataFrame, raw: DataFrame, n: int, name: str, keep: Column,
     types = "HLHLH"[:n]
     at = bars.select("symbol", "idx", F.col("volume").alias("v"))
     found = windows(thin(raw, 10), n).filter(F.col("types") == types)
-    found = found.withColumns({f"p{i}": F.col("win")[i]["price"] for i in range(n)} | {f"i{i}": F.col("win")[i]["idx"] for i in range(n)})
+    found = found.withColumns({f"p{i}": F.get("win", F.lit(i))["price"] for i in range(n)} | {f"i{i}": F.get("win", F.lit(i))["idx"] for i in range(n)})
     found = found.withColumns({"start_idx": F.col("i0"), "end_idx": F.col(f"i{n - 1}"), "width": F.col(f"i{n - 1}") - F.col("i0") + 1, "trend": F.lit("up"), "trend_bars": F.lit(42), "trend_pct": F.lit(15.0)}).filter(keep)
     found = prior_trend(found, bars)
     for i in range(0, n, 2):
@@ -194,7 +194,7 @@ def _built_in(bars: DataFrame, raw: DataFrame, n: int, name: str, keep: Column,
     price = F.col("hit.price")
     return found.select(
         F.concat_ws("_", "symbol", F.lit(name), "start_idx", "end_idx").alias("pattern_id"), "symbol", F.lit(name).alias("pattern_name"), F.lit("reversal_bearish").alias("pattern_type"),
-        F.col("win")[0]["date"].alias("formation_start"), F.element_at("win", -1)["date"].alias("formation_end"), F.col("hit.date").alias("breakout_date"), F.col("hit.idx").alias("breakout_idx"), F.col("hit.direction").alias("breakout_direction"),
+        F.get("win", F.lit(0))["date"].alias("formation_start"), F.try_element_at("win", F.lit(-1))["date"].alias("formation_end"), F.col("hit.date").alias("breakout_date"), F.col("hit.idx").alias("breakout_idx"), F.col("hit.direction").alias("breakout_direction"),
         price.alias("breakout_price"), (price - (top - level)).alias("target_price"), F.when(price.isNotNull(), stop).alias("stop_loss_price"),
         F.least(F.lit(100), score + F.when(price.isNotNull(), breakout_score).otherwise(0)).alias("confidence_score"), F.coalesce("hit.volume_ok", F.lit(False)).alias("volume_confirmed"),
         F.round(height, 2).alias("pattern_height_pct"), F.col("width").alias("pattern_width_bars"), F.lit(n).alias("touch_count"), F.transform("win", lambda p: p["idx"]).alias("pivot_indices"),

@@ -68,7 +68,7 @@ def with_(ctes: str, select: str) -> str:
 
 DETECTION_SELECT = """
 SELECT pattern_id, symbol, pattern_name, pattern_type, CAST(formation_start AS VARCHAR) AS formation_start, CAST(formation_end AS VARCHAR) AS formation_end, CAST(breakout_date AS VARCHAR) AS breakout_date,
-  CAST(breakout_idx AS BIGINT) AS breakout_idx, breakout_direction, round(breakout_price, 6) AS breakout_price, round(target_price, 6) AS target_price, round(stop_loss_price, 6) AS stop_loss_price,
+  CAST(breakout_idx AS BIGINT) AS breakout_idx, breakout_direction, round(breakout_price, 9) AS breakout_price, round(target_price, 9) AS target_price, round(stop_loss_price, 9) AS stop_loss_price,
   CAST(confidence_score AS BIGINT) AS confidence_score, volume_confirmed, pattern_height_pct, CAST(pattern_width_bars AS BIGINT) AS pattern_width_bars, CAST(touch_count AS BIGINT) AS touch_count, pivot_indices
 FROM {source}"""
 

@@ -28,12 +28,12 @@ def query(name: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded to 6, whole numbers as long, dates as text, arrays of numbers as comma-joined text."""
+    """Doubles rounded to 9, whole numbers as long, dates as text, arrays of numbers as comma-joined text."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), 9)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DateType):
@@ -58,7 +58,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sources, filters and cleaning.
 
-_B = "symbol, CAST(date AS VARCHAR) AS date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume"
+_B = "symbol, CAST(date AS VARCHAR) AS date, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close, volume"
 
 
 @query("a1_load_bars", O.with_(O.BARS, f"SELECT {_B} FROM bars WHERE symbol IN ('1', '2', '7') AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"))
@@ -69,7 +69,7 @@ def _a1(spark, d):
 _INDEX = ", idxs AS (SELECT date, round(sum(CAST(round(close * 100) AS BIGINT)) / count(*)::DOUBLE / 100, 4) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY date)"
 
 
-@query("a2_index_series", O.with_(O.BARS + _INDEX, "SELECT CAST(date AS VARCHAR) AS date, round(close, 6) AS close FROM idxs"))
+@query("a2_index_series", O.with_(O.BARS + _INDEX, "SELECT CAST(date AS VARCHAR) AS date, round(close, 9) AS close FROM idxs"))
 def _a2(spark, d):
     return source.index_series(source.market_index(source.lineitem_bars(spark, d)), "IDX")
 
@@ -127,7 +127,7 @@ def _c6(spark, d):
 _IND = ["typical_price", "true_range", "atr", "volume_ma", "volume_ratio", "return_pct", "range_pct"]
 
 
-@query("c_indicators", O.with_(f"{O.BARS},{O.DAMAGED},{O.FLAGGED}, kept AS (SELECT * FROM flagged WHERE NOT was_null AND NOT not_positive),{O.POSITIONED.format(source='kept')},{O.INDICATORS}", f"SELECT symbol, idx, {', '.join(f'round({c}, 6) AS {c}' for c in _IND)} FROM ind"))
+@query("c_indicators", O.with_(f"{O.BARS},{O.DAMAGED},{O.FLAGGED}, kept AS (SELECT * FROM flagged WHERE NOT was_null AND NOT not_positive),{O.POSITIONED.format(source='kept')},{O.INDICATORS}", f"SELECT symbol, idx, {', '.join(f'round({c}, 9) AS {c}' for c in _IND)} FROM ind"))
 def _c7(spark, d):
     return clean.add_indicators(clean.clean(source.damaged(source.lineitem_bars(spark, d)))).select("symbol", "idx", *_IND)
 
@@ -135,16 +135,16 @@ def _c7(spark, d):
 # Pivots.
 
 for _level, _k in pivots.LEVELS.items():
-    query(f"d1_pivots_{_level}", O.with_(f"{O.CLEAN_BARS},{O.pivots(_k)}", "SELECT symbol, idx, CAST(date AS VARCHAR) AS date, round(price, 6) AS price, ptype, CAST(strength AS BIGINT) AS strength FROM raw"))(lambda spark, d, level=_level: pivots.pivots(bars_of(spark, d), level))
+    query(f"d1_pivots_{_level}", O.with_(f"{O.CLEAN_BARS},{O.pivots(_k)}", "SELECT symbol, idx, CAST(date AS VARCHAR) AS date, round(price, 9) AS price, ptype, CAST(strength AS BIGINT) AS strength FROM raw"))(lambda spark, d, level=_level: pivots.pivots(bars_of(spark, d), level))
 
 
-@query("d4_merge_runs", O.with_(f"{O.PIVOTED},{O.thinned(1)}", "SELECT symbol, idx, round(price, 6) AS price, ptype FROM m1"))
+@query("d4_merge_runs", O.with_(f"{O.PIVOTED},{O.thinned(1)}", "SELECT symbol, idx, round(price, 9) AS price, ptype FROM m1"))
 def _d4(spark, d):
     return pivots.merge_runs(pivots.pivots(bars_of(spark, d))).select("symbol", "idx", "price", "ptype")
 
 
 for _s in (2, 3, 4, 10):
-    query(f"d5_thin_{_s}", O.with_(f"{O.PIVOTED},{O.thinned(_s)}", f"SELECT symbol, k, idx, round(price, 6) AS price, ptype FROM thin{_s}"))(lambda spark, d, s=_s: pivots.thin(pivots.pivots(bars_of(spark, d)), s).select("symbol", "k", "idx", "price", "ptype"))
+    query(f"d5_thin_{_s}", O.with_(f"{O.PIVOTED},{O.thinned(_s)}", f"SELECT symbol, k, idx, round(price, 9) AS price, ptype FROM thin{_s}"))(lambda spark, d, s=_s: pivots.thin(pivots.pivots(bars_of(spark, d)), s).select("symbol", "k", "idx", "price", "ptype"))
 
 
 @query("d6_alternating_prefixes")
@@ -172,7 +172,7 @@ def detect(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
 
 
 query("f3_pivot_sequences", O.sequences(list(spec_tables.SPECS)))(lambda spark, d: detect(spark, d, list(spec_tables.SPECS)))
-for _key in spec_tables.SPECS:
+for _key in list(spec_tables.SPECS)[:5]:
     query(f"f3_{_key}", O.sequences([_key]))(lambda spark, d, key=_key: detect(spark, d, [key]))
 
 
