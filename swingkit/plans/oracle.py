@@ -124,7 +124,7 @@ def sequence_detections(key: str, name: str = "det", search: str = "ind") -> str
   WHERE ({can('up')} AND x.close > {upper} * {1 + thr}::DOUBLE) OR ({can('down')} AND x.close < {lower} * {1 - thr}::DOUBLE)
   QUALIFY row_number() OVER (PARTITION BY m.symbol, m.k ORDER BY x.idx) = 1),
 {name} AS (SELECT m.symbol || '_{key}_' || i1 || '_' || i{n} AS pattern_id, m.symbol, '{key}' AS pattern_name, '{kind}' AS pattern_type, d1 AS formation_start, d{n} AS formation_end, h.date AS breakout_date, h.idx AS breakout_idx, h.way AS breakout_direction,
-    h.close AS breakout_price, CASE WHEN h.way = 'up' THEN h.close + span ELSE h.close - span END AS target_price, CASE WHEN h.way = 'up' THEN lo_at ELSE up_at END AS stop_loss_price,
+    h.close AS breakout_price, CASE WHEN h.way = 'up' THEN h.close + span ELSE h.close - span END AS target_price, CASE WHEN h.way = 'up' THEN lo_at ELSE up_at END AS stop_loss_price, CASE WHEN h.way = 'up' THEN up_at ELSE lo_at END AS breakout_level,
     70 + CASE WHEN h.vol THEN 10 ELSE 0 END + CASE WHEN h.idx IS NOT NULL THEN 10 ELSE 0 END AS confidence_score, coalesce(h.vol, FALSE) AS volume_confirmed, round(height, 2) AS pattern_height_pct, width AS pattern_width_bars, {n} AS touch_count,
     {" || ',' || ".join(f"i{k}" for k in range(1, n + 1))} AS pivot_indices
   FROM {name}_m m LEFT JOIN {name}_h h ON h.symbol = m.symbol AND h.k = m.k WHERE span > 0)"""
@@ -168,3 +168,126 @@ found AS (SELECT m.symbol || '_{name}_' || i0 || '_' || {last} AS pattern_id, m.
     least(100, {score} + CASE WHEN h.idx IS NOT NULL THEN {points} ELSE 0 END) AS confidence_score, coalesce(h.vol, FALSE) AS volume_confirmed, round({height}, 2) AS pattern_height_pct, {last} - i0 + 1 AS pattern_width_bars, {n} AS touch_count,
     {" || ',' || ".join(f"i{k}" for k in range(n))} AS pivot_indices FROM w1 m LEFT JOIN hit h ON h.symbol = m.symbol AND h.k = m.k)"""
     return with_(ctes, DETECTION_SELECT.format(source="found") + " WHERE confidence_score >= 60")
+
+
+_L = "lag({c}, {n}) OVER w AS {c}{k}"
+
+
+def bar_local(inner: str, window: str, where: str, columns: str) -> str:
+    """Detections of one bar-local pattern: columns by windows, a condition, and the detection's columns."""
+    ctes = f"{CLEAN_BARS}, b AS (SELECT *, {window} FROM ind WINDOW w AS (PARTITION BY symbol ORDER BY idx)), c AS (SELECT * {inner} FROM b), found AS (SELECT symbol, {columns} FROM c WHERE {where})"
+    return with_(ctes, DETECTION_SELECT.format(source="found"))
+
+
+def columns(key: str, kind: str, start: str, end: str, **values: str) -> str:
+    given = {
+        "pattern_id": f"symbol || '_{key}_' || ({start}) || '_' || ({end})", "pattern_name": f"'{key}'", "pattern_type": f"'{kind}'", "volume_confirmed": "FALSE", "target_price": "NULL::DOUBLE", "stop_loss_price": "NULL::DOUBLE",
+        "formation_start": "date", "formation_end": "date", "breakout_date": "date", "breakout_idx": "idx", "breakout_price": "close",
+    } | values
+    return ", ".join(f"{v} AS {k}" for k, v in given.items())
+
+
+BOTH = "continuation_both"
+INSIDE = bar_local(
+    ", CASE WHEN c1 > high * 1.005::DOUBLE THEN 'up' WHEN c1 < low * 0.995::DOUBLE THEN 'down' END AS w1, CASE WHEN c2 > high * 1.005::DOUBLE THEN 'up' WHEN c2 < low * 0.995::DOUBLE THEN 'down' END AS w2",
+    "lag(high) OVER w AS h0, lag(low) OVER w AS l0, lag(date) OVER w AS d0, lead(close) OVER w AS c1, lead(close, 2) OVER w AS c2, lead(date) OVER w AS d1, lead(date, 2) OVER w AS d2",
+    "high < h0 AND low > l0 AND high > low AND coalesce(w1, w2) IS NOT NULL",
+    columns("inside_day", BOTH, "idx - 1", "idx", formation_start="d0", breakout_date="CASE WHEN w1 IS NOT NULL THEN d1 ELSE d2 END", breakout_idx="CASE WHEN w1 IS NOT NULL THEN idx + 1 ELSE idx + 2 END", breakout_direction="coalesce(w1, w2)",
+            breakout_price="CASE WHEN w1 IS NOT NULL THEN c1 ELSE c2 END", target_price="CASE WHEN w1 IS NOT NULL THEN c1 ELSE c2 END + CASE WHEN coalesce(w1, w2) = 'up' THEN high - low ELSE low - high END", stop_loss_price="CASE WHEN coalesce(w1, w2) = 'up' THEN low ELSE high END",
+            confidence_score="70", pattern_height_pct="round((high - low) / ((high + low) / 2) * 100, 2)", pattern_width_bars="2", touch_count="2", pivot_indices="(idx - 1) || ',' || idx"),
+)
+
+
+def gap_columns(least: float) -> tuple[str, str]:
+    window = "lag(high) OVER w AS h0, lag(low) OVER w AS l0"
+    inner = f", CASE WHEN low > h0 * {1 + least / 100}::DOUBLE THEN 'up' WHEN high < l0 * {1 - least / 100}::DOUBLE THEN 'down' END AS gap"
+    return window, inner
+
+
+_G = gap_columns(0.1)
+GAPS = bar_local(
+    _G[1], _G[0], "gap IS NOT NULL",
+    columns("gaps", BOTH, "idx", "idx", breakout_direction="gap", target_price="CASE WHEN gap = 'up' THEN close + (low - h0) ELSE close - (l0 - high) END", stop_loss_price="CASE WHEN gap = 'up' THEN h0 ELSE l0 END", confidence_score="65",
+            pattern_height_pct="round(CASE WHEN gap = 'up' THEN (low - h0) / ((low + h0) / 2) ELSE (l0 - high) / ((l0 + high) / 2) END * 100, 3)", pattern_width_bars="1", touch_count="1", pivot_indices="(idx - 1) || ',' || idx"),
+)
+SPIKES = bar_local(
+    "", "lag(close) OVER w AS c0", "c0 > 0 AND (high - low) / c0 >= 0.03::DOUBLE",
+    columns("spike_formation", BOTH, "idx", "idx", breakout_direction="CASE WHEN close >= open THEN 'up' ELSE 'down' END", target_price="CASE WHEN close >= open THEN close + (high - low) ELSE close - (high - low) END", stop_loss_price="CASE WHEN close >= open THEN low ELSE high END",
+            confidence_score="70", pattern_height_pct="round((high - low) / c0 * 100, 2)", pattern_width_bars="1", touch_count="1", pivot_indices="CAST(idx AS VARCHAR)"),
+)
+_M = " AND ".join(f"high{k} <= high1 AND low{k} >= low1 AND abs(close{k} - open{k}) <= abs(close1 - open1) * 0.5::DOUBLE" for k in (2, 3, 4))
+THREE_METHODS = bar_local(
+    ", CASE WHEN close1 > open1 AND close > open AND close > close1 THEN 'up' WHEN close1 < open1 AND close < open AND close < close1 THEN 'down' END AS way, coalesce(nullif(atr1, 0), atr) AS a",
+    ", ".join(_L.format(c=c, n=5 - k, k=k) for k in range(1, 5) for c in ("open", "close", "high", "low", "date")) + ", lag(atr, 4) OVER w AS atr1",
+    f"way IS NOT NULL AND a > 0 AND abs(close1 - open1) >= 1.5 * a AND abs(close - open) >= 1.5 * a AND high1 > low1 AND {_M}",
+    columns("rising_falling_three_methods", BOTH, "idx - 4", "idx", formation_start="date1", breakout_direction="way", target_price="CASE WHEN way = 'up' THEN close + (high1 - low1) ELSE close - (high1 - low1) END", stop_loss_price="CASE WHEN way = 'up' THEN low1 ELSE high1 END",
+            confidence_score="80", pattern_height_pct="round((high1 - low1) / ((high1 + low1) / 2) * 100, 2)", pattern_width_bars="5", touch_count="5", pivot_indices="(idx - 4) || ',' || (idx - 3) || ',' || (idx - 2) || ',' || (idx - 1) || ',' || idx"),
+)
+INVERTED = bar_local(
+    ", (close - c0) / c0 * 100 AS move", "count(*) OVER (PARTITION BY symbol) AS n, lag(close) OVER w AS c0, lag(high) OVER w AS h0, lag(date) OVER w AS d0, lead(high) OVER w AS high2, lead(low) OVER w AS low2, lead(close) OVER w AS close2, lead(date) OVER w AS date2",
+    "n >= 10 AND c0 > 0 AND move >= 5 AND high2 > high AND low2 > low AND close2 > 0",
+    columns("dead_cat_bounce_inverted", "event_bearish", "idx", "idx + 1", formation_start="d0", formation_end="date2", breakout_date="date2", breakout_idx="idx + 1", breakout_direction="'down'", breakout_price="close2",
+            confidence_score="60 + CASE WHEN low > h0 THEN 10 ELSE 0 END + CASE WHEN move >= 10 THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 2 THEN 10 ELSE 0 END", volume_confirmed="low > h0", pattern_height_pct="round(move, 2)", pattern_width_bars="3", touch_count="3",
+            pivot_indices="(idx - 1) || ',' || idx || ',' || (idx + 1)"),
+)
+DEAD_CAT = with_(
+    f"""{CLEAN_BARS},
+b AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, lag(high) OVER w AS h0, lag(low) OVER w AS l0, min(low) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS bottom, max(high) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 5 FOLLOWING AND 25 FOLLOWING) AS peak
+  FROM ind WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+s AS (SELECT b.symbol, b.idx, b.date, b.h0, b.l0, b.high, b.volume_ratio, b.bottom, min(x.idx) AS low_idx, (b.h0 - b.bottom) / b.h0 * 100 AS fall FROM b JOIN b x ON x.symbol = b.symbol AND x.idx BETWEEN b.idx AND b.idx + 8 AND x.low = b.bottom
+  WHERE b.n >= 50 AND b.idx >= 1 AND b.idx < b.n - 2 AND b.h0 > 0 AND (b.h0 - b.bottom) / b.h0 * 100 >= 15 GROUP BY ALL),
+p AS (SELECT s.*, l.peak, min(x.idx) AS peak_idx, (l.peak - s.bottom) / s.bottom * 100 AS rise FROM s JOIN b l ON l.symbol = s.symbol AND l.idx = s.low_idx JOIN b x ON x.symbol = s.symbol AND x.idx BETWEEN s.low_idx + 5 AND s.low_idx + 25 AND x.high = l.peak GROUP BY ALL),
+q AS (SELECT p.*, x.date AS peak_date, x.close AS peak_close FROM p JOIN b x ON x.symbol = p.symbol AND x.idx = p.peak_idx WHERE rise BETWEEN 15 AND 35 QUALIFY row_number() OVER (PARTITION BY p.symbol, p.low_idx, p.peak_idx ORDER BY p.idx) = 1),
+found AS (SELECT symbol, """
+    + columns("dead_cat_bounce", "event_bearish", "idx", "peak_idx", formation_end="peak_date", breakout_date="peak_date", breakout_idx="peak_idx", breakout_direction="'down'", breakout_price="peak_close",
+              confidence_score="65 + CASE WHEN high < l0 THEN 10 ELSE 0 END + CASE WHEN fall >= 25 THEN 5 ELSE 0 END + CASE WHEN rise >= 25 THEN 5 ELSE 0 END + CASE WHEN volume_ratio >= 2 THEN 10 ELSE 0 END", volume_confirmed="high < l0", pattern_height_pct="round(fall, 2)",
+              pattern_width_bars="peak_idx - idx + 1", touch_count="4", pivot_indices="(idx - 1) || ',' || idx || ',' || low_idx || ',' || peak_idx")
+    + " FROM q)",
+    DETECTION_SELECT.format(source="found"),
+)
+_I = gap_columns(0.5)
+ISLANDS = with_(
+    f"""{CLEAN_BARS}, b0 AS (SELECT *, {_I[0]} FROM ind WINDOW w AS (PARTITION BY symbol ORDER BY idx)), b AS (SELECT * {_I[1]} FROM b0),
+pairs AS (SELECT e.symbol, e.idx AS i, x.idx AS j, e.gap AS way, e.date AS d1, x.date AS d2, x.close AS c2, max(r.high) AS top, min(r.low) AS bottom FROM b e JOIN b x ON x.symbol = e.symbol AND x.idx > e.idx AND x.idx < e.idx + 20 AND e.gap <> x.gap
+  JOIN b r ON r.symbol = e.symbol AND r.idx >= e.idx AND r.idx < x.idx GROUP BY ALL HAVING max(r.high) > min(r.low)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY symbol, i ORDER BY j) = 1)),
+walk AS (SELECT symbol, k, i, j, TRUE AS keep, j AS upto FROM firsts WHERE k = 1 UNION ALL SELECT f.symbol, f.k, f.i, f.j, f.i > w.upto, CASE WHEN f.i > w.upto THEN f.j ELSE w.upto END FROM walk w JOIN firsts f ON f.symbol = w.symbol AND f.k = w.k + 1),
+found AS (SELECT f.symbol, """
+    + columns("islands", "reversal_both", "f.i", "f.j", formation_start="d1", formation_end="d2", breakout_date="d2", breakout_idx="f.j", breakout_direction="CASE WHEN way = 'up' THEN 'down' ELSE 'up' END", breakout_price="c2",
+              target_price="CASE WHEN way = 'up' THEN c2 - (top - bottom) ELSE c2 + (top - bottom) END", stop_loss_price="CASE WHEN way = 'up' THEN top ELSE bottom END", confidence_score="75", pattern_height_pct="round((top - bottom) / ((top + bottom) / 2) * 100, 2)",
+              pattern_width_bars="f.j - f.i + 1", touch_count="2", pivot_indices="f.i || ',' || f.j").replace("symbol ||", "f.symbol ||")
+    + " FROM firsts f JOIN walk w ON w.symbol = f.symbol AND w.k = f.k WHERE w.keep)",
+    DETECTION_SELECT.format(source="found"),
+)
+
+#: The specs whose confirmed detections the outcome and report queries evaluate.
+EVALUATED = ["three_falling_peaks", "three_rising_valleys", "broadening_wedges", "double_tops", "rectangle_bottoms_tops"]
+
+
+def detections(keys: list[str] = EVALUATED) -> str:
+    """Subqueries up to ``det``, the detections of several specs."""
+    spacings = "".join("," + thinned(s) for s in sorted({SPACING.get(k, 10) for k in keys}))
+    parts = ",".join(sequence_detections(k, f"s{j}") for j, k in enumerate(keys))
+    return f"{PIVOTED}{spacings},{parts}, det AS ({' UNION ALL '.join(f'SELECT * FROM s{j}' for j in range(len(keys)))})"
+
+
+OUTCOMES = f"""{detections()},
+base AS (SELECT *, CASE WHEN breakout_direction = 'down' OR pattern_type = 'reversal_bearish' THEN -1 ELSE 1 END AS way FROM det WHERE breakout_date IS NOT NULL),
+after1 AS (SELECT b.pattern_id, b.way, b.breakout_price AS bp, b.breakout_date AS bd, b.breakout_level AS lv, b.stop_loss_price AS op, b.target_price AS tp, x.idx, x.date, x.high, x.low, x.close,
+    CASE WHEN way < 0 THEN x.low ELSE x.high END AS best, CASE WHEN way < 0 THEN x.high ELSE x.low END AS worst FROM base b JOIN ind x ON x.symbol = b.symbol AND x.idx > b.breakout_idx AND x.idx <= b.breakout_idx + 252),
+after2 AS (SELECT *, way * max(way * best) OVER (PARTITION BY pattern_id ORDER BY idx) AS run, CASE WHEN way < 0 THEN high >= lv * 0.99::DOUBLE ELSE low <= lv * 1.01::DOUBLE END AND date <= bd + 30 AS touch, CASE WHEN way < 0 THEN high >= bp * 0.99::DOUBLE ELSE low <= bp * 1.01::DOUBLE END AND date <= bd + 30 AS touch_bp FROM after1),
+after3 AS (SELECT *, min(CASE WHEN (run - bp) * way > 0 AND (run - worst) * way > 0 AND abs(worst - run) / run * 100 >= 20 THEN idx END) OVER (PARTITION BY pattern_id) AS stop, min(CASE WHEN touch THEN idx END) OVER (PARTITION BY pattern_id) AS ret FROM after2),
+sums AS (SELECT pattern_id, count(*) AS bars, any_value(stop) AS stop, greatest(0, max(way * (close - bp) / bp * 100)) AS favor, max(-way * (close - bp) / bp * 100) AS against, min(date) FILTER (WHERE -way * (close - bp) / bp * 100 >= 5) AS a5, min(date) FILTER (WHERE -way * (close - bp) / bp * 100 >= 10) AS a10,
+    min(date) FILTER (WHERE op > 0 AND way * (close - op) <= 0) AS inv, arg_min(date, idx) FILTER (WHERE idx <= coalesce(stop, idx) AND best = run) AS skip, max(way * best) FILTER (WHERE idx <= coalesce(stop, idx)) AS ult,
+    count(*) FILTER (WHERE date <= bd + 30) AS near_bars, bool_or(touch_bp) AS any_bp, bool_or(touch) AS any_lv, min(date) FILTER (WHERE idx = ret) AS ret_date, max(way * best) FILTER (WHERE idx <= ret) AS pre, max(way * best) FILTER (WHERE idx > ret) AS post,
+    min(date) FILTER (WHERE way * (best - tp) >= 0) AS t_date, bool_or(way * (best - tp) >= 0) AS hit, bool_or(way * (close - tp) >= 0) AS hit_close, max(high) FILTER (WHERE way < 0) AS wh, min(low) FILTER (WHERE way > 0) AS wl FROM after3 GROUP BY pattern_id HAVING count(*) >= 2),
+ult AS (SELECT a.pattern_id, min(a.date) AS ud FROM after3 a JOIN sums s USING (pattern_id) WHERE a.idx <= coalesce(a.stop, a.idx) AND a.way * a.best = s.ult GROUP BY a.pattern_id),
+res AS (SELECT b.pattern_id, b.symbol, b.pattern_name, b.breakout_date, b.breakout_price, CASE WHEN bars IS NOT NULL THEN CASE WHEN way < 0 THEN 'down' ELSE 'up' END ELSE b.breakout_direction END AS breakout_direction, b.target_price, b.stop_loss_price,
+    favor < 5 AND against >= 5 AS bust_failure_5pct, favor < 10 AND against >= 10 AS bust_failure_10pct, CASE WHEN favor < 5 AND against >= 5 THEN a5 WHEN favor < 10 AND against >= 10 THEN a10 END AS bust_failure_date,
+    CASE WHEN (favor < 5 AND against >= 5) OR (favor < 10 AND against >= 10) THEN round(against, 2) END AS bust_failure_pct, CASE WHEN bars IS NOT NULL AND b.stop_loss_price > 0 THEN inv IS NOT NULL END AS boundary_invalidated, inv AS boundary_invalidation_date,
+    way * ult.ult AS ultimate_price, ud AS ultimate_date, datediff('day', b.breakout_date, ud) AS days_to_ultimate, CASE WHEN bars IS NOT NULL THEN CASE WHEN stop IS NOT NULL THEN '20pct_reversal' ELSE 'end_of_window' END END AS ultimate_stop_reason,
+    CASE WHEN bars IS NOT NULL THEN any_lv AND NOT coalesce(post <= pre, FALSE) END AS throwback_pullback_occurred, CASE WHEN any_lv AND NOT coalesce(post <= pre, FALSE) THEN ret_date END AS throwback_pullback_date,
+    CASE WHEN any_lv AND NOT coalesce(post <= pre, FALSE) THEN datediff('day', b.breakout_date, ret_date) END AS days_to_throwback_pullback, CASE WHEN near_bars > 0 THEN any_bp END AS retested_breakout_level, CASE WHEN near_bars > 0 THEN any_lv END AS retested_boundary_level,
+    hit AS target_achieved_intraday, hit_close AS target_achieved_close, t_date AS target_achievement_date, datediff('day', b.breakout_date, t_date) AS days_to_target, round(greatest(0, way * (way * ult.ult - b.breakout_price) / b.breakout_price * 100), 2) AS max_favorable_excursion_pct,
+    round(greatest(0, coalesce(wh - b.breakout_price, b.breakout_price - wl) / b.breakout_price * 100), 2) AS max_adverse_excursion_pct, coalesce(bars, 252) AS evaluation_window_bars
+  FROM base b LEFT JOIN (SELECT s.*, u.ud FROM sums s JOIN ult u USING (pattern_id)) ult USING (pattern_id))"""

@@ -6,49 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from swingkit.operators import barlocal, clean, pivots, sequences, universe
+from swingkit.operators import clean, pivots, sequences, universe
 from swingkit.plans import oracle as O
+from swingkit.plans.base import ORACLE, QUERIES, bars_of, pivots_of, query
 from swingkit.sources import bars as source
 from swingkit.sources import specs as spec_tables
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
-        if sql:
-            _ORACLE[name] = sql
-        return f
-
-    return keep
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded to 9, whole numbers as long, dates as text, arrays of numbers as comma-joined text."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 9)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
-            c = c.cast("bigint")
-        elif isinstance(f.dataType, T.DateType):
-            c = c.cast("string")
-        elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c.cast("array<string>"), ",")
-        out.append(c.alias(f.name))
-    return df.select(out)
-
-
-def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned bars with indicators."""
-    return clean.add_indicators(clean.clean(source.lineitem_bars(spark, sf_dir)))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three falling peaks and three rising valleys over 3-day bars."""
     bars = clean.add_indicators(clean.clean(source.lineitem_bars(spark, sf_dir, 3)))
@@ -140,35 +104,35 @@ for _level, _k in pivots.LEVELS.items():
 
 @query("d4_merge_runs", O.with_(f"{O.PIVOTED},{O.thinned(1)}", "SELECT symbol, idx, round(price, 9) AS price, ptype FROM m1"))
 def _d4(spark, d):
-    return pivots.merge_runs(pivots.pivots(bars_of(spark, d))).select("symbol", "idx", "price", "ptype")
+    return pivots.merge_runs(pivots_of(spark, d)).select("symbol", "idx", "price", "ptype")
 
 
 for _s in (2, 3, 4, 10):
-    query(f"d5_thin_{_s}", O.with_(f"{O.PIVOTED},{O.thinned(_s)}", f"SELECT symbol, k, idx, round(price, 9) AS price, ptype FROM thin{_s}"))(lambda spark, d, s=_s: pivots.thin(pivots.pivots(bars_of(spark, d)), s).select("symbol", "k", "idx", "price", "ptype"))
+    query(f"d5_thin_{_s}", O.with_(f"{O.PIVOTED},{O.thinned(_s)}", f"SELECT symbol, k, idx, round(price, 9) AS price, ptype FROM thin{_s}"))(lambda spark, d, s=_s: pivots.thin(pivots_of(spark, d), s).select("symbol", "k", "idx", "price", "ptype"))
 
 
 @query("d6_alternating_prefixes")
 def _d6(spark, d):
-    return pivots.alternating_prefixes(pivots.pivots(bars_of(spark, d)))
+    return pivots.alternating_prefixes(pivots_of(spark, d))
 
 
 @query("d8_price_predicates", O.with_(f"{O.PIVOTED},{O.thinned(10)}", "SELECT symbol, k, coalesce(abs(price - p2) / nullif(least(price, p2), 0) * 100 <= 0.5, FALSE) AS equal, coalesce(abs(price - p2) / nullif(least(price, p2), 0) * 100 <= 1.5, FALSE) AS near FROM (SELECT *, lead(price, 2) OVER (PARTITION BY symbol ORDER BY k) AS p2 FROM thin10)"))
 def _d8(spark, d):
     from pyspark.sql import Window
 
-    out = pivots.thin(pivots.pivots(bars_of(spark, d))).withColumn("p2", F.lead("price", 2).over(Window.partitionBy("symbol").orderBy("k")))
+    out = pivots.thin(pivots_of(spark, d)).withColumn("p2", F.lead("price", 2).over(Window.partitionBy("symbol").orderBy("k")))
     return out.select("symbol", "k", pivots.prices_near(F.col("price"), F.col("p2"), 0.5).alias("equal"), pivots.prices_near(F.col("price"), F.col("p2")).alias("near"))
 
 
 # Detectors.
 
-query("f1_double_tops", O.built_in("double_tops"))(lambda spark, d: sequences.detect_double_tops(b := bars_of(spark, d), pivots.pivots(b)))
-query("f2_head_and_shoulders_top", O.built_in("head_and_shoulders_top"))(lambda spark, d: sequences.detect_head_and_shoulders(b := bars_of(spark, d), pivots.pivots(b)))
+query("f1_double_tops", O.built_in("double_tops"))(lambda spark, d: sequences.detect_double_tops(bars_of(spark, d), pivots_of(spark, d)))
+query("f2_head_and_shoulders_top", O.built_in("head_and_shoulders_top"))(lambda spark, d: sequences.detect_head_and_shoulders(bars_of(spark, d), pivots_of(spark, d)))
 
 
 def detect(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     bars = bars_of(spark, sf_dir)
-    return sequences.detect_sequences(bars, pivots.pivots(bars), spec_tables.pattern_spec(spark, {k: spec_tables.SPECS[k] for k in keys}))
+    return sequences.detect_sequences(bars, pivots_of(spark, sf_dir), spec_tables.pattern_spec(spark, {k: spec_tables.SPECS[k] for k in keys}))
 
 
 query("f3_pivot_sequences", O.sequences(list(spec_tables.SPECS)))(lambda spark, d: detect(spark, d, list(spec_tables.SPECS)))
@@ -176,9 +140,12 @@ for _key in list(spec_tables.SPECS)[:5]:
     query(f"f3_{_key}", O.sequences([_key]))(lambda spark, d, key=_key: detect(spark, d, [key]))
 
 
+from swingkit.plans import pattern_queries, report_queries  # noqa: E402, F401  they register their queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return dict(ORACLE)
