@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from swingkit.operators.sequences import DETECTION, near_bars
 
-W = Window.partitionBy("symbol").orderBy("idx")
+
+
+def _by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("idx")
 
 
 def _lag(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(W)
+    return F.lag(c, n).over(_by_symbol())
 
 
 def _between(value: Column, low: float | None, high: float | None) -> Column:
@@ -31,7 +34,7 @@ def _detections(found: DataFrame, key: str, kind: str, start: Column, end: Colum
 
 def inside_days(bars: DataFrame, threshold_pct: float = 0.5, max_return: int = 2, height: tuple = (None, None), key: str = "inside_day", kind: str = "continuation_both") -> DataFrame:
     """A bar inside the one before, left by a close beyond it within ``max_return`` bars."""
-    out = bars.withColumns({"h0": _lag("high"), "l0": _lag("low"), "d0": _lag("date")} | {f"{c}{n}": F.lead(c, n).over(W) for n in range(1, max_return + 1) for c in ("close", "date")})
+    out = bars.withColumns({"h0": _lag("high"), "l0": _lag("low"), "d0": _lag("date")} | {f"{c}{n}": F.lead(c, n).over(_by_symbol()) for n in range(1, max_return + 1) for c in ("close", "date")})
     out = out.filter((F.col("high") < F.col("h0")) & (F.col("low") > F.col("l0")) & (F.col("high") > F.col("low")))
     size = (F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2) * 100
     hit = lambda n: F.when(F.col(f"close{n}") > F.col("high") * (1 + threshold_pct / 100), "up").when(F.col(f"close{n}") < F.col("low") * (1 - threshold_pct / 100), "down")
@@ -100,11 +103,11 @@ def spikes(bars: DataFrame, least_pct: float = 3.0, height: tuple = (None, None)
 
 def dead_cat_bounces(bars: DataFrame, decline: float = 15, decline_bars: int = 8, bounce: tuple = (15, 35), bounce_bars: tuple = (5, 25), volume: float = 2.0, least_bars: int = 50, key: str = "dead_cat_bounce", kind: str = "event_bearish") -> DataFrame:
     """A fall of 15 % within 8 bars, then a bounce of 15 to 35 % that peaks 5 to 25 bars after the low."""
-    ahead = W.rowsBetween(bounce_bars[0], bounce_bars[1])
+    ahead = _by_symbol().rowsBetween(bounce_bars[0], bounce_bars[1])
     marked = bars.withColumns(
         {
             "n": F.count("*").over(Window.partitionBy("symbol")), "h0": _lag("high"), "l0": _lag("low"),
-            "bottom": F.min(F.struct("low", "idx")).over(W.rowsBetween(0, decline_bars)), "peak": F.max(F.struct("high", -F.col("idx"))).over(ahead),
+            "bottom": F.min(F.struct("low", "idx")).over(_by_symbol().rowsBetween(0, decline_bars)), "peak": F.max(F.struct("high", -F.col("idx"))).over(ahead),
         }
     )
     lows = marked.select("symbol", F.col("idx").alias("low_idx"), F.col("peak.high").alias("peak_high"), (-F.col("peak.col2")).alias("peak_idx"))
@@ -122,7 +125,7 @@ def dead_cat_bounces(bars: DataFrame, decline: float = 15, decline_bars: int = 8
 
 def inverted_dead_cats(bars: DataFrame, rise: float = 5.0, volume: float = 2.0, least_bars: int = 10, key: str = "dead_cat_bounce_inverted", kind: str = "event_bearish") -> DataFrame:
     """A close 5 % up, then a bar with a higher high and a higher low; anchored at that second bar."""
-    out = bars.withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "c0": _lag("close"), "h0": _lag("high"), "d0": _lag("date")} | {f"{c}2": F.lead(c).over(W) for c in ("high", "low", "close", "date")})
+    out = bars.withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "c0": _lag("close"), "h0": _lag("high"), "d0": _lag("date")} | {f"{c}2": F.lead(c).over(_by_symbol()) for c in ("high", "low", "close", "date")})
     move = F.when(F.col("c0") > 0, (F.col("close") - F.col("c0")) / F.col("c0") * 100)
     out = out.withColumn("move", move).filter((F.col("n") >= least_bars) & (F.col("move") >= rise) & (F.col("high2") > F.col("high")) & (F.col("low2") > F.col("low")) & (F.col("close2") > 0))
     gap = F.col("low") > F.col("h0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swingkit.operators import clean
 from swingkit.plans import oracle as O
 from swingkit.plans import reports
-from swingkit.plans.base import bars_of, query
+from swingkit.plans.base import bars_of, kept, query
 from swingkit.plans.pattern_queries import detections_of, outcomes_of
 from swingkit.sources import bars as source
 from swingkit.sources import sinks, specs
