@@ -85,8 +85,8 @@ for _key, _t, _away, _bottom in (("head_and_shoulders_top", "H", "r.price < x.p3
         lambda spark, d, key=_key, bottom=_bottom: _named(derived.complex_head_and_shoulders(base_of(spark, d, key), bars_of(spark, d), pivots_of(spark, d), f"{key}s", f"{key}s_complex", bottom=bottom))
     )
 _POLE = """, form AS (SELECT x.pattern_id, max(b.high) AS top, min(b.low) AS bottom FROM x JOIN ind b ON b.symbol = x.symbol AND b.idx BETWEEN x.i1 AND x.i4 GROUP BY 1),
-pole AS (SELECT x.pattern_id, min(b.low) AS low, arg_min(b.idx, b.low * 1000000 + b.idx) AS at FROM x JOIN ind b ON b.symbol = x.symbol AND b.idx BETWEEN x.i1 - 60 AND x.i1 GROUP BY 1)"""
-_TIGHT = "coalesce(breakout_direction = 'up' AND (top - low) / low * 100 >= 100 AND i1 - at + 1 <= 60 AND (top - bottom) / top * 100 <= 20, FALSE)"
+pole AS (SELECT x.pattern_id, min(b.low) AS low, arg_min(b.idx, b.low * 1000000 + b.idx) AS spot FROM x JOIN ind b ON b.symbol = x.symbol AND b.idx BETWEEN x.i1 - 60 AND x.i1 GROUP BY 1)"""
+_TIGHT = "coalesce(breakout_direction = 'up' AND (top - low) / low * 100 >= 100 AND i1 - spot + 1 <= 60 AND (top - bottom) / top * 100 <= 20, FALSE)"
 query("g9_flags", _sql("flags", [("flags_high_tight", _TIGHT, None), ("flags", f"NOT {_TIGHT}", None)], _POLE, "JOIN form ON form.pattern_id = x.pattern_id JOIN pole ON pole.pattern_id = x.pattern_id"))(lambda spark, d: _named(derived.flags(base_of(spark, d, "flags"), bars_of(spark, d))))
 query("g12_islands")(lambda spark, d: _named(derived.long_islands(barlocal.islands(bars_of(spark, d), max_bars=40, key="islands_base"))))
 
@@ -109,3 +109,61 @@ def _j19(spark, d):
     dim = specs.pattern_dim(spark).select(F.col("pattern_key").alias("pattern_name"), "canonical_key")
     limits = reports.with_limits(found.select("pattern_name", F.col("pattern_name").alias("pattern_key"), F.col("pattern_name").alias("spec_key"), "n"), specs.pattern_spec(spark))
     return limits.join(F.broadcast(dim), "pattern_name", "left").select("pattern_name", "n", "canonical_key", "width_min", "width_max", "height_max")  # a row a pattern
+
+
+# Patterns of two specs, and counts over all detectors.
+
+
+def _several(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    chosen = specs.pattern_spec(spark, {k: specs.SPECS[k] for k in keys})
+    return sequences.detect_sequences(bars_of(spark, sf_dir), pivots_of(spark, sf_dir), chosen)
+
+
+for _name, _keys in (
+    ("f4_rounding_bottoms_and_tops", ["rounding_bottoms_tops", "rounding_tops"]), ("f5_triple_bottoms_and_tops", ["triple_bottoms", "triple_tops"]),
+    ("g4_bump_and_run", ["bump_and_run_reversal", "bump_and_run_reversal_bottoms"]), ("g6_diamonds", ["diamond_bottom", "diamond_top"]),
+):
+    query(_name, O.sequences(_keys))(lambda spark, d, keys=_keys: _several(spark, d, keys))
+
+
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all detectors over the shared bars and pivots, in one table."""
+    bars, raw = bars_of(spark, sf_dir), pivots_of(spark, sf_dir)
+    found = _several(spark, sf_dir, list(specs.SPECS))
+    for detect in (barlocal.inside_days, barlocal.gaps, barlocal.islands, barlocal.three_methods, barlocal.spikes, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats):
+        found = found.unionByName(detect(bars))
+    return found.unionByName(sequences.detect_head_and_shoulders(bars, raw).withColumn("pattern_name", F.lit("head_and_shoulders_top_built_in")))
+
+
+_ALL = " UNION ALL ".join(f"SELECT pattern_name, breakout_date FROM ({sql})" for sql in (O.sequences(list(specs.SPECS)), O.INSIDE, O.GAPS, O.ISLANDS, O.THREE_METHODS, O.SPIKES, O.DEAD_CAT, O.INVERTED))
+_ALL += f" UNION ALL SELECT pattern_name || '_built_in', breakout_date FROM ({O.built_in('head_and_shoulders_top')})"
+
+
+@query("f17_scan_counts", f"SELECT pattern_name, count(*) AS n, count(breakout_date) AS n_confirmed FROM ({_ALL}) GROUP BY pattern_name")
+def _f17(spark, d):
+    return scan(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n"), F.count("breakout_date").alias("n_confirmed"))
+
+
+_V3 = """, w AS (SELECT s.pattern_id, CASE WHEN w1.w <= 3 THEN 'A' WHEN w1.w >= 7 THEN 'E' END || CASE WHEN w3.w <= 3 THEN 'A' WHEN w3.w >= 7 THEN 'E' END AS variant, s.breakout_date FROM s JOIN w1 USING (pattern_id) JOIN w3 USING (pattern_id))"""
+
+
+@query("j3_double_tops_by_variant", O.with_(_sql("double_tops", [("k", "TRUE", None)], _widths("high", "< TOP * 0.98::DOUBLE") + _V3).split("WITH RECURSIVE ", 1)[1].rsplit("\nSELECT", 1)[0], "SELECT coalesce(variant, 'unknown') AS variant, count(*) AS n, count(breakout_date) AS n_confirmed FROM w GROUP BY 1"))
+def _j3(spark, d):
+    marked = derived.adam_eve(base_of(spark, d, "double_tops"), bars_of(spark, d))
+    return marked.groupBy(F.coalesce("variant", F.lit("unknown")).alias("variant")).agg(F.count("*").alias("n"), F.count("breakout_date").alias("n_confirmed"))
+
+
+@query("j11_group_names", O.with_(f"{O.detections()},{_DIM}", """SELECT coalesce(m.canonical_key, d.pattern_name) AS pattern_group, count(*) AS n, min(m.chapter) AS first_chapter, max(m.chapter) AS last_chapter, count(DISTINCT m.name) AS n_names FROM det d LEFT JOIN dim m ON m.canonical_key = d.pattern_name OR m.pattern_key = d.pattern_name GROUP BY 1"""))
+def _j11(spark, d):
+    dim = specs.pattern_dim(spark)
+    rolled = dim.groupBy(F.col("canonical_key").alias("pattern_name")).agg(F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_chapter"), F.countDistinct("name").alias("n_names"), F.count("*").alias("k"))
+    counted = detections_of(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n")).join(F.broadcast(rolled), "pattern_name", "left")  # a row a pattern
+    return counted.select(F.col("pattern_name").alias("pattern_group"), (F.col("n") * F.coalesce("k", F.lit(1))).alias("n"), "first_chapter", "last_chapter", F.coalesce("n_names", F.lit(0)).alias("n_names"))
+
+
+@query("a4_spec_aliases", O.with_(f"{O.BARS},{_DIM},{_SPEC}", "SELECT dim.pattern_key, coalesce(o.spec_key, m.spec_key) AS used_spec, (SELECT count(DISTINCT symbol) FROM bars) AS n_symbols FROM dim LEFT JOIN spec o ON o.spec_key = dim.pattern_key LEFT JOIN spec m ON m.spec_key = dim.spec_key"))
+def _a4(spark, d):
+    known = specs.pattern_spec(spark).select("spec_key")
+    own, mapped = known.select(F.col("spec_key").alias("pattern_key"), F.col("spec_key").alias("own")), known.select("spec_key", F.col("spec_key").alias("mapped"))
+    out = specs.pattern_dim(spark).join(F.broadcast(own), "pattern_key", "left").join(F.broadcast(mapped), "spec_key", "left")  # a row a spec
+    return out.select("pattern_key", F.coalesce("own", "mapped").alias("used_spec"), bars_of(spark, d).agg(F.countDistinct("symbol").alias("n")).scalar().alias("n_symbols"))

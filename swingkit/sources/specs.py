@@ -42,7 +42,7 @@ SPECS: dict[str, dict] = {
     "three_rising_valleys": spec("reversal_bullish", "LHLHL", {3: _HIGHER, 5: _HIGHER}, (42, 270), trend=_DOWN, breakout=("up", 1.0)),
     "broadening_bottoms": spec("continuation_both", "LHLHL", {3: _LOWER, 5: _LOWER, 4: _HIGHER}, trend=_DOWN),
     "broadening_tops": spec("continuation_both", "HLHLH", {3: _HIGHER, 5: _HIGHER, 4: _LOWER}, trend=_UP),
-    "bump_and_run_reversal": spec("reversal_bearish", "LHLHL", {4: "must_be_highest", 3: _HIGHER}, (30, 260), trend=_UP, breakout=("down", 1.0)),
+    "bump_and_run_reversal": spec("reversal_bearish", "LHLHL", {4: "must_be_highest", 3: _HIGHER}, (30, 260), breakout=("down", 1.0)),
     "diamond_bottom": spec("continuation_both", "HLHLHL", {3: _HIGHER, 4: "must_be_lowest", 5: _LOWER, 6: _HIGHER}, trend=_DOWN),
     "diamond_top": spec("continuation_both", "LHLHLH", {3: _LOWER, 4: "must_be_highest", 5: _HIGHER, 6: _LOWER}, trend=_UP),
     "double_bottoms": spec("reversal_bullish", "LHL", {3: _EQUAL}, (21, 180), (5.0, 80.0), trend=_DOWN, breakout=("up", 1.0)),
@@ -55,6 +55,8 @@ SPECS: dict[str, dict] = {
     "pennants": spec("continuation_both", "HLHL", {3: _LOWER, 4: _HIGHER}, (5, 30), (2.0, 30.0), trend=("any", 10, 10.0), breakout=("depends_on_prior_trend", 1.0)),
     "rectangle_bottoms_tops": spec("continuation_both", "HLHLH", {3: _EQUAL, 5: _EQUAL, 4: _EQUAL}, tolerance=3.0),
     "rounding_bottoms_tops": spec("reversal_bullish", "HLHLH", {2: "not_highest", 5: "not_lowest"}, (42, 400), trend=("down", 21, 5.0), breakout=("up", 1.0)),
+    "rounding_tops": spec("reversal_bearish", "LHLHL", {2: "not_lowest", 5: "not_highest"}, (42, 400), trend=("up", 21, 5.0), breakout=("down", 1.0)),
+    "bump_and_run_reversal_bottoms": spec("reversal_bullish", "HLHLH", {4: "must_be_lowest", 3: _LOWER}, (30, 260), breakout=("up", 1.0)),
     "scallop_ascending_descending": spec("continuation_both", "LHLH", {3: "must_be_between"}, (21, 210)),
     "triangles": spec("continuation_both", "HLHLH", {}, (21, 210), (4.0, 80.0)),
     "triple_bottoms": spec("reversal_bullish", "LHLHL", {3: _EQUAL, 5: _EQUAL}, (30, 270), trend=_DOWN, breakout=("up", 1.0)),
@@ -63,7 +65,7 @@ SPECS: dict[str, dict] = {
 }
 
 #: Bars between pivots where they aren't 10, by spec.
-SPACING = {"flags": 2, "pennants": 2, "horn_bottoms_tops": 2, "diamond_bottom": 3, "diamond_top": 3, "rounding_bottoms_tops": 4}
+SPACING = {"flags": 2, "pennants": 2, "horn_bottoms_tops": 2, "diamond_bottom": 3, "diamond_top": 3, "rounding_bottoms_tops": 4, "rounding_tops": 4}
 
 #: Chapter patterns in chapter order, "key" or "key<spec" or "key<spec:variant".
 _CHAPTERS = """
