@@ -10,6 +10,7 @@ window, whatever the corpus; a rest finds its sequence by its rank among the res
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ WINDOW, END = 1024, 0
 #: Rests of one length, and full windows, are ranked in so many parts each.
 PARTS, FULL_PARTS = 128, 8192
 STEPS, MOST_COLUMNS = 400, 200_000
+#: White space in a row up to which the split pattern is used.
+MOST_SPACES = 100_000
+#: The signs of the pattern's white space, for a class.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def rank_file(path: str) -> dict[bytes, int]:
@@ -42,7 +47,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """The pieces of every document's ids and its ``end`` id: the key, start, length, ids_crc32 and doc_tokens.
 
     ``path`` is a rank file whose ids are those of the tokenizers file of the same vocabulary; its special token keeps
-    the id after the last rank. A null text is empty and still has its ``end``.
+    the id after the last rank. A null text is empty and still has its ``end``. The split pattern backtracks over white
+    space and fails beyond a million in a row, so runs of more than ``MOST_SPACES`` are cut from the text as it would cut them.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(rank_file(path))
@@ -54,11 +60,24 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         from public_tokenizers import PATTERN
 
         ranks = held.value
-        encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        end_of_text = "<|endoftext|>"
+        encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
+        # A run ends one sign before a word, which takes that sign or leaves it alone; before a special token it doesn't.
+        run = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{MOST_SPACES},}}(?=[{_WHITE}]|{re.escape(end_of_text)}|\\Z)")
+
+        def encode(text: str) -> np.ndarray:
+            if len(text) <= MOST_SPACES or not run.search(text):
+                return encoding.encode_to_numpy(text, allowed_special="all")
+            out, at = [], 0
+            for m in run.finditer(text):
+                out += [encoding.encode_to_numpy(text[at : m.start()], allowed_special="all"), encoding._encode_single_piece(m[0])]
+                at = m.end()
+            return np.concatenate([*out, encoding.encode_to_numpy(text[at:], allowed_special="all")])
+
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for k, x in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encoding.encode_to_numpy(x or "", allowed_special="all"), end).astype("<u4")
+                ids = np.append(encode(x or ""), end).astype("<u4")
                 for at in range(0, len(ids), window):
                     own = ids[at : at + window]
                     row.append(k), start.append(at), length.append(len(own)), crc.append(zlib.crc32(own)), total.append(len(ids))

@@ -72,3 +72,12 @@ def test_least_squares_meets_a_histogram_that_combinations_make():
     x = packing.least_squares(columns, counts, 3000)
     fit = sum(np.bincount(columns[:, k], x, 13) for k in range(3))
     assert (x >= 0).all() and np.abs(fit - counts)[1:].max() < 0.05
+
+
+def test_more_than_a_million_spaces(spark):
+    texts = {1: "a" + " " * 1_200_000 + "b", 2: "x" + "\n" * 1_100_000, 3: " " * 150_000 + "<|endoftext|>" + "\t \u3000" * 400_000 + "\nword", 4: "y\x1c" + "\r\n" * 60_000 + "." + " " * 100_001 + "z"}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack(packing.pieces(docs, packing.default_path())).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    check(rows, {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}, packing.WINDOW)
