@@ -3,8 +3,8 @@
 Markup is stripped to one line for each block of text; scripts, styles, forms, menus, page headers, footers, sidebars,
 notices, adverts and reader comments, known by their tag, role, class or id, leave empty lines. The lengths of
 ``SPAN`` following lines, without the text of links, are summed at every line. Where a sum surges to the threshold the
-main text begins, where the sums dive to nothing it ends, and the lines between are kept. A page that marks its article
-or main part counts no line outside it, and there any text is a surge.
+main text begins, where the sums dive to nothing it ends, and the lines between are kept, with the short lines that
+adjoin the beginning, such as a title and a byline. Of a page that marks its article or main part all lines in it are kept.
 """
 
 from __future__ import annotations
@@ -130,21 +130,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
     """The page's main text, its blocks joined by one line end; empty for a null or empty page, or one without text."""
     lines = lines_of(page or "")
-    marked = any(inside and line for line, _, inside in lines)
-    weights = [size if inside or not marked else 0 for _, size, inside in lines]
-    least = 1 if marked else surge
-    total = sum(weights)
-    if not marked and 0 < total < surge:
-        least = 1
+    if any(inside and line for line, _, inside in lines):
+        return "\n".join(line for line, _, inside in lines if inside and line)
+    weights = [size for _, size, _ in lines]
+    least = 1 if 0 < sum(weights) < surge else surge
     sums = [sum(weights[i : i + span]) for i in range(len(weights))]
-    kept, inside = [], False
-    for (line, _, in_main), weight, ahead in zip(lines, weights, sums, strict=True):
+    kept, short, inside = [], [], False
+    for (line, _, _), weight, ahead in zip(lines, weights, sums, strict=True):
         if not inside and weight and ahead >= least:
             inside = True
+            kept += short
         elif inside and not ahead:
             inside = False
-        if inside and line and (weight or marked and in_main):
+        if inside and line:
             kept.append(line)
+        short = [*short, line] if weight and not inside else []
     return "\n".join(kept)
 
 

@@ -32,3 +32,15 @@ def test_extra_and_clashing_columns(spark):
 
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>word word</p>" * 50_000)) == 50_000 * 10 - 1
+
+
+def test_links_in_a_marked_article_are_kept():
+    references = "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(5))
+    page = f"<p>{LONG}</p><article><h1><a href=x>Title</a></h1><p>Body.</p><ul>{references}</ul><div class=ad>buy</div><p><a href=y>Last</a></p></article><p>{LONG}</p>"
+    assert main_text(page) == "\n".join(["Title", "Body.", *(f"Reference {i}" for i in range(5)), "Last"])
+
+
+def test_short_lines_before_a_surge_and_links_in_a_run_are_kept():
+    one = LONG.strip()
+    page = f"<ul><li><a href=/>Home</a></ul><h1>Title</h1><p>By A. Writer</p><p>1 May</p><p>Intro.</p><p>{LONG}</p><p><a href=x>See also</a></p><p>{LONG}</p><ul><li><a href=/1>Next</a></ul>"
+    assert main_text(page) == f"Title\nBy A. Writer\n1 May\nIntro.\n{one}\nSee also\n{one}"
