@@ -1,6 +1,11 @@
+import random
+import re
+import time
+
 import pytest
 
-from swingkit.llm.html import extract, main_text
+from swingkit.llm.common import table
+from swingkit.llm.html import extract, lines_of, main_text, runs_of, sums_of
 
 LONG = "A sentence of the article that is long enough to count as text. " * 2
 
@@ -44,3 +49,51 @@ def test_short_lines_before_a_surge_and_links_in_a_run_are_kept():
     one = LONG.strip()
     page = f"<ul><li><a href=/>Home</a></ul><h1>Title</h1><p>By A. Writer</p><p>1 May</p><p>Intro.</p><p>{LONG}</p><p><a href=x>See also</a></p><p>{LONG}</p><ul><li><a href=/1>Next</a></ul>"
     assert main_text(page) == f"Title\nBy A. Writer\n1 May\nIntro.\n{one}\nSee also\n{one}"
+
+
+def test_sums_and_runs_against_brute_force():
+    """A run is a chain of weighted lines at most SPAN apart that has a surge in it."""
+    rng = random.Random(5)
+    for _ in range(500):
+        weights = [rng.choice((0, 0, 0, 5, 30, 90)) for _ in range(rng.randrange(30))]
+        sums = sums_of(weights)
+        assert sums == [sum(w for k, w in enumerate(weights) if i <= k < i + 3) for i in range(len(weights))]
+        least, chains = rng.choice((1, 30, 80, 100)), []
+        for k, w in enumerate(weights):
+            if w and chains and k - chains[-1][-1] <= 3:
+                chains[-1].append(k)
+            elif w:
+                chains.append([k])
+        assert runs_of(weights, least) == [(c[0], c[-1]) for c in chains if any(sums[k] >= least for k in c)]
+
+
+def test_the_method_finds_the_article_without_its_mark(spark):
+    """With article and nav turned into plain divs the sums alone find the same text on every page, and they leave lines out."""
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.001", "pages").collect()]
+    plain = [re.sub(r"<(/?)(?:article|main|nav)\b", r"<\1div", x) for x in pages]
+    assert [main_text(x) for x in plain] == [main_text(x) for x in pages]
+    assert all("\n".join(line.text for line in lines_of(x) if line.text) != main_text(x) for x in plain)
+
+
+def test_dense_text_outside_a_small_marked_part():
+    page = f"<article><p>Teaser.</p></article><div>{'<p>' + LONG + LONG * 20 + '</p>'}</div>"
+    assert main_text(page) == f"Teaser.\n{(LONG + LONG * 20).strip()}"
+
+
+def test_text_near_noise_is_kept():
+    one, ads = LONG.strip(), "<div class=ad>buy</div>" * 3
+    assert main_text(f"<p>{LONG}</p>{ads}<p>Short end.</p>") == f"{one}\nShort end."
+    assert main_text(f"<h1>Title</h1>{ads}<p>{LONG}</p>") == f"Title\n{one}"
+    assert main_text(f"<article><p>{LONG}</p><div class='share-price related'>12 points</div><p class=alert>Mind this.</p></article>") == f"{one}\n12 points\nMind this."
+    assert main_text(f"<article><p>{LONG}</p><div class=related><a href=x>Other</a></div><div class='comment-list'><p>{LONG}</p></div></article>") == one
+    assert main_text(f"<div class='post-comment-count'><p>{LONG}</p></div>") == one
+    assert main_text(f"<p>One<br>block {LONG}</p>") == f"One block {one}"
+    assert main_text("".join(f"<p>Line {k}</p>" for k in range(30))) == "\n".join(f"Line {k}" for k in range(30))
+    assert main_text(f"<p title=don't>{LONG}</p><p>It's</p>") == f"{one}\nIt's"
+
+
+@pytest.mark.parametrize("part", ['<a " ', "<! ", "<a ", "<a href='", '<a x=">" ', "<head>", "<script>", "<!--", "<p class=ad>", "&lt", '<a x="', "<div class=related>"])
+def test_hostile_markup_takes_linear_time(part):
+    began = time.perf_counter()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 5
