@@ -46,6 +46,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and the table's path; AQE merges its small partitions before they are written."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    df.hint("rebalance").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table of :func:`kept` that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(small: DataFrame, rows: int) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``rows`` rows; else Spark shuffles the join."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

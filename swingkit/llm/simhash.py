@@ -3,11 +3,11 @@
 Equal fingerprints are one node. Two fingerprints that differ in at most ``RADIUS`` bits agree in one of ``RADIUS + 1``
 bands, so each band value is a shard: its fingerprints go, sorted, to one task, which inserts them one by one into a
 BK-tree (children keyed by their Hamming distance to the parent), follows only the edges within the radius, and keeps a
-spanning set of the links. The trees are shuffled with their shard rather than broadcast, since all trees together grow
-with the corpus. A shard of more than ``MOST`` fingerprints has no tree: there, two fingerprints within two bits share a
-third within one bit of both, so linking all fingerprints that share such a neighbour (at most 65 do) finds the same links.
+spanning set of the links. A shard of more than ``MOST`` fingerprints is dealt again in the same way by the bits outside
+its band, so every tree stays small. The trees are shuffled with their shard rather than broadcast, since all trees
+together grow with the corpus.
 
-The links become components by alternating star contraction over checkpointed tables.
+The links become components by alternating star contraction over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingkit.llm.common import checkpointed, small_batches, table
+from swingkit.llm.common import checkpointed, dropped, kept, small_batches, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: First bit and width of each band; RADIUS + 1 of them.
 BANDS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of a shard that get a tree at most.
+#: Fingerprints of a shard that make one tree; those of a larger one make a tree for each value of each band of the other bits.
 MOST = 2048
 _BLOCK = 1 << 15
-#: Nodes to a partition of the tables that are checkpointed while components are found.
-_PART = 500_000
+#: Edges of one node beyond which its smallest neighbour is broadcast: at least the first, and edges divided by the second.
+HUB, MOST_HUBS = 64, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -128,40 +128,59 @@ def _tree_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def links(fingerprints: DataFrame, most: int = MOST, parts: int = 1) -> DataFrame:
-    """Links ``a``, ``b`` between the distinct ``fp`` of a table that connect all within RADIUS bits. ``parts``: partitions of what is kept."""
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1).alias("value")) for k, (at, width) in enumerate(BANDS)))
-    shards = fingerprints.select("fp", F.explode(bands).alias("b")).select("fp", (F.col("b.value") * len(BANDS) + F.col("b.band")).alias("shard"))
+def _bits(value: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, at).bitwiseAND((1 << width) - 1)
+
+
+def _sub_shards(shard: Column) -> Column:
+    """The sub-shards of a fingerprint in a shard: the values of RADIUS + 1 bands of the bits outside the shard's own band."""
+    out = F.array().cast("array<long>")
+    for k, (at, width) in enumerate(BANDS):
+        turned = F.shiftrightunsigned("fp", (at + width) % 64).bitwiseOR(F.shiftleft("fp", (64 - at - width) % 64))
+        cuts = [(64 - width) * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+        own = [-1 - ((shard * (RADIUS + 1) + i) * (1 << 16) + _bits(turned, x, y - x)) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        out = F.when(shard % len(BANDS) == k, F.array(*own)).otherwise(out)
+    return out
+
+
+def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
+    """Links ``a``, ``b`` between the distinct ``fp`` of a table that connect all within RADIUS bits."""
+    bands = F.array(*(_bits(F.col("fp"), at, width) * len(BANDS) + k for k, (at, width) in enumerate(BANDS)))
+    shards = fingerprints.select("fp", F.explode(bands).alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = checkpointed(shards.join(sizes, "shard").coalesce(parts))
-    from_trees = shared.filter(F.col("n") <= most).repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp").mapInPandas(_tree_links, "a long, b long")
-    near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    from_neighbours = (
-        shared.filter(F.col("n") > most).select("fp").distinct().withColumn("near", F.explode(near))
-        .withColumn("a", F.min("fp").over(Window.partitionBy("near")))  # at most 65 rows
-        .filter("a <> fp")
-        .select("a", F.col("fp").alias("b"))
-    )
-    return from_trees.unionByName(from_neighbours)
-
-
-def components(edges: DataFrame, parts: int = 1) -> DataFrame:
-    """``node``, ``root`` (the component's least node) for every node of the edges ``a``, ``b`` that isn't a root.
+    dealt = F.when(F.col("n") <= most, F.array("shard")).otherwise(_sub_shards(F.col("shard")))
+    shared = shards.join(sizes, "shard").select("fp", F.explode(dealt).alias("shard"))
+    return shared.repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp").mapInPandas(_tree_links, "a long, b long")
 
-    Large-star and small-star steps until every node has one edge, to a node that has none of its own. Each step keeps
-    a table of ``parts`` partitions in the shared folder.
-    """
 
-    def step(now: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return now, now.groupBy("u").agg(F.min("v").alias("m"))
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (the component's least node) for every node of the edges ``a``, ``b`` that isn't a root.
 
-    kept = lambda df: checkpointed(df.filter("u <> v").distinct().coalesce(parts))
-    now = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    Large-star and small-star steps until every node has one edge, to a node that has none of its own. Each step writes a
+    table in the shared folder and deletes the one before it. The least neighbours of nodes with very many edges, of which
+    there are at most ``2 * MOST_HUBS``, are broadcast, so that their edges needn't meet in one task.
+    """
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
+        now, path = kept(df.filter("u <> v").distinct(), "edges")
+        if before:
+            dropped(spark, before)
+        return now, path
+
+    def with_least(now: DataFrame) -> DataFrame:
+        least = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+        others = least.filter(F.col("n") <= hub).select("u", "m")
+        return now.join(hubs, "u").unionByName(now.join(hubs, "u", "left_anti").join(others, "u"))
+
+    now, path = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    hub = max(HUB, now.count() // MOST_HUBS)
     while True:
-        both, least = step(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        now, least = step(kept(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        now, path = stored(with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), path)
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-        now = kept(now.join(least, "u").select(F.explode(ends).alias("e")).select("e.*"))
+        now, path = stored(with_least(now).select(F.explode(ends).alias("e")).select("e.*"), path)
         twice = now.groupBy("u").count().filter("count > 1").select("u")
         if twice.unionByName(now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -179,9 +198,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.Series([fingerprint(x) for x in batch], dtype="int64")
 
     marked = checkpointed(docs.select(F.col(key).alias("_key"), F.pandas_udf(fingerprints, "long")(F.col(text)).alias("fp")))
-    parts = 1 + marked.count() // _PART
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("_key").alias("least")).coalesce(parts))
-    roots = components(links(nodes.select("fp"), parts=parts), parts)
+    nodes, _ = kept(marked.groupBy("fp").agg(F.min("_key").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("_key").alias(key), "fp", "component_id")

@@ -66,7 +66,7 @@ def test_links_and_components(spark):
     values = cluster()
     expected = {v: r for v, r in brute_roots(values).items() if v != r}
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
-    for most in (simhash.MOST, 3):  # with trees, and with the shards too large for one
+    for most in (simhash.MOST, 3, 0):  # with one tree a shard, with some shards dealt again, and with all
         got = {r.node: r.root for r in simhash.components(simhash.links(fps, most)).collect()}
         assert got == expected
 
