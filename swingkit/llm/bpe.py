@@ -3,11 +3,13 @@
 Texts are cut into words by the vocabulary's split pattern, worked out on arrays of code points. The symbols of all
 words that a task hasn't met lie in one flat array; in each round the pairs of neighbours are looked up by binary search
 over the sorted pair keys of the merge table, and every word merges all its pairs of its lowest rank, from the left.
-A word without a known pair is done. Decoding gathers the bytes of the tokens from one flat array.
+A word without a known pair is done. Words of more than ``LONG`` bytes take rounds of one rank over all of them instead,
+which look up only the pairs beside the last merges, so that a word's cost doesn't grow with its square. Decoding gathers the bytes of the tokens from one flat array.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ from swingkit.llm.common import small_batches, table
 
 #: Words that an encoder remembers before it starts anew.
 REMEMBERED = 400_000
+#: Bytes of a word from which on its places are kept by rank.
+LONG = 1024
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _NEVER = np.iinfo(np.int64).max
 
@@ -105,25 +109,82 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array, and each word's number of ids."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._merge_short(words)
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        parts = self._merge_short([words[k] for k in short]), self._merge_long([words[k] for k in long])
+        sizes = np.empty(len(words), np.int64)
+        sizes[short], sizes[long] = parts[0][1], parts[1][1]
+        order = np.argsort([*short, *long], kind="stable")
+        both, own = np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1]])
+        return both[_runs((np.cumsum(own) - own)[order], own[order])], sizes
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each pair among the sorted keys, and its rank, or a rank beyond all."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where(self.keys[at] == key, self.ranks[at], _NEVER)
+
+    def _merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`merge`: the places of the pairs of each rank are kept, and a round merges those of the lowest rank."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        n, word = len(ids), np.repeat(np.arange(len(words)), sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[np.cumsum(sizes) - 1] = n
+        before[np.cumsum(sizes) - sizes] = -1
+        there, waiting, ranks = np.ones(n, bool), {}, []
+
+        def wait(places: np.ndarray) -> None:
+            _, rank = self._look_up(ids[places], ids[after[places]])
+            places, rank = places[rank < _NEVER], rank[rank < _NEVER]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j:
+                    r = int(rank[i])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(places[i:j])
+
+        wait(np.flatnonzero(after < n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            spots = np.sort(np.concatenate(waiting.pop(rank)))
+            spots = spots[there[spots]]
+            spots = spots[after[spots] < n]
+            at, now = self._look_up(ids[spots], ids[after[spots]])
+            spots, at = spots[now == rank], at[now == rank]
+            taken = _every_second(spots, after[spots])
+            spots, at = spots[taken], at[taken]
+            if not len(spots):
+                continue
+            gone = after[spots]
+            ids[spots], there[gone] = self.merged[at], False
+            after[spots] = after[gone]
+            inside = spots[after[spots] < n]
+            before[after[inside]] = inside
+            left = before[spots]
+            wait(np.unique(np.concatenate([left[left >= 0], inside])))
+        return ids[there].astype(np.int32), np.bincount(word[there], minlength=len(words))
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ids):
-            key = ids[:-1] * self.width + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], _NEVER)
-            rank = np.append(rank, _NEVER)
+            at, rank = self._look_up(ids[:-1], ids[1:])
+            rank = np.append(np.where(word[:-1] == word[1:], rank, _NEVER), _NEVER)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
             ended = best == _NEVER
             hit = (rank == best) & ~ended
-            # In a row of equal signs every second pair overlaps the one before.
             spots = np.flatnonzero(hit)
-            if len(spots) > 1:
-                fresh = np.append(True, np.diff(spots) > 1)
-                since = np.arange(len(spots)) - np.maximum.accumulate(np.where(fresh, np.arange(len(spots)), 0))
-                spots = spots[since % 2 == 0]
+            spots = spots[_every_second(spots, spots + 1)]
             ids[spots] = self.merged[at[spots]]
             keep = ~ended
             keep[spots + 1] = False
@@ -141,6 +202,14 @@ class Vocabulary:
         return self.spelling[_runs(self.starts[ids], self.lengths[ids])].tobytes().decode("utf-8", "replace")
 
 
+def _every_second(spots: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which pairs (first places, second places) to merge: of a row in which each begins where the one before ends, every second."""
+    fresh = np.ones(len(spots), bool)
+    fresh[1:] = after[:-1] != spots[1:]
+    places = np.arange(len(fresh))
+    return (places - np.maximum.accumulate(np.where(fresh, places, 0))) % 2 == 0
+
+
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of every run, one after another."""
     ends = np.cumsum(lengths)
@@ -156,7 +225,7 @@ class Encoder:
 
     def _forget(self) -> None:
         special = self.vocabulary.special
-        self.place = {w: k for k, w in enumerate(special)}
+        self.place = _Places({w: k for k, w in enumerate(special)})
         self.ids = np.array(list(special.values()), np.int32)
         self.starts, self.sizes = np.arange(len(special)), np.ones(len(special), np.int64)
 
@@ -169,17 +238,33 @@ class Encoder:
         for text in texts:
             words += self.vocabulary.words(text or "")
             ends.append(len(words))
-        if new := list({w: None for w in words if w not in self.place}):
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if new := self.place.take_new():
             ids, sizes = self.vocabulary.merge([w.encode("utf-8", "replace") for w in new])
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[at]
         offsets = np.concatenate([[0], np.cumsum(sizes)])[np.array(ends)]
         return self.ids[_runs(self.starts[at], sizes)], offsets
 
 
+class _Places(dict):
+    """Numbers words as they come, and remembers which are new."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` plus the array of token ids of every whole text, as the library gives without extra tokens; null: none."""
     small_batches(docs.sparkSession)

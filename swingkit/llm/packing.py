@@ -9,8 +9,6 @@ window, whatever the corpus; a rest finds its sequence by its rank among the res
 
 from __future__ import annotations
 
-import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,64 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swingkit.llm.bpe import Encoder, Vocabulary, default_path
 from swingkit.llm.common import checkpointed, small_batches, table
 
 WINDOW, END = 1024, 0
 #: Rests of one length, and full windows, are ranked in so many parts each.
 PARTS, FULL_PARTS = 128, 8192
-STEPS, MOST_COLUMNS = 400, 200_000
-#: White space in a row up to which the split pattern is used.
-MOST_SPACES = 100_000
-#: The signs of the pattern's white space, for a class.
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def rank_file(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+STEPS = 400
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
     """The pieces of every document's ids and its ``end`` id: the key, start, length, ids_crc32 and doc_tokens.
 
-    ``path`` is a rank file whose ids are those of the tokenizers file of the same vocabulary; its special token keeps
-    the id after the last rank. A null text is empty and still has its ``end``. The split pattern backtracks over white
-    space and fails beyond a million in a row, so runs of more than ``MOST_SPACES`` are cut from the text as it would cut them.
+    ``path`` is a byte-level BPE file of the tokenizers library; the ids are those of :mod:`swingkit.llm.bpe`, which are the
+    library's. A null text is empty and still has its ``end``.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(rank_file(path))
+    held = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        ranks = held.value
-        end_of_text = "<|endoftext|>"
-        encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
-        # A run ends one sign before a word, which takes that sign or leaves it alone; before a special token it doesn't.
-        run = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{MOST_SPACES},}}(?=[{_WHITE}]|{re.escape(end_of_text)}|\\Z)")
-
-        def encode(text: str) -> np.ndarray:
-            if len(text) <= MOST_SPACES or not run.search(text):
-                return encoding.encode_to_numpy(text, allowed_special="all")
-            out, at = [], 0
-            for m in run.finditer(text):
-                out += [encoding.encode_to_numpy(text[at : m.start()], allowed_special="all"), encoding._encode_single_piece(m[0])]
-                at = m.end()
-            return np.concatenate([*out, encoding.encode_to_numpy(text[at:], allowed_special="all")])
-
+        encoder = Encoder(held.value)
         for batch in batches:
+            found, ends = encoder.encode(batch.column(1).to_pylist())
             row, start, length, crc, total = [], [], [], [], []
-            for k, x in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encode(x or ""), end).astype("<u4")
+            for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                ids = np.append(found[i:j], end).astype("<u4")
                 for at in range(0, len(ids), window):
                     own = ids[at : at + window]
                     row.append(k), start.append(at), length.append(len(own)), crc.append(zlib.crc32(own)), total.append(len(ids))
@@ -87,8 +54,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return rows.mapInArrow(cut, schema).withColumnRenamed("_key", key)
 
 
-def combinations(lengths: np.ndarray, window: int = WINDOW, most: int = MOST_COLUMNS) -> np.ndarray:
-    """Rows of three lengths (0 for none), the longest first, that fill the window exactly."""
+def combinations(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """All rows of three lengths (0 for none), the longest first, that fill the window exactly: about a twelfth of its square at most."""
     there = np.zeros(window + 1, bool)
     there[lengths] = True
     there[0] = True
@@ -97,7 +64,7 @@ def combinations(lengths: np.ndarray, window: int = WINDOW, most: int = MOST_COL
     fine = (a >= b) & (b >= c) & (c >= 0) & (a < window)
     a, b, c = a[fine], b[fine], c[fine]
     inside = there[c]
-    return np.stack([a[inside], b[inside], c[inside]], axis=1)[:most]
+    return np.stack([a[inside], b[inside], c[inside]], axis=1)
 
 
 def least_squares(columns: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:

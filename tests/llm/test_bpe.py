@@ -1,4 +1,6 @@
+import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -27,6 +29,18 @@ def test_same_ids_and_texts_as_the_library(vocabulary):
             assert vocabulary.decode(own) == library.decode(own.tolist(), skip_special_tokens=False) == text
 
 
+def test_long_words(vocabulary):
+    """Words around LONG bytes and runs of a million signs: the library's ids, in a time that grows with the length."""
+    rng, library = random.Random(2), Tokenizer.from_file(bpe.default_path())
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDE") for _ in range(6000))
+    mixed = f"one {letters[:1023]} {letters[:1024]} 'x{letters[:1025]} {letters} " + "ab" * 3001 + " " + "a" * 4097 + " " + "漢字" * 700 + "=" * 2000
+    for text in (mixed, base64.b64encode(rng.randbytes(750_000)).decode(), "z" * 1_000_000, "-" * 1_000_000):
+        began = time.perf_counter()
+        ids, _ = bpe.Encoder(vocabulary).encode([text, "end"])
+        assert time.perf_counter() - began < 20
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + library.encode("end", add_special_tokens=False).ids
+
+
 def test_odd_ids(vocabulary):
     assert vocabulary.decode(np.array([-1, 10**6, 50256])) == "<|endoftext|>"
     assert vocabulary.decode(vocabulary.of_byte[[0xE4, 0xBD]]) == "�"

@@ -81,3 +81,11 @@ def test_more_than_a_million_spaces(spark):
     rows = packing.pack(packing.pieces(docs, packing.default_path())).collect()
     assert {r.doc_id for r in rows} == set(texts)
     check(rows, {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}, packing.WINDOW)
+
+
+def test_no_combination_is_left_out():
+    for window in (12, 40, 2048):
+        found = {tuple(x) for x in packing.combinations(np.arange(1, window), window).tolist()}
+        pairs = {(window - b, b, 0) for b in range(1, window // 2 + 1)}
+        triples = sum(1 for c in range(1, window // 3 + 1) for b in range(c, (window - c) // 2 + 1) if window - b - c >= b)
+        assert pairs <= found and len(found) == len(pairs) + triples
