@@ -6,8 +6,13 @@ seen costs its share of the context's count plus its number of distinct bytes; o
 The statistics are frozen, so the code length of a byte depends on its context alone: the lengths are laid out as one
 array, and a text's code length in every language is a sum of lookups. The shortest code wins.
 
-Letters are lower-cased and every run of other ASCII bytes counts as one space. The trees are learnt from at most
-``SAMPLE`` documents of each language, drawn by a hash of their id; every text is scored whole.
+Letters are lower-cased and every run of other ASCII bytes counts as one space: digits and marks, which say little of a
+language, are no part of the code. The trees are learnt from at most ``SAMPLE`` documents of each language, drawn by a hash
+of id and text, and their table has at most ``MOST_CELLS`` values: beyond that the rarest contexts are left to their
+shorter ones. Every text is scored whole, its code length summed in doubles.
+
+Equal texts are one document of the sample. A null or blank text, or one without a letter, is ``und``; so is any text if
+nothing could be learnt. Of languages with codes of equal length the first by name wins.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swingkit.llm.common import bounded, id_remainder, small_batches, table
+from swingkit.llm.common import bounded, id_remainder, small_batches, table, unused
 
 ORDER = 3
 #: Documents of each language to learn from at most.
@@ -29,6 +34,8 @@ SAMPLE = 400
 LEAST = 3
 #: Bytes that are looked up at once.
 PIECE = 1 << 18
+#: Code lengths (8 bytes each) of all contexts, bytes and languages at most, and languages whose numbers of rows are broadcast.
+MOST_CELLS, MOST_LANGS = 1 << 24, 10_000
 UNKNOWN = "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -98,40 +105,52 @@ def grow(counts: pd.DataFrame) -> Trees:
     symbol = np.full(256, size - 1, np.int64)
     symbol[seen] = np.arange(size - 1)
     a, b, c, s = (symbol[p] for p in parts)
-    context, n = (a * size + b) * size + c, counts["n"].to_numpy(np.float64)
-    full, inverse = np.unique(context, return_inverse=True)
-    frequent = np.bincount(inverse, n, len(full)) >= LEAST
-    deep = full[frequent]
-    state = np.tile(np.arange(size * size), size)  # by default, the row of the last two symbols
-    state[deep] = size * size + np.arange(len(deep))
-    bits = np.empty(((size * size + len(deep)) * size, len(langs)), np.float32)
+    n = counts["n"].to_numpy(np.float64)
+    pair, triple = b * size + c, (a * size + b) * size + c
+    two, three = _contexts(pair, n, 1), _contexts(triple, n, LEAST)
+    # The rarest contexts go until the table fits; a context's shorter one is never rarer than it.
+    fits = max(MOST_CELLS // (size * max(len(langs), 1)) - size, 0)
+    often = np.sort(np.concatenate([two[1], three[1]]))[::-1]
+    least = often[fits] if len(often) > fits else 0
+    two, three = two[0][two[1] > least], three[0][three[1] > least]
+    state = np.tile(np.arange(size, dtype=np.int32), size * size)  # by default, the row of the last symbol
+    state.reshape(size, -1)[:, two] = size + np.arange(len(two))
+    state[three] = size + len(two) + np.arange(len(three))
+    bits = np.empty(((size + len(two) + len(three)) * size, len(langs)))
     for k, lang in enumerate(langs):
         mine = (counts["lang"] == lang).to_numpy()
-        w, la, lb, lc, ls = n[mine], a[mine], b[mine], c[mine], s[mine]
-        count = lambda row, rows: np.bincount(row * size + ls, w, rows * size).reshape(rows, size)
-        p0 = _escaped(count(np.zeros_like(ls), 1), np.full((1, size), 1 / size))
-        p1 = _escaped(count(lc, size), np.broadcast_to(p0, (size, size)))
-        p2 = _escaped(count(lb * size + lc, size * size), np.tile(p1, (size, 1)))
-        place = np.searchsorted(deep, (la * size + lb) * size + lc)
-        inside = np.zeros(len(ls), bool)
-        inside[:] = deep[np.minimum(place, len(deep) - 1)] == (la * size + lb) * size + lc if len(deep) else False
-        c3 = np.bincount(place[inside] * size + ls[inside], w[inside], len(deep) * size).reshape(len(deep), size)
-        p3 = _escaped(c3, p2[deep % (size * size)])
-        bits[:, k] = -np.log2(np.concatenate([p2, p3]).ravel())
+        w, ls = n[mine], s[mine]
+
+        def counted(context: np.ndarray, known: np.ndarray) -> np.ndarray:
+            row = np.minimum(np.searchsorted(known, context[mine]), max(len(known) - 1, 0))
+            inside = known[row] == context[mine] if len(known) else np.zeros(len(ls), bool)
+            return np.bincount(row[inside] * size + ls[inside], w[inside], len(known) * size).reshape(len(known), size)  # noqa: B023
+
+        p0 = _escaped(np.bincount(ls, w, size)[None, :], np.full((1, size), 1 / size))
+        p1 = _escaped(counted(c, np.arange(size)), np.broadcast_to(p0, (size, size)))
+        p2 = _escaped(counted(pair, two), p1[two % size])
+        p3 = _escaped(counted(triple, three), p2[np.searchsorted(two, three % (size * size))])
+        bits[:, k] = -np.log2(np.concatenate([p1, p2, p3]).ravel())
     return Trees(langs, symbol, state, bits)
 
 
+def _contexts(context: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts that were met at least so often, and how often."""
+    known, inverse = np.unique(context, return_inverse=True)
+    often = np.bincount(inverse, n, len(known))
+    return known[often >= least], often[often >= least]
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Trees:
     """Learn the trees from rows with a text and a language, at most ``sample`` of each language."""
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("_key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.select(F.xxhash64(F.col(key).cast("string"), text).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    drawn = (
-        rows.select("_key", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("h", "_key")).alias("k"))
-        .filter(F.col("k") <= sample)  # Spark keeps so many rows of each task before the shuffle
-        .select("_key", "lang")
-        .distinct()
-    )
+    # About four times the sample by hash, so that no language brings all its rows to one task.
+    part = F.greatest(F.lit(1), F.floor(F.col("n") / (4 * sample)))
+    few = rows.join(bounded(rows.groupBy("lang").agg(F.count("*").alias("n")), MOST_LANGS), "lang").filter(F.pmod("h", part) == 0)
+    once = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    drawn = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,8 +160,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     small_batches(spark)
     counts = (
-        rows.join(bounded(drawn, 100 * sample), ["_key", "lang"], "left_semi")
-        .select("lang", "text")
+        drawn.select("lang", "text")
         .mapInPandas(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
@@ -151,7 +169,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` plus the predicted language and its score. A null text, or one without a letter, is ``und`` with score 0."""
+    """``docs`` plus the predicted language and its score; columns of these names are replaced. ``und`` has score 0."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
@@ -160,8 +178,8 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "lan
         for batch in texts:
             yield pd.DataFrame([known.predict(x) for x in batch], columns=["lang", "score"])
 
-    found = F.pandas_udf(predict, "lang string, score double")(F.col(text))
-    return docs.withColumn("_found", found).withColumns({lang: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
+    found, name = F.pandas_udf(predict, "lang string, score double")(F.col(text)), unused(docs, "found")
+    return docs.withColumn(name, found).withColumns({lang: F.col(name)["lang"], score: F.col(name)["score"]}).drop(name)
 
 
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
