@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swingkit.llm.common import id_remainder, small_batches, table
@@ -26,6 +26,8 @@ from swingkit.llm.common import id_remainder, small_batches, table
 CELLS = 1 << 18
 #: Labelled rows to fit on at most.
 MAX_TRAIN = 8000
+#: Features of all rows to fit on at most; rows beyond that, in the order of their hash, are left out of the sample.
+MAX_FEATURES = 1 << 24
 EPOCHS, COST, FOLDS = 10, 1.0, 4
 CUT = 0.7
 
@@ -147,9 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .withColumn("cells", F.pandas_udf(cells_of, "array<int>")("_text"))
         .groupBy("_key")
         .agg(F.min(F.struct(F.col("cells").alias("cells"), "quality")).alias("x"))
+        .withColumn("total", F.sum(F.size("x.cells")).over(Window.orderBy(F.xxhash64("_key"), "_key")))
+        .filter(F.col("total") <= MAX_FEATURES)
         .orderBy(F.xxhash64("_key"), "_key")
         .select("x.*")
-        .collect()  # at most `most` rows of distinct cells
+        .collect()  # at most `most` rows and MAX_FEATURES cells
     )
     return fit_rows([np.array(r["cells"], np.int32) for r in found], np.array([r["quality"] for r in found], bool), cells)
 

@@ -1,5 +1,8 @@
 """Quality and language: small cases by hand, and held-out accuracy on the driver's tables."""
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -49,6 +52,92 @@ def test_code_lengths_are_of_a_distribution():
     assert np.allclose(np.exp2(-trees.bits[:, 0].reshape(-1, size).astype(float)).sum(axis=1), 1, atol=1e-5)
 
 
+def dictionary_bits(samples, lang, text):
+    """Code length by the definition: counts by context in dictionaries, method C escapes, exclusion."""
+    order = language.ORDER
+    learnt = {name: [bytes(order) + language.normal_bytes(t).tobytes() for t in texts] for name, texts in samples.items()}
+    alphabet = {0, 32, *b"".join(x for texts in learnt.values() for x in texts)}
+    counts = {name: Counter((x[i - k : i], x[i]) for x in texts for i in range(order, len(x)) for k in range(order + 1)) for name, texts in learnt.items()}
+    after = {name: defaultdict(dict) for name in counts}
+    for name, found in counts.items():
+        for (context, byte), n in found.items():
+            after[name][context][byte] = n
+    total = Counter()
+    for found in counts.values():
+        for (context, _), n in found.items():
+            total[context] += n
+
+    def chance(context, byte):
+        if context is None:
+            return 1 / (len(alphabet) + 1)
+        shorter = context[1:] if context else None
+        own = after[lang].get(context, {})
+        if not own or len(context) == order and total[context] < language.LEAST:
+            return chance(shorter, byte)
+        n, kinds = sum(own.values()), len(own)
+        rest = sum(chance(shorter, b) for b in [*alphabet, -1] if b not in own)
+        return own[byte] / (n + kinds) if byte in own else kinds / (n + kinds) * chance(shorter, byte) / rest
+
+    raw = bytes(order) + language.normal_bytes(text).tobytes()
+    raw = [b if b in alphabet else -1 for b in raw]
+    known = [b if b >= 0 else 255 for b in raw]
+    return -sum(math.log2(chance(bytes(known[i - order : i]), raw[i])) for i in range(order, len(raw)))
+
+
+def test_code_lengths_against_dictionaries():
+    samples = {"aa": ["abracadabra abra", "the cat sat on the mat", "the"], "bb": ["der rabe aß das gras", "das abra"]}
+    rows = [(lang, int(g)) for lang, texts in samples.items() for t in texts for g in language.grams(language.normal_bytes(t))]
+    counts = pd.DataFrame(rows, columns=["lang", "gram"]).value_counts().reset_index(name="n")
+    trees = language.grow(counts)
+    for text in ("abra", "the rabe!", "mat 12 sat", "ß", "zzz qabrat", "the the the"):
+        assert np.allclose(trees.lengths(text), [dictionary_bits(samples, lang, text) for lang in ("aa", "bb")], rtol=1e-9)
+
+
+def test_table_stays_within_its_bound(monkeypatch):
+    counts = pd.DataFrame([("aa", int(g), 1) for g in language.grams(language.normal_bytes("the and of that this there then " * 3))], columns=["lang", "gram", "n"])
+    counts = counts.groupby(["lang", "gram"]).n.sum().reset_index()
+    whole = language.grow(counts).bits.size
+    monkeypatch.setattr(language, "MOST_CELLS", whole // 2)
+    trees = language.grow(counts)
+    size = int(trees.symbol.max()) + 1
+    assert trees.bits.size <= whole // 2
+    assert np.allclose(np.exp2(-trees.bits[:, 0].reshape(-1, size)).sum(axis=1), 1)
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "the cat and the dog", "en", 1), (1, "the cat and the dog", "en", 2), (1, "der hund und die katze", "de", 3), (None, "and then the end", "en", 4), (2, None, "en", 5)]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string, found int")
+    out = language.identify(docs, language.fit(docs)).collect()
+    assert sorted({(r.text, r.lang_pred, r.found) for r in out}, key=str) == sorted({(t, "und" if t is None else lang, n) for _, t, lang, n in rows}, key=str)
+    assert language.identify(docs.limit(0), language.fit(docs)).count() == 0
+
+
+def test_descent_against_a_plain_solver():
+    """The dual's weights minimise |w|^2 / 2 + cost * sum of squared hinges, as plain gradient steps do."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 6))) for _ in range(40)]
+    good = rng.random(40) < 0.5
+    model = quality.descend(rows, good, 12, epochs=3000)
+    counts = np.ones((2, 12))
+    for x, y in zip(rows, good):
+        counts[int(y), x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    features = np.array([[ratio[j] if j in x else 0.0 for j in range(12)] + [1.0] for x in rows])
+    sign, w = np.where(good, 1.0, -1.0), np.zeros(13)
+    for _ in range(40_000):
+        w -= 0.002 * (w - 2 * quality.COST * features.T @ (sign * np.maximum(0, 1 - sign * (features @ w))))
+    assert np.allclose([model.margin(x) for x in rows], features @ w, atol=1e-4)
+
+
+def test_quality_of_no_rows_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, 0), (2, "", 0), (3, None, 0)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert [r.score for r in quality.score(docs.limit(0), model).collect()] == []
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
+    assert quality.fit(docs.limit(0), labels).score(np.array([], int)) == 0.5
+
+
 @pytest.mark.parametrize(("text", "und"), [(None, True), ("", True), ("12 !?", True), ("the and", False), ("a" * 600_000, False)])
 def test_und_is_for_texts_without_a_letter(text, und):
     counts = pd.DataFrame([(lang, int(g), 1) for lang, t in (("aa", "the and of"), ("bb", "der die das")) for g in language.grams(language.normal_bytes(t))], columns=["lang", "gram", "n"])
