@@ -41,3 +41,24 @@ def test_long_payload(spark):
     long = "é" * 200_000
     _, got = trip(spark, [(1, "a", long, 1, "")])
     assert got == [expected(1, "a", long)]
+
+
+def test_marks_at_the_end_of_payloads_chunks_and_urls(spark):
+    rows = [(1, "u WARC/1.1", "x WARC/1.1"), (2, "u", "WARC/1.1"), (3, "u", "abWARC/1.1\r\nWARC/1.1"), (4, "u", "é" * 7 + "WARC/1.1" * 3 + "\r\n"), (5, "u", "WARC")]
+    want = sorted(expected(k, u.replace("C/1", "C%2F1"), t) for k, u, t in rows)
+    for chunk in (8, 10, 11, warc.CHUNK):
+        assert sorted(trip(spark, [(*r, 1, "v") for r in rows], chunk)[1]) == want
+
+
+def test_headers(spark):
+    path, _ = trip(spark, [(1, "http://a", "p" * 25, 1, ""), (2, "http://b", "p" * 25, 1, "")], 10)
+    found = sorted((r.value for r in spark.read.text(path, lineSep="WARC/1.1\r\n").collect() if r.value), key=lambda v: ("continuation" in v, "revisit" in v, "Number: 3" in v))
+    assert len(found) == 4
+    for value in found:
+        head, _, rest = value.partition("\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.split("\r\n"))
+        assert {"WARC-Type", "WARC-Date", "WARC-Record-ID", "Content-Length"} <= set(fields)
+        assert len(fields["WARC-Record-ID"]) == len("<urn:uuid:>") + 36 and rest[int(fields["Content-Length"]) :] == "\r\n\r\n"
+        assert (fields["WARC-Type"] == "continuation") == ("WARC-Segment-Origin-ID" in fields)
+        assert (fields["WARC-Type"] == "revisit") == ("WARC-Profile" in fields) == (fields.get("WARC-Refers-To-Target-URI") == "http://a")
+        assert ("WARC-Segment-Total-Length" in fields) == (fields.get("WARC-Segment-Number") == "3")
