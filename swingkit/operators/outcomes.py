@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swingkit.operators.derived import adam_eve
 from swingkit.operators.sequences import near_bars
 
 LOOKAHEAD, REVERSAL, RETEST_DAYS, RETEST_PCT = 252, 20.0, 30, 1.0
@@ -113,3 +114,9 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
         "max_favorable_excursion_pct": share(F.col("way") * (ultimate - F.col("breakout_price"))), "max_adverse_excursion_pct": share(worst), "evaluation_window_bars": F.coalesce("bars", "look").cast("int"),
     }
     return out.select(*[values.get(c, F.col(c)).alias(c) for c in RESULT])
+
+
+def with_variants(outcomes: DataFrame, detections: DataFrame, bars: DataFrame, name: str = "double_tops") -> DataFrame:
+    """``outcomes`` plus variant, peak1_width_bars and peak2_width_bars of double tops; null for other patterns."""
+    marked = adam_eve(detections.filter(F.col("pattern_name") == name), bars)
+    return outcomes.join(marked.select("pattern_id", "variant", F.col("width0").alias("peak1_width_bars"), F.col("width1").alias("peak2_width_bars")), "pattern_id", "left")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingkit.operators import barlocal, derived, sequences
+from swingkit.operators import barlocal, cups_pipes, derived, sequences
 from swingkit.plans import oracle as O
 from swingkit.plans import reports
 from swingkit.plans.base import bars_of, kept, pivots_of, query
+from swingkit.plans.cup_pipe_queries import CUP, PIPE, cup_sql, pipe_sql
 from swingkit.plans.pattern_queries import detections_of
 from swingkit.plans.report_queries import _DIM, _SPEC
 from swingkit.sources import specs
@@ -127,16 +128,23 @@ for _name, _keys in (
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of all detectors over the shared bars and pivots, in one table."""
+    """Detections of all detectors over the shared bars and pivots, in one table; those of a built-in are marked, as a spec has its name."""
     bars, raw = bars_of(spark, sf_dir), pivots_of(spark, sf_dir)
     found = _several(spark, sf_dir, list(specs.SPECS))
     for detect in (barlocal.inside_days, barlocal.gaps, barlocal.islands, barlocal.three_methods, barlocal.spikes, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats):
         found = found.unionByName(detect(bars))
-    return found.unionByName(sequences.detect_head_and_shoulders(bars, raw).withColumn("pattern_name", F.lit("head_and_shoulders_top_built_in")))
+    for detect in (sequences.detect_head_and_shoulders, sequences.detect_double_tops):
+        found = found.unionByName(detect(bars, raw).withColumn("pattern_name", F.concat("pattern_name", F.lit("_built_in"))))
+    for detect in (cups_pipes.cups_with_handle, cups_pipes.inverted_cups_with_handle):
+        found = found.unionByName(detect(bars, raw, CUP))
+    return found.unionByName(cups_pipes.pipes(bars, raw, PIPE)).unionByName(cups_pipes.pipes(bars, raw, PIPE, bottom=False))
 
 
-_ALL = " UNION ALL ".join(f"SELECT pattern_name, breakout_date FROM ({sql})" for sql in (O.sequences(list(specs.SPECS)), O.INSIDE, O.GAPS, O.ISLANDS, O.THREE_METHODS, O.SPIKES, O.DEAD_CAT, O.INVERTED))
-_ALL += f" UNION ALL SELECT pattern_name || '_built_in', breakout_date FROM ({O.built_in('head_and_shoulders_top')})"
+_ONES = [O.sequences(list(specs.SPECS)), O.INSIDE, O.GAPS, O.ISLANDS, O.THREE_METHODS, O.SPIKES, O.DEAD_CAT, O.INVERTED, cup_sql(CUP), cup_sql(CUP, True), pipe_sql(PIPE), pipe_sql(PIPE, False)]
+_ALL = " UNION ALL ".join(
+    [f"SELECT pattern_name, breakout_date FROM ({sql})" for sql in _ONES]
+    + [f"SELECT pattern_name || '_built_in', breakout_date FROM ({O.built_in(name)})" for name in ("head_and_shoulders_top", "double_tops")]
+)
 
 
 @query("f17_scan_counts", f"SELECT pattern_name, count(*) AS n, count(breakout_date) AS n_confirmed FROM ({_ALL}) GROUP BY pattern_name")

@@ -111,7 +111,7 @@ for _s in (2, 3, 4, 10):
     query(f"d5_thin_{_s}", O.with_(f"{O.PIVOTED},{O.thinned(_s)}", f"SELECT symbol, k, idx, round(price, 9) AS price, ptype FROM thin{_s}"))(lambda spark, d, s=_s: pivots.thin(pivots_of(spark, d), s).select("symbol", "k", "idx", "price", "ptype"))
 
 
-@query("d6_alternating_prefixes")
+@query("d6_alternating_prefixes", O.with_(f"{O.PIVOTED},{O.thinned(1)}", "SELECT symbol, idx, k + 1 AS n, array_to_string(list(idx) OVER (PARTITION BY symbol ORDER BY k), ',') AS idxs FROM thin1 QUALIFY k >= 4"))
 def _d6(spark, d):
     return pivots.alternating_prefixes(pivots_of(spark, d))
 
@@ -140,7 +140,7 @@ for _key in list(spec_tables.SPECS)[:5]:
     query(f"f3_{_key}", O.sequences([_key]))(lambda spark, d, key=_key: detect(spark, d, [key]))
 
 
-from swingkit.plans import derived_queries, pattern_queries, report_queries  # noqa: E402, F401  they register their queries
+from swingkit.plans import cup_pipe_queries, derived_queries, pattern_queries, report_queries, run_queries  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -120,7 +120,10 @@ def _j21(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")) + "/tables"
+    path, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or tempfile.mkdtemp(prefix="spark-", dir="/tmp")) + "/tables"
 
 
 @query("a5_detections_table", O.with_(O.detections(), O.DETECTION_SELECT.format(source="det")))
@@ -143,7 +146,11 @@ def _a11(spark, d):
     return reports.run_frame(found, spark.read.parquet(path).drop("run_id")).select("pattern_id", "symbol", "pattern_name", "ultimate_price", "days_to_ultimate")
 
 
-@query("a7_run_registry")
+_CONFIG = '{"lookahead":"252","min_rows":"200"}'
+
+
+@query("a7_run_registry", O.with_(f"{O.BARS},{O.DAMAGED}", f"""SELECT 'run' AS run_id, count(*) AS symbols_planned, count(*) - count(*) FILTER (WHERE bad) AS symbols_scanned, count(*) FILTER (WHERE bad) AS symbols_failed, '{_CONFIG}' AS config_json, substr(md5('{_CONFIG}'), 1, 8) AS config_hash
+  FROM (SELECT symbol, count(*) FILTER (WHERE least(open, high, low, close) > 0 AND NOT isnan(open) AND close IS NOT NULL) = 0 OR count(DISTINCT date) < count(*) OR count(*) < 290 AS bad FROM damaged GROUP BY symbol)"""))
 def _a7(spark, d):
     bars = source.damaged(source.lineitem_bars(spark, d))
     return sinks.run_row(spark, "run", {"min_rows": 200, "lookahead": 252}, bars, clean.quarantine(bars, 290))

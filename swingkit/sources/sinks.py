@@ -43,6 +43,24 @@ def run_row(spark: SparkSession, run_id: str, config: dict, planned: DataFrame,
     )
 
 
+def write_statistics(stats: dict[str, DataFrame], run_id: str, path: str) -> None:
+    """The tables of a run's statistics as rows of table, row number and JSON, replacing what the run had."""
+    parts = [
+        df.select(F.lit(name).alias("table"), F.to_json(F.struct(*sorted(df.columns))).alias("row_json")).withColumn("row", F.row_number().over(Window.orderBy("row_json")))  # a row a pattern
+        for name, df in stats.items()
+    ]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    write_run(both, run_id, path, ["table", "row"])
+
+
+def run_config(runs: DataFrame, run_id: str | None = None) -> DataFrame:
+    """The settings of a run, the newest by default, as rows of name and value; none where the text is no JSON object."""
+    own = runs.filter(F.col("run_id") == run_id) if run_id else runs.join(latest_run(runs), "run_id")
+    return own.select("run_id", F.explode(F.from_json("config_json", "map<string, string>")).alias("name", "value"))
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The run_id of the newest run."""
     return runs.agg(F.max_by("run_id", "created_at").alias("run_id"))

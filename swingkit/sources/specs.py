@@ -67,37 +67,76 @@ SPECS: dict[str, dict] = {
 #: Bars between pivots where they aren't 10, by spec.
 SPACING = {"flags": 2, "pennants": 2, "horn_bottoms_tops": 2, "diamond_bottom": 3, "diamond_top": 3, "rounding_bottoms_tops": 4, "rounding_tops": 4}
 
-#: Chapter patterns in chapter order, "key" or "key<spec" or "key<spec:variant".
-_CHAPTERS = """
-broadening_bottoms broadening_formations_right_angled_ascending broadening_formations_right_angled_descending broadening_tops
-broadening_wedges_ascending<broadening_wedges:ascending broadening_wedges_descending<broadening_wedges:descending
-bump_and_run_reversal_bottoms<bump_and_run_reversal bump_and_run_reversal_tops<bump_and_run_reversal
-cup_with_handle cup_with_handle_inverted<cup_with_handle diamond_bottoms<diamond_bottom diamond_tops<diamond_top
-double_bottoms_adam_adam<double_bottoms:AA double_bottoms_adam_eve<double_bottoms:AE double_bottoms_eve_adam<double_bottoms:EA double_bottoms_eve_eve<double_bottoms:EE
-double_tops_adam_adam<double_tops:AA double_tops_adam_eve<double_tops:AE double_tops_eve_adam<double_tops:EA double_tops_eve_eve<double_tops:EE
-flags flags_high_tight<flags gaps head_and_shoulders_bottoms<head_and_shoulders_bottom head_and_shoulders_bottoms_complex<head_and_shoulders_bottom
-head_and_shoulders_tops<head_and_shoulders_top head_and_shoulders_tops_complex<head_and_shoulders_top horn_bottoms<horn_bottoms_tops horn_tops<horn_bottoms_tops
-island_reversals<islands islands_long<islands measured_move_down<measured_move_down_up measured_move_up<measured_move_down_up pennants pipe_bottoms pipe_tops<pipe_bottoms
-rectangle_bottoms<rectangle_bottoms_tops rectangle_tops<rectangle_bottoms_tops rounding_bottoms<rounding_bottoms_tops rounding_tops<rounding_bottoms_tops
-scallops_ascending<scallop_ascending_descending scallops_ascending_inverted<scallop_ascending_descending scallops_descending<scallop_ascending_descending scallops_descending_inverted<scallop_ascending_descending
-three_falling_peaks three_rising_valleys triangles_ascending<triangles triangles_descending<triangles triangles_symmetrical<triangles
-triple_bottoms<triple_bottoms_tops triple_tops<triple_bottoms_tops wedges_falling<wedges_ascending_descending wedges_rising<wedges_ascending_descending
-"""
-EVENTS = ["dead_cat_bounce", "dead_cat_bounce_inverted"]
+# Key, part, chapter, name, spec and variant of the chapter patterns (part 1) and the event patterns (part 2).
+PATTERNS = [
+    ("broadening_bottoms", 1, 1, "Broadening Bottoms", "broadening_bottoms", None),
+    ("broadening_formations_right_angled_ascending", 1, 2, "Broadening Formations, Right-Angled and Ascending", "broadening_formations_right_angled_ascending", None),
+    ("broadening_formations_right_angled_descending", 1, 3, "Broadening Formations, Right-Angled and Descending", "broadening_formations_right_angled_descending", None),
+    ("broadening_tops", 1, 4, "Broadening Tops", "broadening_tops", None),
+    ("broadening_wedges_ascending", 1, 5, "Broadening Wedges, Ascending", "broadening_wedges", "ascending"),
+    ("broadening_wedges_descending", 1, 6, "Broadening Wedges, Descending", "broadening_wedges", "descending"),
+    ("bump_and_run_reversal_bottoms", 1, 7, "Bump-and-Run Reversal Bottoms", "bump_and_run_reversal", None),
+    ("bump_and_run_reversal_tops", 1, 8, "Bump-and-Run Reversal Tops", "bump_and_run_reversal", None),
+    ("cup_with_handle", 1, 9, "Cup with Handle", "cup_with_handle", None),
+    ("cup_with_handle_inverted", 1, 10, "Cup with Handle (Inverted)", "cup_with_handle", None),
+    ("diamond_bottoms", 1, 11, "Diamond Bottoms", "diamond_bottom", None),
+    ("diamond_tops", 1, 12, "Diamond Tops", "diamond_top", None),
+    ("double_bottoms_adam_adam", 1, 13, "Double Bottoms, Adam & Adam", "double_bottoms", "AA"),
+    ("double_bottoms_adam_eve", 1, 14, "Double Bottoms, Adam & Eve", "double_bottoms", "AE"),
+    ("double_bottoms_eve_adam", 1, 15, "Double Bottoms, Eve & Adam", "double_bottoms", "EA"),
+    ("double_bottoms_eve_eve", 1, 16, "Double Bottoms, Eve & Eve", "double_bottoms", "EE"),
+    ("double_tops_adam_adam", 1, 17, "Double Tops, Adam & Adam", "double_tops", "AA"),
+    ("double_tops_adam_eve", 1, 18, "Double Tops, Adam & Eve", "double_tops", "AE"),
+    ("double_tops_eve_adam", 1, 19, "Double Tops, Eve & Adam", "double_tops", "EA"),
+    ("double_tops_eve_eve", 1, 20, "Double Tops, Eve & Eve", "double_tops", "EE"),
+    ("flags", 1, 21, "Flags", "flags", None),
+    ("flags_high_tight", 1, 22, "Flags, High and Tight", "flags", None),
+    ("gaps", 1, 23, "Gaps", "gaps", None),
+    ("head_and_shoulders_bottoms", 1, 24, "Head-and-Shoulders Bottoms", "head_and_shoulders_bottom", None),
+    ("head_and_shoulders_bottoms_complex", 1, 25, "Head-and-Shoulders Bottoms (Complex)", "head_and_shoulders_bottom", None),
+    ("head_and_shoulders_tops", 1, 26, "Head-and-Shoulders Tops", "head_and_shoulders_top", None),
+    ("head_and_shoulders_tops_complex", 1, 27, "Head-and-Shoulders Tops (Complex)", "head_and_shoulders_top", None),
+    ("horn_bottoms", 1, 28, "Horn Bottoms", "horn_bottoms_tops", None),
+    ("horn_tops", 1, 29, "Horn Tops", "horn_bottoms_tops", None),
+    ("island_reversals", 1, 30, "Island Reversals", "islands", None),
+    ("islands_long", 1, 31, "Islands, Long", "islands", None),
+    ("measured_move_down", 1, 32, "Measured Move Down", "measured_move_down_up", None),
+    ("measured_move_up", 1, 33, "Measured Move Up", "measured_move_down_up", None),
+    ("pennants", 1, 34, "Pennants", "pennants", None),
+    ("pipe_bottoms", 1, 35, "Pipe Bottoms", "pipe_bottoms", None),
+    ("pipe_tops", 1, 36, "Pipe Tops", "pipe_bottoms", None),
+    ("rectangle_bottoms", 1, 37, "Rectangle Bottoms", "rectangle_bottoms_tops", None),
+    ("rectangle_tops", 1, 38, "Rectangle Tops", "rectangle_bottoms_tops", None),
+    ("rounding_bottoms", 1, 39, "Rounding Bottoms", "rounding_bottoms_tops", None),
+    ("rounding_tops", 1, 40, "Rounding Tops", "rounding_bottoms_tops", None),
+    ("scallops_ascending", 1, 41, "Scallops, Ascending", "scallop_ascending_descending", None),
+    ("scallops_ascending_inverted", 1, 42, "Scallops, Ascending (Inverted)", "scallop_ascending_descending", None),
+    ("scallops_descending", 1, 43, "Scallops, Descending", "scallop_ascending_descending", None),
+    ("scallops_descending_inverted", 1, 44, "Scallops, Descending (Inverted)", "scallop_ascending_descending", None),
+    ("three_falling_peaks", 1, 45, "Three Falling Peaks", "three_falling_peaks", None),
+    ("three_rising_valleys", 1, 46, "Three Rising Valleys", "three_rising_valleys", None),
+    ("triangles_ascending", 1, 47, "Triangles, Ascending", "triangles", None),
+    ("triangles_descending", 1, 48, "Triangles, Descending", "triangles", None),
+    ("triangles_symmetrical", 1, 49, "Triangles, Symmetrical", "triangles", None),
+    ("triple_bottoms", 1, 50, "Triple Bottoms", "triple_bottoms_tops", None),
+    ("triple_tops", 1, 51, "Triple Tops", "triple_bottoms_tops", None),
+    ("wedges_falling", 1, 52, "Wedges, Falling", "wedges_ascending_descending", None),
+    ("wedges_rising", 1, 53, "Wedges, Rising", "wedges_ascending_descending", None),
+    ("dead_cat_bounce", 2, 54, "Dead-Cat Bounce", None, None),
+    ("dead_cat_bounce_inverted", 2, 55, "Dead-Cat Bounce (Inverted)", None, None),
+]
+EVENTS = [key for key, part, *_ in PATTERNS if part == 2]
 
 
 def metadata_rows() -> list[tuple]:
-    """pattern_key, part, chapter, name, spec_key, canonical_key, variant, kind and proxy of the 55 patterns."""
-    rows = []
-    for chapter, entry in enumerate(_CHAPTERS.split(), 1):
-        key, _, rest = entry.partition("<")
-        base, _, variant = rest.partition(":")
-        rows.append((key, "One", chapter, key.replace("_", " ").title(), base or key, base or key, variant or None, "chart", False))
-    rows += [(key, "Two", 54 + k, key.replace("_", " ").title(), None, key, None, "event", False) for k, key in enumerate(EVENTS)]
-    return rows
+    """pattern_key, part, chapter, name, spec_key, canonical_key, variant, kind and proxy of the 55 patterns; a pattern without a spec is a proxy."""
+    return [
+        (key, part, chapter, name, spec_key, spec_key or key, variant, "chart" if part == 1 else "event", spec_key is None)
+        for key, part, chapter, name, spec_key, variant in PATTERNS
+    ]
 
 
-METADATA_SCHEMA = "pattern_key string, part string, chapter int, name string, spec_key string, canonical_key string, variant string, kind string, proxy boolean"
+METADATA_SCHEMA = "pattern_key string, part int, chapter int, name string, spec_key string, canonical_key string, variant string, kind string, proxy boolean"
 
 
 def pattern_dim(spark: SparkSession) -> DataFrame:
@@ -112,7 +151,7 @@ def pattern_spec(spark: SparkSession, specs: dict[str, dict] | None = None) -> D
 
 #: Patterns of the sets; the strict set is the chapter set of patterns with a spec.
 PATTERN_SETS = {
-    "bulk_53": lambda r: r[7] == "chart",
+    "chapters_53": lambda r: r[7] == "chart",
     "strict_53": lambda r: r[7] == "chart" and r[4] is not None,
     "event": lambda r: r[7] == "event",
     "all_55": lambda r: True,
