@@ -62,7 +62,7 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         keys = np.array([ids[a] * self.width + ids[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.keys, self.ranks = keys[order].astype(np.uint32 if self.width < 1 << 16 else np.int64), order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)[order]
         byte = {s: b for b, s in enumerate(signs)}
         spelt = [b""] * self.width
@@ -122,7 +122,7 @@ class Vocabulary:
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each pair among the sorted keys, and its rank, or a rank beyond all."""
-        key = left * self.width + right
+        key = (left * self.width + right).astype(self.keys.dtype)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return at, np.where(self.keys[at] == key, self.ranks[at], _NEVER)
 
@@ -176,9 +176,9 @@ class Vocabulary:
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        at, rank = self._look_up(ids, np.append(ids[1:], 0))
+        rank[np.append(word[:-1] != word[1:], True)[: len(ids)]] = _NEVER
         while len(ids):
-            at, rank = self._look_up(ids[:-1], ids[1:])
-            rank = np.append(np.where(word[:-1] == word[1:], rank, _NEVER), _NEVER)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
             ended = best == _NEVER
@@ -190,7 +190,16 @@ class Vocabulary:
             keep[spots + 1] = False
             if ended.any():
                 done.append((word[ended], ids[ended]))
-            ids, word = ids[keep], word[keep]
+            place = (np.cumsum(keep) - 1)[spots]
+            ids, word, at, rank = ids[keep], word[keep], at[keep], rank[keep]
+            # Only the pairs on both sides of a merge are new.
+            new = np.zeros(len(ids), bool)
+            new[place] = True
+            new[place[place > 0] - 1] = True
+            fresh = np.flatnonzero(new)
+            beside = np.minimum(fresh + 1, len(ids) - 1)
+            at[fresh], found = self._look_up(ids[fresh], ids[beside])
+            rank[fresh] = np.where((word[fresh] == word[beside]) & (beside > fresh), found, _NEVER)
         if not done:
             return np.empty(0, np.int32), sizes
         word, ids = np.concatenate([w for w, _ in done]), np.concatenate([i for _, i in done])
