@@ -153,9 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .filter(F.col("total") <= MAX_FEATURES)
         .orderBy(F.xxhash64("_key"), "_key")
         .select("x.*")
-        .collect()  # at most `most` rows and MAX_FEATURES cells
+        .toArrow()  # at most `most` rows and MAX_FEATURES cells
     )
-    return fit_rows([np.array(r["cells"], np.int32) for r in found], np.array([r["quality"] for r in found], bool), cells)
+    rows = [part.values.to_numpy(zero_copy_only=False) for part in found["cells"].combine_chunks()]
+    return fit_rows(rows, found["quality"].to_numpy().astype(bool), cells)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
