@@ -10,16 +10,16 @@ LEVELS = {"minor": 3, "intermediate": 5, "major": 10}
 ATR_SHARE, NEARBY = 0.5, 5
 
 _FOLD = """
-inline(aggregate(
+aggregate(
   array_sort(collect_list(struct(idx, rank, ptype, price, strength, date))),
   cast(array() as array<struct<idx: int, rank: int, ptype: string, price: double, strength: int, date: date>>),
   (kept, p) -> case
     when size(kept) = 0 then array(p)
     when element_at(kept, -1).ptype = p.ptype then
       if((p.ptype = 'H' and p.price > element_at(kept, -1).price) or (p.ptype = 'L' and p.price < element_at(kept, -1).price), concat(slice(kept, 1, size(kept) - 1), array(p)), kept)
-    when p.idx - element_at(kept, -1).idx < {spacing} then
+    when p.idx - element_at(kept, -1).idx < spacing then
       if(p.strength > element_at(kept, -1).strength, concat(slice(kept, 1, size(kept) - 1), array(p)), kept)
-    else concat(kept, array(p)) end))
+    else concat(kept, array(p)) end)
 """
 
 
@@ -53,14 +53,19 @@ def merge_runs(found: DataFrame) -> DataFrame:
 
 
 def thin(found: DataFrame, spacing: int = 10) -> DataFrame:
-    """Alternating pivots at least ``spacing`` bars apart, with their number ``k`` in the symbol.
+    """Alternating pivots at least ``spacing`` bars apart, with their number ``k`` in the symbol."""
+    return thin_all(found, [spacing]).drop("spacing")
+
+
+def thin_all(found: DataFrame, spacings: list[int]) -> DataFrame:
+    """:func:`thin` for several spacings in one plan, with the column ``spacing``.
 
     One pass over each symbol's pivots in order: one that is too close to the last is dropped unless it is stronger, and
     of two of one type the more extreme stays. A symbol's pivots are some hundreds of small structs.
     """
-    ranked = merge_runs(found).withColumn("rank", F.when(F.col("ptype") == "H", 0).otherwise(1))
-    kept = ranked.groupBy("symbol").agg(F.expr(_FOLD.strip()[len("inline(") : -1].format(spacing=spacing)).alias("kept"))
-    return kept.select("symbol", F.posexplode("kept").alias("k", "p")).select("symbol", "k", "p.idx", "p.date", "p.price", "p.ptype", "p.strength")
+    ranked = merge_runs(found).withColumn("rank", F.when(F.col("ptype") == "H", 0).otherwise(1)).withColumn("spacing", F.explode(F.lit(spacings)))
+    kept = ranked.groupBy("symbol", "spacing").agg(F.expr(_FOLD.strip()).alias("kept"))
+    return kept.select("symbol", "spacing", F.posexplode("kept").alias("k", "p")).select("symbol", "spacing", "k", "p.idx", "p.date", "p.price", "p.ptype", "p.strength")
 
 
 def numbered(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swingkit.operators.pivots import numbered, thin
+from swingkit.operators.pivots import numbered, thin, thin_all
 
 #: Bars of one cell of the breakout search; a search of n bars covers n // CELL + 2 cells at most.
 CELL = 64
@@ -146,14 +146,18 @@ def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame) -> DataF
     ``bars`` has the indicators, ``raw`` the pivots. A match without a breakout is kept, with nulls.
     """
     flat = flat_specs(specs)
-    shapes = [(r.spacing if r.thinned else 0, r.n) for r in flat.select("spacing", "thinned", F.length("types").alias("n")).distinct().collect() if r.n]  # one row a spec
-    found, by_spacing = None, {}
-    for spacing, n in sorted(set(shapes)):
-        if spacing not in by_spacing:
-            by_spacing[spacing] = thin(raw, spacing) if spacing else numbered(raw)
-        own = flat.filter((F.length("types") == n) & (F.when(F.col("thinned"), F.col("spacing")).otherwise(0) == spacing))
-        part = windows(by_spacing[spacing], n).join(F.broadcast(own), "types")  # a row a spec
-        found = part if found is None else found.unionByName(part)
+    flat = flat.withColumn("spacing", F.when(F.col("thinned"), F.col("spacing")).otherwise(0)).filter("types <> ''")
+    shapes = flat.groupBy("spacing").agg(F.max(F.length("types")).alias("n")).collect()  # a row a spacing
+    spaced = [r.spacing for r in shapes if r.spacing]
+    table = thin_all(raw, spaced) if spaced else None
+    if len(spaced) < len(shapes) or not shapes:
+        whole = numbered(raw).withColumn("spacing", F.lit(0))
+        table = table.unionByName(whole) if spaced else whole
+    # One window as long as the longest sequence; a spec takes its first pivots.
+    ahead = Window.partitionBy("symbol", "spacing").orderBy("k").rowsBetween(0, max((r.n for r in shapes), default=1) - 1)
+    long = table.select("symbol", "spacing", "k", F.collect_list(F.struct("idx", "date", "price", "ptype")).over(ahead).alias("win"))
+    long = long.withColumn("all_types", F.array_join(F.transform("win", lambda p: p["ptype"]), ""))
+    found = long.join(F.broadcast(flat), "spacing").filter(F.startswith("all_types", "types")).withColumn("win", F.slice("win", 1, F.length("types"))).drop("all_types")  # a row a spec
     prices = lambda t: F.transform(F.filter("win", lambda p: p["ptype"] == t), lambda p: p["price"])
     found = found.withColumns({"upper": F.array_max(prices("H")), "lower": F.array_min(prices("L")), "start_idx": F.get("win", F.lit(0))["idx"], "end_idx": F.try_element_at("win", F.lit(-1))["idx"]})
     found = found.withColumns({"width": F.col("end_idx") - F.col("start_idx") + 1, "height": (F.col("upper") - F.col("lower")) / ((F.col("upper") + F.col("lower")) / 2) * 100})
