@@ -89,7 +89,9 @@ _POLE = """, form AS (SELECT x.pattern_id, max(b.high) AS top, min(b.low) AS bot
 pole AS (SELECT x.pattern_id, min(b.low) AS low, arg_min(b.idx, b.low * 1000000 + b.idx) AS spot FROM x JOIN ind b ON b.symbol = x.symbol AND b.idx BETWEEN x.i1 - 60 AND x.i1 GROUP BY 1)"""
 _TIGHT = "coalesce(breakout_direction = 'up' AND (top - low) / low * 100 >= 100 AND i1 - spot + 1 <= 60 AND (top - bottom) / top * 100 <= 20, FALSE)"
 query("g9_flags", _sql("flags", [("flags_high_tight", _TIGHT, None), ("flags", f"NOT {_TIGHT}", None)], _POLE, "JOIN form ON form.pattern_id = x.pattern_id JOIN pole ON pole.pattern_id = x.pattern_id"))(lambda spark, d: _named(derived.flags(base_of(spark, d, "flags"), bars_of(spark, d))))
-query("g12_islands")(lambda spark, d: _named(derived.long_islands(barlocal.islands(bars_of(spark, d), max_bars=40, key="islands_base"))))
+_WIDE = O.ISLANDS.replace("x.idx < e.idx + 20", "x.idx < e.idx + 40").replace("islands", "islands_base")
+_NAME = "CASE WHEN pattern_width_bars > 10 THEN 'islands_long' ELSE 'island_reversals' END"
+query("g12_islands", f"SELECT symbol || '_' || {_NAME} || '_' || pattern_id AS pattern_id, {_NAME} AS pattern_name, pattern_type FROM ({_WIDE})")(lambda spark, d: _named(derived.long_islands(barlocal.islands(bars_of(spark, d), max_bars=40, key="islands_base"))))
 
 
 @query("e15_mirrored_bars", O.with_(O.CLEAN_BARS, "SELECT symbol, idx, round(a - open, 9) AS open, round(a - low, 9) AS high, round(a - high, 9) AS low, round(a - close, 9) AS close FROM (SELECT *, max(high) OVER (PARTITION BY symbol) + min(low) OVER (PARTITION BY symbol) AS a FROM ind)"))
