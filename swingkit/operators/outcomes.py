@@ -60,14 +60,15 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
     """One outcome row for each detection (of distinct pattern_id); never from a bar at or before the breakout.
 
     ``levels`` as of :func:`pivot_levels`, ``lookahead`` (pattern_name, lookahead_bars), ``overrides`` (pattern_id,
-    boundary, height) of single rows. A breakout without two later bars, or without a valid price, gives nulls.
+    height) of single rows: another height moves the target, and the opposite level, which decides invalidation, stays
+    that of ``levels``. A breakout without two later bars, or without a valid price, gives nulls.
     """
     out = breakout_positions(detections, bars)
     out = out.join(levels, "pattern_id", "left") if levels is not None else out.withColumns({"breakout_level": F.lit(None).cast("double"), "opposite_level": F.lit(None).cast("double")})
     out = out.join(F.broadcast(lookahead), "pattern_name", "left") if lookahead is not None else out.withColumn("lookahead_bars", F.lit(None).cast("int"))  # a row a pattern
     out = out.withColumns({"look": F.least(F.lit(LOOKAHEAD), F.coalesce("lookahead_bars", F.lit(LOOKAHEAD))), "way": F.when((direction() == "down") | (F.col("pattern_type") == "reversal_bearish"), -1).otherwise(1)})
     if overrides is not None:
-        out = out.join(overrides, "pattern_id", "left").withColumns({"opposite_level": F.coalesce("boundary", "opposite_level"), "target_price": F.coalesce(F.col("breakout_price") + F.col("way") * F.col("height"), "target_price")})
+        out = out.join(overrides, "pattern_id", "left").withColumns({"target_price": F.coalesce(F.col("breakout_price") + F.col("way") * F.col("height"), "target_price")})
     fine = F.col("breakout_idx").isNotNull() & (F.col("breakout_price") > 0) & (F.col("breakout_price") < float("inf"))
     lean = out.filter(fine).select("pattern_id", "symbol", "breakout_idx", F.col("breakout_date").alias("b_date"), F.col("breakout_price").alias("bp"), "breakout_level", "opposite_level", "target_price", "way", "look")
     down = F.col("way") < 0

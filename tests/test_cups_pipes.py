@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from swingkit.operators import clean, cups_pipes, pivots
+from swingkit.operators import clean, cups_pipes, outcomes, pivots
 from swingkit.operators.cups_pipes import Breakout, Cup, Pipe
 from swingkit.sources import bars as source
 from swingkit.sources import sinks, specs
@@ -81,3 +81,14 @@ def test_run_config(spark):
     runs = spark.createDataFrame([("a", 1, '{"x": "1"}'), ("b", 2, "no json"), ("c", 0, None)], "run_id string, created_at int, config_json string")
     assert sinks.run_config(runs).count() == 0
     assert [tuple(r) for r in sinks.run_config(runs, "a").collect()] == [("a", "x", "1")]
+
+
+def test_another_height_moves_the_target_alone(spark):
+    bars = legs(spark, ("cup", CUP))
+    found = cups_pipes.cups_with_handle(bars, pivots.pivots(bars))
+    name = found.first().pattern_id
+    levels = spark.createDataFrame([(name, 100.0, 90.0, 100.0)], "pattern_id string, breakout_level double, opposite_level double, boundary_price double")
+    plain = outcomes.evaluate(found, bars, levels).first()
+    other = outcomes.evaluate(found, bars, levels, overrides=spark.createDataFrame([(name, 1.0)], "pattern_id string, height double")).first()
+    assert plain.target_price > 120 and other.target_price == pytest.approx(plain.breakout_price + 1)
+    assert other.target_achieved_close and other.boundary_invalidated is plain.boundary_invalidated is False
