@@ -31,11 +31,12 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The expected values are written out here, so that the metadata table is held against something else than itself.
 _SETS = """(VALUES ('chapters_53', 53, 28, 0, 44, 10), ('strict_53', 53, 28, 0, 44, 10), ('event', 2, 2, 2, 0, 0), ('all_55', 55, 30, 2, 44, 10), ('strict_55', 55, 30, 2, 44, 10), ('digitized', 31, 11, 0, 8, 0))
   AS s(pattern_set, n_patterns, n_groups, n_proxies, n_with_spec, n_variants)"""
+_LONG = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("n_patterns", "n_groups", "n_proxies", "n_with_spec", "n_variants"))
 _IN = """CASE WHEN pattern_set = 'event' THEN pattern_name LIKE 'dead_cat%' WHEN pattern_set = 'digitized' THEN pattern_name NOT LIKE 'dead_cat%'
   WHEN pattern_name LIKE 'dead_cat%' THEN pattern_set IN ('all_55', 'strict_55') ELSE pattern_name IN ('three_falling_peaks', 'three_rising_valleys', 'gaps') END"""
 
 
-@query("j18_pattern_sets", f"SELECT s.*, (SELECT count(*) FROM ({_FOUND}) f WHERE {_IN}) AS n_detections FROM {_SETS}")
+@query("j18_pattern_sets", f"SELECT s.* REPLACE ({_LONG}), (SELECT count(*) FROM ({_FOUND}) f WHERE {_IN}) AS n_detections FROM {_SETS}")
 def _j18(spark, d):
     sets = specs.pattern_sets(spark)
     found = sets.join(_found(spark, d), sets["pattern_key"] == F.col("pattern_name")).groupBy("pattern_set").agg(F.sum("n_detections").alias("n_detections"))
@@ -49,7 +50,7 @@ _GROUPS = """(VALUES ('three_falling_peaks', 1, 'chart', 'Three Falling Peaks',
   ('dead_cat_bounce', 1, 'event', 'Dead-Cat Bounce', '54', 'Dead-Cat Bounce'), ('dead_cat_bounce_inverted', 1, 'event', 'Dead-Cat Bounce (Inverted)', '55', 'Dead-Cat Bounce')) AS g(pattern_group, n_patterns, kinds, names, chapter_ranges, display_name)"""
 
 
-@query("j11_metadata_rollup", f"SELECT g.*, f.n_detections FROM {_GROUPS} JOIN (SELECT pattern_name, count(*) AS n_detections FROM ({_FOUND}) GROUP BY 1) f ON f.pattern_name = g.pattern_group")
+@query("j11_metadata_rollup", f"SELECT g.* REPLACE (CAST(n_patterns AS BIGINT) AS n_patterns), f.n_detections FROM {_GROUPS} JOIN (SELECT pattern_name, count(*) AS n_detections FROM ({_FOUND}) GROUP BY 1) f ON f.pattern_name = g.pattern_group")
 def _j11(spark, d):
     return reports.metadata_rollup(specs.pattern_dim(spark)).join(_found(spark, d).withColumnRenamed("pattern_name", "pattern_group"), "pattern_group")
 
