@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +44,27 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
+def folder(spark: SparkSession) -> str:
+    """Where tables are written: in the folder of ``spark.checkpoint.dir``; a folder of this machine only in local mode."""
+    path, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or tempfile.mkdtemp(prefix="spark-", dir="/tmp")) + "/tables"
+
+
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A cached table that several queries of one application share."""
+    """A table that several queries of one application share, written once as Parquet.
+
+    What is built on it starts from a scan: its plan stays short, a lost executor loses nothing, and no memory is held.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = make().cache()
+        path = f"{folder(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _KEPT[key] = spark.read.parquet(path)
     return _KEPT[key]
 
 

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingkit.operators import barlocal, cups_pipes, derived, sequences
+from swingkit.operators import barlocal, derived, sequences
 from swingkit.plans import oracle as O
+from swingkit.plans import outcome_sql as D
 from swingkit.plans import reports
-from swingkit.plans.base import bars_of, kept, pivots_of, query
-from swingkit.plans.cup_pipe_queries import CUP, PIPE, cup_sql, pipe_sql
+from swingkit.plans.base import bars_of, pivots_of, query
 from swingkit.plans.pattern_queries import detections_of
 from swingkit.plans.report_queries import _DIM, _SPEC
 from swingkit.sources import specs
 
 
 def base_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    """Detections of one spec, kept."""
-    spec = specs.pattern_spec(spark, {key: specs.SPECS[key]})
-    return kept(spark, sf_dir, f"base {key}", lambda: sequences.detect_sequences(bars_of(spark, sf_dir), pivots_of(spark, sf_dir), spec))
+    """Detections of one spec."""
+    return detections_of(spark, sf_dir).filter(F.col("pattern_name") == key)
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def _e13(spark, d):
     return derived.extreme_widths(pivots_of(spark, d).filter("ptype = 'H'"), bars_of(spark, d))
 
 
-@query("j19_pattern_limits", O.with_(f"{O.detections()},{_DIM},{_SPEC}", """SELECT d.pattern_name, count(*) AS n, any_value(dim.canonical_key) AS canonical_key, any_value(s.width_min) AS width_min, any_value(s.width_max) AS width_max, round(any_value(s.height_max), 9) AS height_max
+@query("j19_pattern_limits", O.with_(f"{D.detections()},{_DIM},{_SPEC}", """SELECT d.pattern_name, count(*) AS n, any_value(dim.canonical_key) AS canonical_key, any_value(s.width_min) AS width_min, any_value(s.width_max) AS width_max, round(any_value(s.height_max), 9) AS height_max
   FROM det d LEFT JOIN dim ON dim.pattern_key = d.pattern_name LEFT JOIN spec s ON s.spec_key = d.pattern_name GROUP BY 1"""))
 def _j19(spark, d):
     found = detections_of(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n"))
@@ -129,29 +128,9 @@ for _name, _keys in (
     query(_name, O.sequences(_keys))(lambda spark, d, keys=_keys: _several(spark, d, keys))
 
 
-def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of all detectors over the shared bars and pivots, in one table; those of a built-in are marked, as a spec has its name."""
-    bars, raw = bars_of(spark, sf_dir), pivots_of(spark, sf_dir)
-    found = _several(spark, sf_dir, list(specs.SPECS))
-    for detect in (barlocal.inside_days, barlocal.gaps, barlocal.islands, barlocal.three_methods, barlocal.spikes, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats):
-        found = found.unionByName(detect(bars))
-    for detect in (sequences.detect_head_and_shoulders, sequences.detect_double_tops):
-        found = found.unionByName(detect(bars, raw).withColumn("pattern_name", F.concat("pattern_name", F.lit("_built_in"))))
-    for detect in (cups_pipes.cups_with_handle, cups_pipes.inverted_cups_with_handle):
-        found = found.unionByName(detect(bars, raw, CUP))
-    return found.unionByName(cups_pipes.pipes(bars, raw, PIPE)).unionByName(cups_pipes.pipes(bars, raw, PIPE, bottom=False))
-
-
-_ONES = [O.sequences(list(specs.SPECS)), O.INSIDE, O.GAPS, O.ISLANDS, O.THREE_METHODS, O.SPIKES, O.DEAD_CAT, O.INVERTED, cup_sql(CUP), cup_sql(CUP, True), pipe_sql(PIPE), pipe_sql(PIPE, False)]
-_ALL = " UNION ALL ".join(
-    [f"SELECT pattern_name, breakout_date FROM ({sql})" for sql in _ONES]
-    + [f"SELECT pattern_name || '_built_in', breakout_date FROM ({O.built_in(name)})" for name in ("head_and_shoulders_top", "double_tops")]
-)
-
-
-@query("f17_scan_counts", f"SELECT pattern_name, count(*) AS n, count(breakout_date) AS n_confirmed FROM ({_ALL}) GROUP BY pattern_name")
+@query("f17_scan_counts", O.with_(D.detections(), "SELECT pattern_name, count(*) AS n, count(breakout_date) AS n_confirmed FROM det GROUP BY pattern_name"))
 def _f17(spark, d):
-    return scan(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n"), F.count("breakout_date").alias("n_confirmed"))
+    return detections_of(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n"), F.count("breakout_date").alias("n_confirmed"))
 
 
 _V3 = """, w AS (SELECT s.pattern_id, CASE WHEN w1.w <= 3 THEN 'A' WHEN w1.w >= 7 THEN 'E' END || CASE WHEN w3.w <= 3 THEN 'A' WHEN w3.w >= 7 THEN 'E' END AS variant, s.breakout_date FROM s JOIN w1 USING (pattern_id) JOIN w3 USING (pattern_id))"""
@@ -163,12 +142,13 @@ def _j3(spark, d):
     return marked.groupBy(F.coalesce("variant", F.lit("unknown")).alias("variant")).agg(F.count("*").alias("n"), F.count("breakout_date").alias("n_confirmed"))
 
 
-@query("j11_group_names", O.with_(f"{O.detections()},{_DIM}", """SELECT coalesce(m.canonical_key, d.pattern_name) AS pattern_group, count(*) AS n, min(m.chapter) AS first_chapter, max(m.chapter) AS last_chapter, count(DISTINCT m.name) AS n_names FROM det d LEFT JOIN dim m ON m.canonical_key = d.pattern_name OR m.pattern_key = d.pattern_name GROUP BY 1"""))
+@query("j11_group_names", O.with_(f"{D.detections()},{_DIM}", """SELECT coalesce(m.canonical_key, d.pattern_name) AS pattern_group, count(*) AS n, min(m.chapter) AS first_chapter, max(m.chapter) AS last_chapter, count(DISTINCT m.name) AS n_names FROM det d LEFT JOIN dim m ON m.canonical_key = d.pattern_name OR m.pattern_key = d.pattern_name GROUP BY 1"""))
 def _j11(spark, d):
     dim = specs.pattern_dim(spark)
-    rolled = dim.groupBy(F.col("canonical_key").alias("pattern_name")).agg(F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_chapter"), F.countDistinct("name").alias("n_names"), F.count("*").alias("k"))
-    counted = detections_of(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n")).join(F.broadcast(rolled), "pattern_name", "left")  # a row a pattern
-    return counted.select(F.col("pattern_name").alias("pattern_group"), (F.col("n") * F.coalesce("k", F.lit(1))).alias("n"), "first_chapter", "last_chapter", F.coalesce("n_names", F.lit(0)).alias("n_names"))
+    by_name = dim.withColumn("pattern_name", F.explode(F.array_distinct(F.array("canonical_key", "pattern_key")))).select("pattern_name", "canonical_key", "chapter", "name")
+    counted = detections_of(spark, d).groupBy("pattern_name").agg(F.count("*").alias("n")).join(F.broadcast(by_name), "pattern_name", "left")  # at most two rows a pattern
+    chapters = [F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_chapter"), F.countDistinct("name").alias("n_names")]
+    return counted.groupBy(F.coalesce("canonical_key", "pattern_name").alias("pattern_group")).agg(F.sum("n").alias("n"), *chapters)
 
 
 @query("a4_spec_aliases", O.with_(f"{O.BARS},{_DIM},{_SPEC}", "SELECT dim.pattern_key, coalesce(o.spec_key, m.spec_key) AS used_spec, (SELECT count(DISTINCT symbol) FROM bars) AS n_symbols FROM dim LEFT JOIN spec o ON o.spec_key = dim.pattern_key LEFT JOIN spec m ON m.spec_key = dim.spec_key"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from swingkit.operators import barlocal, outcomes, overlap, sequences, universe
+from swingkit.operators import barlocal, cups_pipes, outcomes, overlap, sequences, universe
 from swingkit.plans import oracle as O
+from swingkit.plans import outcome_sql as D
 from swingkit.plans.base import bars_of, kept, pivots_of, query
+from swingkit.plans.cup_pipe_queries import CUP, PIPE
 from swingkit.sources import specs
 
 for _name, _detect, _sql in (
@@ -21,17 +26,34 @@ for _name, _detect, _sql in (
     query(_name, _sql)(lambda spark, d, f=_detect: f(bars_of(spark, d)))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of the specs that the outcome and report queries use."""
-    chosen = {k: specs.SPECS[k] for k in O.EVALUATED}
-    return kept(spark, sf_dir, "detections", lambda: sequences.detect_sequences(bars_of(spark, sf_dir), pivots_of(spark, sf_dir), specs.pattern_spec(spark, chosen)))
+    """Detections of all specs and of all other detectors, kept for all that chooses among them or builds on them.
+
+    The two built-in detectors are marked, as specs have their names. Every kind of detector writes a table of its own.
+    """
+    bars, raw = bars_of(spark, sf_dir), pivots_of(spark, sf_dir)
+    local = (barlocal.inside_days, barlocal.gaps, barlocal.islands, barlocal.three_methods, barlocal.spikes, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats)
+    built_in = (sequences.detect_head_and_shoulders, sequences.detect_double_tops)
+    marked = lambda df: df.withColumns({c: F.concat(c, F.lit("_built_in")) for c in ("pattern_id", "pattern_name")})
+    kinds = {
+        "specs": lambda: sequences.detect_sequences(bars, raw, specs.pattern_spec(spark)),
+        "bar local": lambda: _union([detect(bars) for detect in local]),
+        "built in": lambda: _union([marked(detect(bars, raw)) for detect in built_in]),
+        "cups": lambda: cups_pipes.cups_with_handle(bars, raw, CUP).unionByName(cups_pipes.inverted_cups_with_handle(bars, raw, CUP)),
+        "pipes": lambda: cups_pipes.pipes(bars, raw, PIPE).unionByName(cups_pipes.pipes(bars, raw, PIPE, bottom=False)),
+    }
+    return _union([kept(spark, sf_dir, f"found {kind}", make) for kind, make in kinds.items()])
 
 
 def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of their confirmed breakouts."""
 
     def make() -> DataFrame:
-        types = spark.createDataFrame([(k, "".join(specs.SPECS[k]["detection_signature"]["pivot_sequence"])) for k in O.EVALUATED], "pattern_name string, types string")
+        types = specs.pattern_spec(spark).select(F.col("spec_key").alias("pattern_name"), F.array_join("detection_signature.pivot_sequence", "").alias("types"))
         bars, chosen = bars_of(spark, sf_dir), universe.confirmed(detections_of(spark, sf_dir))
         return outcomes.evaluate(chosen, bars, outcomes.pivot_levels(chosen, bars, types))
 
@@ -42,30 +64,30 @@ found_by = detections_of
 
 _ID = "SELECT pattern_id FROM "
 
-query("b7_anchor_dates", O.with_(O.detections(), _ID + "det WHERE coalesce(breakout_date, formation_end) BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"))(lambda spark, d: universe.by_anchor(found_by(spark, d), "breakout_or_end", "1997-01-01", "1999-12-31").select("pattern_id"))
-query("b8_confirmed", O.with_(O.detections(), _ID + "det WHERE breakout_date IS NOT NULL AND breakout_price IS NOT NULL AND pattern_name <> 'double_tops'"))(lambda spark, d: universe.confirmed(found_by(spark, d), ["double_tops"]).select("pattern_id"))
-query("b9_min_price_scan", O.with_(O.detections(), _ID + "det WHERE breakout_price >= 100"))(lambda spark, d: universe.min_price(found_by(spark, d), 100).select("pattern_id"))
-query("b9_min_price_report", O.with_(O.detections(), _ID + "det WHERE breakout_price IS NULL OR breakout_price >= 100"))(lambda spark, d: universe.min_price(found_by(spark, d), 100, True).select("pattern_id"))
-query("b11_pattern_subset", O.with_(O.detections(), _ID + "det WHERE pattern_name IN ('three_falling_peaks', 'three_rising_valleys')"))(lambda spark, d: universe.of_patterns(found_by(spark, d), ["three_falling_peaks", "three_rising_valleys"], specs.pattern_dim(spark)).select("pattern_id"))
+query("b7_anchor_dates", O.with_(D.detections(), _ID + "det WHERE coalesce(breakout_date, formation_end) BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"))(lambda spark, d: universe.by_anchor(found_by(spark, d), "breakout_or_end", "1997-01-01", "1999-12-31").select("pattern_id"))
+query("b8_confirmed", O.with_(D.detections(), _ID + "det WHERE breakout_date IS NOT NULL AND breakout_price IS NOT NULL AND pattern_name <> 'double_tops'"))(lambda spark, d: universe.confirmed(found_by(spark, d), ["double_tops"]).select("pattern_id"))
+query("b9_min_price_scan", O.with_(D.detections(), _ID + "det WHERE breakout_price >= 100"))(lambda spark, d: universe.min_price(found_by(spark, d), 100).select("pattern_id"))
+query("b9_min_price_report", O.with_(D.detections(), _ID + "det WHERE breakout_price IS NULL OR breakout_price >= 100"))(lambda spark, d: universe.min_price(found_by(spark, d), 100, True).select("pattern_id"))
+query("b11_pattern_subset", O.with_(D.detections(), _ID + "det WHERE pattern_name IN ('three_falling_peaks', 'three_rising_valleys')"))(lambda spark, d: universe.of_patterns(found_by(spark, d), ["three_falling_peaks", "three_rising_valleys"], specs.pattern_dim(spark)).select("pattern_id"))
 _FIRST = "row_number() OVER (PARTITION BY symbol ORDER BY coalesce(CAST(breakout_date AS VARCHAR), ''), confidence_score DESC, pattern_name, pattern_id)"
-query("b12_cap_first", O.with_(O.detections(), f"{_ID}det QUALIFY {_FIRST} <= 3"))(lambda spark, d: universe.cap(found_by(spark, d), ["symbol"], 3, "first").select("pattern_id"))
+query("b12_cap_first", O.with_(D.detections(), f"{_ID}det QUALIFY {_FIRST} <= 3"))(lambda spark, d: universe.cap(found_by(spark, d), ["symbol"], 3, "first").select("pattern_id"))
 _TOP = "row_number() OVER (PARTITION BY symbol, pattern_name ORDER BY confidence_score DESC, coalesce(CAST(breakout_date AS VARCHAR), ''), pattern_id)"
-query("b12_cap_top_confidence", O.with_(O.detections(), f"{_ID}det QUALIFY {_TOP} <= 1"))(lambda spark, d: universe.cap(found_by(spark, d), ["symbol", "pattern_name"], 1, "top_confidence").select("pattern_id"))
+query("b12_cap_top_confidence", O.with_(D.detections(), f"{_ID}det QUALIFY {_TOP} <= 1"))(lambda spark, d: universe.cap(found_by(spark, d), ["symbol", "pattern_name"], 1, "top_confidence").select("pattern_id"))
 query("b12_cap_random")(lambda spark, d: universe.cap(found_by(spark, d), ["symbol"], 2, "random", 7).select("pattern_id"))
 _CASES = "row_number() OVER (PARTITION BY pattern_name, breakout_direction ORDER BY confidence_score DESC, pattern_width_bars DESC, pattern_id)"
-query("b13_top_cases", O.with_(O.detections(), f"SELECT pattern_id, {_CASES} AS case_rank FROM det WHERE breakout_direction IS NOT NULL QUALIFY case_rank <= 3"))(lambda spark, d: universe.top_cases(found_by(spark, d)).select("pattern_id", "case_rank"))
+query("b13_top_cases", O.with_(D.detections(), f"SELECT pattern_id, {_CASES} AS case_rank FROM det WHERE breakout_direction IS NOT NULL QUALIFY case_rank <= 3"))(lambda spark, d: universe.top_cases(found_by(spark, d)).select("pattern_id", "case_rank"))
 
 _TEXT = ["bust_failure_date", "boundary_invalidation_date", "ultimate_date", "throwback_pullback_date", "target_achievement_date", "breakout_date"]
 _ROUND = ["breakout_price", "target_price", "stop_loss_price", "bust_failure_pct", "ultimate_price", "max_favorable_excursion_pct", "max_adverse_excursion_pct"]
 _RES = "SELECT * REPLACE (" + ", ".join([*(f"CAST({c} AS VARCHAR) AS {c}" for c in _TEXT), *(f"round({c}, 9) AS {c}" for c in _ROUND), "CAST(evaluation_window_bars AS BIGINT) AS evaluation_window_bars"]) + ") FROM res"
 
 
-query("h_outcomes", O.with_(O.OUTCOMES, _RES))(outcomes_of)
+query("h_outcomes", O.with_(D.OUTCOMES, _RES))(outcomes_of)
 
 
 def _greedy(order: str) -> str:
     """The greedy choice row by row, over the detections of each symbol in order."""
-    ctes = f"""{O.detections()},
+    ctes = f"""{D.detections()},
 o AS (SELECT pattern_id, symbol, CAST(split_part(pivot_indices, ',', 1) AS BIGINT) AS lo, CAST(split_part(pivot_indices, ',', -1) AS BIGINT) AS hi, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS k FROM det),
 walk AS (SELECT symbol, k, [pattern_id] AS kept, [{{'lo': lo, 'hi': hi}}] AS spans FROM o WHERE k = 1
   UNION ALL SELECT symbol, k, CASE WHEN clash THEN kept ELSE list_append(kept, pattern_id) END, CASE WHEN clash THEN spans ELSE list_append(spans, {{'lo': lo, 'hi': hi}}) END

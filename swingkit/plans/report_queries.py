@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swingkit.operators import clean
 from swingkit.plans import oracle as O
+from swingkit.plans import outcome_sql as D
 from swingkit.plans import reports
-from swingkit.plans.base import bars_of, kept, query
+from swingkit.plans.base import bars_of, folder, kept, query
 from swingkit.plans.pattern_queries import detections_of, outcomes_of
 from swingkit.sources import bars as source
 from swingkit.sources import sinks, specs
@@ -46,7 +45,7 @@ fr0 AS (SELECT d.*, r.* EXCLUDE (pattern_id, symbol, pattern_name, breakout_date
 fr1 AS (SELECT f.*, a.close AS now FROM fr0 f ASOF LEFT JOIN idxs a ON f.breakout_date >= a.date),
 fr2 AS (SELECT f.*, b.close AS old FROM fr1 f ASOF LEFT JOIN idxs b ON f.past >= b.date),
 frame AS (SELECT f.*, CASE WHEN breakout_date IS NULL THEN NULL WHEN now > old THEN 'bull' WHEN now <= old THEN 'bear' END AS market_regime, coalesce(m.canonical_key, f.pattern_name) AS pattern_group FROM fr2 f LEFT JOIN dim m ON m.pattern_key = f.pattern_name)"""
-FRAME = f"{O.OUTCOMES},{_DIM},{_REGIME}"
+FRAME = f"{D.OUTCOMES},{_DIM},{_REGIME}"
 _A = "avg(CAST({c} AS INTEGER)) * 100"
 _r = lambda e, n: f"round({e}, 9) AS {n}"
 
@@ -62,13 +61,13 @@ _STATS = [("throwback_pullback_rate_pct", "throwback_pullback_occurred"), ("targ
 _MEANS = "round(avg(max_favorable_excursion_pct), 9) AS avg_mfe_pct, round(avg(max_adverse_excursion_pct), 9) AS avg_mae_pct, round(avg(days_to_ultimate), 9) AS avg_days_to_ultimate"
 _RATES = ", ".join(_r(_A.format(c=c), n) for n, c in _STATS)
 
-query("j1_run_stats", O.with_(O.OUTCOMES, f"""SELECT (SELECT count(*) FROM det) AS detections_total, (SELECT count(breakout_date) FROM det) AS detections_with_breakout, count(*) AS evaluations_total, {_RATES}, {_r(_A.format(c='bust_failure_10pct'), 'bust_failure_rate_10pct')},
+query("j1_run_stats", O.with_(D.OUTCOMES, f"""SELECT (SELECT count(*) FROM det) AS detections_total, (SELECT count(breakout_date) FROM det) AS detections_with_breakout, count(*) AS evaluations_total, {_RATES}, {_r(_A.format(c='bust_failure_10pct'), 'bust_failure_rate_10pct')},
   {_r(_A.format(c='target_achieved_close'), 'target_achievement_rate_close_pct')}, {_MEANS} FROM res"""))(lambda spark, d: reports.run_stats(*results(spark, d)[1:]))
-query("j2_stats_by_pattern", O.with_(O.OUTCOMES, f"SELECT pattern_name, count(*) AS n, {_RATES}, {_MEANS} FROM res GROUP BY pattern_name"))(lambda spark, d: reports.stats_by(results(spark, d)[2]))
+query("j2_stats_by_pattern", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n, {_RATES}, {_MEANS} FROM res GROUP BY pattern_name"))(lambda spark, d: reports.stats_by(results(spark, d)[2]))
 _SHARES = {"bust_5pct": "bust_failure_5pct", "invalidated_pct": "boundary_invalidated", "throwback_pct": "throwback_pullback_occurred", "target_pct": "target_achieved_intraday", "retested_breakout_pct": "retested_breakout_level", "retested_boundary_pct": "retested_boundary_level"}
 _MM = ", ".join(f"round(avg({c}), 9) AS mean_{n}, round(median({c}), 9) AS median_{n}" for n, c in (("days", "days_to_ultimate"), ("mfe", "max_favorable_excursion_pct"), ("mae", "max_adverse_excursion_pct")))
-query("j4_totals", O.with_(O.OUTCOMES, f"SELECT count(*) AS total, {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*) * 100, 9) AS {n}' for n, c in _SHARES.items())}, {_MM} FROM res"))(lambda spark, d: reports.totals(results(spark, d)[2]))
-query("j5_stop_reasons", O.with_(O.OUTCOMES, "SELECT ultimate_stop_reason, count(*) AS n FROM res WHERE ultimate_stop_reason IS NOT NULL GROUP BY 1"))(lambda spark, d: reports.stop_reasons(results(spark, d)[2]))
+query("j4_totals", O.with_(D.OUTCOMES, f"SELECT count(*) AS total, {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*) * 100, 9) AS {n}' for n, c in _SHARES.items())}, {_MM} FROM res"))(lambda spark, d: reports.totals(results(spark, d)[2]))
+query("j5_stop_reasons", O.with_(D.OUTCOMES, "SELECT ultimate_stop_reason, count(*) AS n FROM res WHERE ultimate_stop_reason IS NOT NULL GROUP BY 1"))(lambda spark, d: reports.stop_reasons(results(spark, d)[2]))
 query("j6_market_regime", O.with_(FRAME, "SELECT pattern_id, CAST(breakout_date AS VARCHAR) AS breakout_date, market_regime FROM frame"))(lambda spark, d: frame_of(spark, d).select("pattern_id", "breakout_date", "market_regime"))
 query("j8_pattern_groups", O.with_(FRAME, "SELECT pattern_group, count(*) AS n FROM frame GROUP BY 1"))(lambda spark, d: frame_of(spark, d).groupBy("pattern_group").agg(F.count("*").alias("n")))
 query("j9_pattern_report", O.with_(FRAME, _report_sql("pattern_group")))(lambda spark, d: reports.pattern_report(frame_of(spark, d)))
@@ -77,11 +76,11 @@ _CONF = "breakout_date IS NOT NULL AND breakout_price IS NOT NULL"
 query("j12_symbol_frequency", O.with_(FRAME, f"""SELECT symbol, pattern_group, coalesce(market_regime, 'unknown') AS market_regime, count(*) AS n_detections, count(*) FILTER (WHERE {_CONF}) AS n_confirmed, count(*) FILTER (WHERE {_CONF} AND evaluation_window_bars IS NOT NULL) AS n_evaluated,
   round(count(*) FILTER (WHERE {_CONF}) / count(*) * 100, 9) AS confirmed_pct, count(*) FILTER (WHERE breakout_direction = 'up') AS n_up, count(*) FILTER (WHERE breakout_direction = 'down') AS n_down, count(*) FILTER (WHERE {_CONF} AND breakout_direction IS NULL) AS n_unknown FROM frame GROUP BY ALL"""))(lambda spark, d: reports.symbol_frequency(frame_of(spark, d)))
 query("j13_symbol_performance", O.with_(FRAME, _report_sql("symbol, pattern_group")))(lambda spark, d: reports.symbol_performance(frame_of(spark, d)))
-query("j14_sanity", O.with_(O.detections(), "SELECT pattern_name, count(*) AS n, count(*) FILTER (WHERE pattern_width_bars <= 0) AS bad_width, count(*) FILTER (WHERE pattern_height_pct <= 0) AS bad_height, count(*) FILTER (WHERE confidence_score NOT BETWEEN 0 AND 100) AS bad_confidence FROM det GROUP BY 1"))(lambda spark, d: reports.sanity(results(spark, d)[1]))
+query("j14_sanity", O.with_(D.detections(), "SELECT pattern_name, count(*) AS n, count(*) FILTER (WHERE pattern_width_bars <= 0) AS bad_width, count(*) FILTER (WHERE pattern_height_pct <= 0) AS bad_height, count(*) FILTER (WHERE confidence_score NOT BETWEEN 0 AND 100) AS bad_confidence FROM det GROUP BY 1"))(lambda spark, d: reports.sanity(results(spark, d)[1]))
 _NARROW = ", lim AS (SELECT pattern_key, CASE WHEN o.spec_key IS NOT NULL THEN 'own' WHEN m.spec_key IS NOT NULL THEN 'mapped' ELSE 'none' END AS limit_source, coalesce(o.width_min, m.width_min) AS width_min, coalesce(o.width_max, m.width_max) / 2 AS width_max, coalesce(o.height_min, m.height_min) AS height_min, coalesce(o.height_max, m.height_max) / 4 AS height_max FROM dim LEFT JOIN spec o ON o.spec_key = dim.pattern_key LEFT JOIN spec m ON m.spec_key = dim.spec_key)"
 
 
-@query("j15_spec_compliance", O.with_(f"{O.detections()},{_DIM},{_SPEC}{_NARROW}", """SELECT pattern_name, limit_source, count(*) AS n, round(avg(CAST(pattern_width_bars NOT BETWEEN width_min AND width_max AS INTEGER)) * 100, 9) AS width_outside_pct, round(avg(CAST(pattern_height_pct NOT BETWEEN height_min AND height_max AS INTEGER)) * 100, 9) AS height_outside_pct
+@query("j15_spec_compliance", O.with_(f"{D.detections()},{_DIM},{_SPEC}{_NARROW}", """SELECT pattern_name, limit_source, count(*) AS n, round(avg(CAST(pattern_width_bars NOT BETWEEN width_min AND width_max AS INTEGER)) * 100, 9) AS width_outside_pct, round(avg(CAST(pattern_height_pct NOT BETWEEN height_min AND height_max AS INTEGER)) * 100, 9) AS height_outside_pct
   FROM det JOIN lim ON pattern_key = pattern_name GROUP BY 1, 2"""))
 def _j15(spark, d):
     limits = reports.with_limits(specs.pattern_dim(spark), specs.pattern_spec(spark))
@@ -89,10 +88,10 @@ def _j15(spark, d):
     return reports.compliance(results(spark, d)[1], narrow)
 
 
-query("j16_outcome_kpis", O.with_(O.OUTCOMES, f"SELECT pattern_name, count(*) AS n_evals, round(median(max_favorable_excursion_pct), 9) AS median_move_pct, round(median(days_to_ultimate), 9) AS median_days, {', '.join(_r(_A.format(c=f'(max_favorable_excursion_pct < {n})'), f'failure_lt_{n}_pct') for n in (5, 10))} FROM res GROUP BY 1 HAVING count(*) >= 10"))(lambda spark, d: reports.outcome_kpis(results(spark, d)[2], 10))
+query("j16_outcome_kpis", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n_evals, round(median(max_favorable_excursion_pct), 9) AS median_move_pct, round(median(days_to_ultimate), 9) AS median_days, {', '.join(_r(_A.format(c=f'(max_favorable_excursion_pct < {n})'), f'failure_lt_{n}_pct') for n in (5, 10))} FROM res GROUP BY 1 HAVING count(*) >= 10"))(lambda spark, d: reports.outcome_kpis(results(spark, d)[2], 10))
 
 
-@query("j17_compare_runs", O.with_(O.OUTCOMES, """SELECT coalesce(a.pattern_name, b.pattern_name) AS pattern_name, coalesce(a.n, 0) AS n_calibration, coalesce(b.n, 0) AS n_validation FROM (SELECT pattern_name, count(*) AS n FROM res WHERE breakout_date < DATE '1998-01-01' GROUP BY 1) a
+@query("j17_compare_runs", O.with_(D.OUTCOMES, """SELECT coalesce(a.pattern_name, b.pattern_name) AS pattern_name, coalesce(a.n, 0) AS n_calibration, coalesce(b.n, 0) AS n_validation FROM (SELECT pattern_name, count(*) AS n FROM res WHERE breakout_date < DATE '1998-01-01' GROUP BY 1) a
   FULL JOIN (SELECT pattern_name, count(*) AS n FROM res WHERE breakout_date >= DATE '1998-01-01' GROUP BY 1) b ON a.pattern_name = b.pattern_name"""))
 def _j17(spark, d):
     out = results(spark, d)[2]
@@ -102,7 +101,7 @@ def _j17(spark, d):
 _CASE = """, cs AS (SELECT * FROM det WHERE breakout_direction IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pattern_name, breakout_direction ORDER BY confidence_score DESC, pattern_width_bars DESC, pattern_id) <= 1)"""
 
 
-@query("j20_case_bars", O.with_(O.detections() + _CASE, "SELECT c.pattern_id, x.symbol, x.idx, CAST(x.date AS VARCHAR) AS date, round(x.open, 9) AS open, round(x.high, 9) AS high, round(x.low, 9) AS low, round(x.close, 9) AS close, x.volume FROM cs c JOIN ind x ON x.symbol = c.symbol AND x.idx BETWEEN CAST(split_part(c.pivot_indices, ',', 1) AS BIGINT) - 30 AND CAST(split_part(c.pivot_indices, ',', -1) AS BIGINT) + 30"))
+@query("j20_case_bars", O.with_(D.detections() + _CASE, "SELECT c.pattern_id, x.symbol, x.idx, CAST(x.date AS VARCHAR) AS date, round(x.open, 9) AS open, round(x.high, 9) AS high, round(x.low, 9) AS low, round(x.close, 9) AS close, x.volume FROM cs c JOIN ind x ON x.symbol = c.symbol AND x.idx BETWEEN CAST(split_part(c.pivot_indices, ',', 1) AS BIGINT) - 30 AND CAST(split_part(c.pivot_indices, ',', -1) AS BIGINT) + 30"))
 def _j20(spark, d):
     from swingkit.operators.universe import top_cases
 
@@ -110,7 +109,7 @@ def _j20(spark, d):
     return reports.case_bars(top_cases(found, 1), bars)
 
 
-@query("j21_detections_by_pattern", O.with_(O.detections(), "SELECT pattern_name, count(*) AS n FROM det GROUP BY 1"))
+@query("j21_detections_by_pattern", O.with_(D.detections(), "SELECT pattern_name, count(*) AS n FROM det GROUP BY 1"))
 def _j21(spark, d):
     results(spark, d)[1].createOrReplaceTempView("pattern_detections")
     return spark.sql("SELECT pattern_name, count(*) AS n FROM pattern_detections GROUP BY pattern_name")
@@ -119,29 +118,22 @@ def _j21(spark, d):
 # Result tables: written, read again, and compared with what went in.
 
 
-def _folder(spark: SparkSession) -> str:
-    path, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
-    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (path or tempfile.mkdtemp(prefix="spark-", dir="/tmp")) + "/tables"
-
-
-@query("a5_detections_table", O.with_(O.detections(), O.DETECTION_SELECT.format(source="det")))
+@query("a5_detections_table", O.with_(D.detections(), O.DETECTION_SELECT.format(source="det")))
 def _a5(spark, d):
     import uuid
 
-    found, path = results(spark, d)[1], f"{_folder(spark)}/detections-{uuid.uuid4().hex}"
+    found, path = results(spark, d)[1], f"{folder(spark)}/detections-{uuid.uuid4().hex}"
     sinks.write_detections(found.limit(5), "other", path)
     sinks.write_detections(found.unionByName(found), "run", path)
     return spark.read.parquet(path).filter("run_id = 'run'").drop("run_id").select(found.columns)
 
 
-@query("a11_run_frame", O.with_(O.OUTCOMES, "SELECT d.pattern_id, d.symbol, d.pattern_name, round(r.ultimate_price, 9) AS ultimate_price, r.days_to_ultimate FROM det d LEFT JOIN res r USING (pattern_id)"))
+@query("a11_run_frame", O.with_(D.OUTCOMES, "SELECT d.pattern_id, d.symbol, d.pattern_name, round(r.ultimate_price, 9) AS ultimate_price, r.days_to_ultimate FROM det d LEFT JOIN res r USING (pattern_id)"))
 def _a11(spark, d):
     import uuid
 
     _, found, out = results(spark, d)
-    path = f"{_folder(spark)}/outcomes-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/outcomes-{uuid.uuid4().hex}"
     sinks.write_outcomes(out, "run", path)
     return reports.run_frame(found, spark.read.parquet(path).drop("run_id")).select("pattern_id", "symbol", "pattern_name", "ultimate_price", "days_to_ultimate")
 
@@ -160,6 +152,6 @@ def _a7(spark, d):
 def _a12(spark, d):
     import uuid
 
-    path = f"{_folder(spark)}/bars-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/bars-{uuid.uuid4().hex}"
     sinks.write_bars(bars_of(spark, d), path, 8)
     return source.load_bars(spark, path).select("symbol", "idx", "date", "close", "atr")

@@ -7,57 +7,73 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingkit.operators import barlocal, outcomes
+from swingkit.operators import outcomes
 from swingkit.plans import oracle as O
+from swingkit.plans import outcome_sql as D
 from swingkit.plans import reports
-from swingkit.plans.base import bars_of, query
+from swingkit.plans.base import bars_of, folder, query
 from swingkit.plans.pattern_queries import detections_of, outcomes_of
-from swingkit.plans.report_queries import _folder
 from swingkit.sources import sinks, specs
 
-_FOUND = "SELECT pattern_name FROM ({0}) UNION ALL SELECT pattern_name FROM ({1}) UNION ALL SELECT pattern_name FROM ({2}) UNION ALL SELECT pattern_name FROM ({3})".format(
-    O.with_(O.detections(), "SELECT pattern_name FROM det"), O.GAPS, O.DEAD_CAT, O.INVERTED
-)
+_FOUND = D.detections()
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of detections by pattern, of specs, gaps and events."""
-    bars, found = bars_of(spark, sf_dir), detections_of(spark, sf_dir).select("pattern_name")
-    for detect in (barlocal.gaps, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats):
-        found = found.unionByName(detect(bars).select("pattern_name"))
-    return found.groupBy("pattern_name").agg(F.count("*").alias("n_detections"))
+    """Numbers of detections by pattern."""
+    return detections_of(spark, sf_dir).groupBy("pattern_name").agg(F.count("*").alias("n_detections"))
 
 
 # The expected values are written out here, so that the metadata table is held against something else than itself.
 _SETS = """(VALUES ('chapters_53', 53, 28, 0, 44, 10), ('strict_53', 53, 28, 0, 44, 10), ('event', 2, 2, 2, 0, 0), ('all_55', 55, 30, 2, 44, 10), ('strict_55', 55, 30, 2, 44, 10), ('digitized', 31, 11, 0, 8, 0))
   AS s(pattern_set, n_patterns, n_groups, n_proxies, n_with_spec, n_variants)"""
 _LONG = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("n_patterns", "n_groups", "n_proxies", "n_with_spec", "n_variants"))
-_IN = """CASE WHEN pattern_set = 'event' THEN pattern_name LIKE 'dead_cat%' WHEN pattern_set = 'digitized' THEN pattern_name NOT LIKE 'dead_cat%'
-  WHEN pattern_name LIKE 'dead_cat%' THEN pattern_set IN ('all_55', 'strict_55') ELSE pattern_name IN ('three_falling_peaks', 'three_rising_valleys', 'gaps') END"""
+_CHAPTERS = """('broadening_bottoms', 'broadening_formations_right_angled_ascending', 'broadening_formations_right_angled_descending', 'broadening_tops', 'bump_and_run_reversal_bottoms', 'cup_with_handle', 'cup_with_handle_inverted',
+  'flags', 'gaps', 'pennants', 'pipe_bottoms', 'pipe_tops', 'rounding_tops', 'three_falling_peaks', 'three_rising_valleys', 'triple_bottoms', 'triple_tops')"""
+_DIGITIZED = """('broadening_bottoms', 'broadening_formations_right_angled_ascending', 'broadening_formations_right_angled_descending', 'broadening_tops', 'broadening_wedges', 'bump_and_run_reversal', 'cup_with_handle', 'diamond_bottom', 'diamond_top',
+  'double_bottoms', 'double_tops', 'flags', 'gaps', 'head_and_shoulders_bottom', 'head_and_shoulders_top', 'horn_bottoms_tops', 'inside_day', 'islands', 'measured_move_down_up', 'pennants', 'pipe_bottoms', 'rectangle_bottoms_tops',
+  'rising_falling_three_methods', 'rounding_bottoms_tops', 'scallop_ascending_descending', 'spike_formation', 'three_falling_peaks', 'three_rising_valleys', 'triangles', 'triple_bottoms_tops', 'wedges_ascending_descending')"""
+_IN = f"""CASE WHEN pattern_set = 'event' THEN pattern_name LIKE 'dead_cat%' WHEN pattern_set = 'digitized' THEN pattern_name IN {_DIGITIZED}
+  WHEN pattern_name LIKE 'dead_cat%' THEN pattern_set IN ('all_55', 'strict_55') ELSE pattern_name IN {_CHAPTERS} END"""
 
 
-@query("j18_pattern_sets", f"SELECT s.* REPLACE ({_LONG}), (SELECT count(*) FROM ({_FOUND}) f WHERE {_IN}) AS n_detections FROM {_SETS}")
+@query("j18_pattern_sets", O.with_(_FOUND, f"SELECT s.* REPLACE ({_LONG}), (SELECT count(*) FROM det WHERE {_IN}) AS n_detections FROM {_SETS}"))
 def _j18(spark, d):
     sets = specs.pattern_sets(spark)
     found = sets.join(_found(spark, d), sets["pattern_key"] == F.col("pattern_name")).groupBy("pattern_set").agg(F.sum("n_detections").alias("n_detections"))
     return reports.coverage(specs.pattern_dim(spark), specs.pattern_spec(spark), sets).join(found, "pattern_set", "left").fillna(0, ["n_detections"])
 
 
-_GROUPS = """(VALUES ('three_falling_peaks', 1, 'chart', 'Three Falling Peaks', '45', 'Three Falling Peaks'), ('three_rising_valleys', 1, 'chart', 'Three Rising Valleys', '46', 'Three Rising Valleys'),
+_GROUPS = """(VALUES ('broadening_bottoms', 1, 'chart', 'Broadening Bottoms', '1', 'Broadening Bottoms'), ('broadening_tops', 1, 'chart', 'Broadening Tops', '4', 'Broadening Tops'),
+  ('broadening_formations_right_angled_ascending', 1, 'chart', 'Broadening Formations, Right-Angled and Ascending', '2', 'Broadening Formations'),
+  ('broadening_formations_right_angled_descending', 1, 'chart', 'Broadening Formations, Right-Angled and Descending', '3', 'Broadening Formations'),
   ('broadening_wedges', 2, 'chart', 'Broadening Wedges, Ascending;Broadening Wedges, Descending', '5-6', 'Broadening Wedges'),
+  ('bump_and_run_reversal', 2, 'chart', 'Bump-and-Run Reversal Bottoms;Bump-and-Run Reversal Tops', '7-8', 'bump_and_run_reversal'),
+  ('cup_with_handle', 2, 'chart', 'Cup with Handle;Cup with Handle (Inverted)', '9-10', 'Cup with Handle'),
+  ('diamond_bottom', 1, 'chart', 'Diamond Bottoms', '11', 'Diamond Bottoms'), ('diamond_top', 1, 'chart', 'Diamond Tops', '12', 'Diamond Tops'),
+  ('double_bottoms', 4, 'chart', 'Double Bottoms, Adam & Adam;Double Bottoms, Adam & Eve;Double Bottoms, Eve & Adam;Double Bottoms, Eve & Eve', '13-16', 'Double Bottoms'),
   ('double_tops', 4, 'chart', 'Double Tops, Adam & Adam;Double Tops, Adam & Eve;Double Tops, Eve & Adam;Double Tops, Eve & Eve', '17-20', 'Double Tops'),
-  ('rectangle_bottoms_tops', 2, 'chart', 'Rectangle Bottoms;Rectangle Tops', '37-38', 'rectangle_bottoms_tops'), ('gaps', 1, 'chart', 'Gaps', '23', 'Gaps'),
+  ('flags', 2, 'chart', 'Flags;Flags, High and Tight', '21-22', 'Flags'), ('gaps', 1, 'chart', 'Gaps', '23', 'Gaps'),
+  ('head_and_shoulders_bottom', 2, 'chart', 'Head-and-Shoulders Bottoms;Head-and-Shoulders Bottoms (Complex)', '24-25', 'Head-and-Shoulders Bottoms'),
+  ('head_and_shoulders_top', 2, 'chart', 'Head-and-Shoulders Tops;Head-and-Shoulders Tops (Complex)', '26-27', 'Head-and-Shoulders Tops'),
+  ('horn_bottoms_tops', 2, 'chart', 'Horn Bottoms;Horn Tops', '28-29', 'horn_bottoms_tops'), ('islands', 2, 'chart', 'Island Reversals;Islands, Long', '30-31', 'islands'),
+  ('measured_move_down_up', 2, 'chart', 'Measured Move Down;Measured Move Up', '32-33', 'measured_move_down_up'), ('pennants', 1, 'chart', 'Pennants', '34', 'Pennants'),
+  ('pipe_bottoms', 2, 'chart', 'Pipe Bottoms;Pipe Tops', '35-36', 'pipe_bottoms'), ('rectangle_bottoms_tops', 2, 'chart', 'Rectangle Bottoms;Rectangle Tops', '37-38', 'rectangle_bottoms_tops'),
+  ('rounding_bottoms_tops', 2, 'chart', 'Rounding Bottoms;Rounding Tops', '39-40', 'rounding_bottoms_tops'),
+  ('scallop_ascending_descending', 4, 'chart', 'Scallops, Ascending;Scallops, Ascending (Inverted);Scallops, Descending;Scallops, Descending (Inverted)', '41-44', 'Scallops'),
+  ('three_falling_peaks', 1, 'chart', 'Three Falling Peaks', '45', 'Three Falling Peaks'), ('three_rising_valleys', 1, 'chart', 'Three Rising Valleys', '46', 'Three Rising Valleys'),
+  ('triangles', 3, 'chart', 'Triangles, Ascending;Triangles, Descending;Triangles, Symmetrical', '47-49', 'Triangles'),
+  ('wedges_ascending_descending', 2, 'chart', 'Wedges, Falling;Wedges, Rising', '52-53', 'Wedges'),
   ('dead_cat_bounce', 1, 'event', 'Dead-Cat Bounce', '54', 'Dead-Cat Bounce'), ('dead_cat_bounce_inverted', 1, 'event', 'Dead-Cat Bounce (Inverted)', '55', 'Dead-Cat Bounce')) AS g(pattern_group, n_patterns, kinds, names, chapter_ranges, display_name)"""
 
 
-@query("j11_metadata_rollup", f"SELECT g.* REPLACE (CAST(n_patterns AS BIGINT) AS n_patterns), f.n_detections FROM {_GROUPS} JOIN (SELECT pattern_name, count(*) AS n_detections FROM ({_FOUND}) GROUP BY 1) f ON f.pattern_name = g.pattern_group")
+@query("j11_metadata_rollup", O.with_(_FOUND, f"SELECT g.* REPLACE (CAST(n_patterns AS BIGINT) AS n_patterns), f.n_detections FROM {_GROUPS} JOIN (SELECT pattern_name, count(*) AS n_detections FROM det GROUP BY 1) f ON f.pattern_name = g.pattern_group"))
 def _j11(spark, d):
     return reports.metadata_rollup(specs.pattern_dim(spark)).join(_found(spark, d).withColumnRenamed("pattern_name", "pattern_group"), "pattern_group")
 
 
 # Double tops with their variant.
 
-_VARIANTS = f"""{O.OUTCOMES},
+_VARIANTS = f"""{D.OUTCOMES},
 dt AS (SELECT r.*, CAST(split_part(d.pivot_indices, ',', 1) AS BIGINT) AS pa, CAST(split_part(d.pivot_indices, ',', 3) AS BIGINT) AS pb FROM res r JOIN det d USING (pattern_id) WHERE r.pattern_name = 'double_tops'),
 pts AS (SELECT DISTINCT symbol, unnest([pa, pb]) AS at FROM dt),
 pw AS (SELECT p.symbol, p.at, CAST(coalesce(min(b.idx) FILTER (WHERE b.idx > p.at AND b.high < t.high * 0.98::DOUBLE) - 1, max(b.idx)) - coalesce(max(b.idx) FILTER (WHERE b.idx < p.at AND b.high < t.high * 0.98::DOUBLE) + 1, min(b.idx)) + 1 AS BIGINT) AS w
@@ -94,9 +110,9 @@ def _j21(spark, d):
 # Statistics and settings of a run, written and read again.
 
 
-@query("a8_run_statistics", O.with_(O.OUTCOMES, f"SELECT 'run' AS run_id, 'by_pattern' AS \"table\", pattern_name, {_MEANS} FROM res GROUP BY pattern_name"))
+@query("a8_run_statistics", O.with_(D.OUTCOMES, f"SELECT 'run' AS run_id, 'by_pattern' AS \"table\", pattern_name, {_MEANS} FROM res GROUP BY pattern_name"))
 def _a8(spark, d):
-    path, stats = f"{_folder(spark)}/statistics-{uuid.uuid4().hex}", reports.stats_by(outcomes_of(spark, d))
+    path, stats = f"{folder(spark)}/statistics-{uuid.uuid4().hex}", reports.stats_by(outcomes_of(spark, d))
     sinks.write_statistics({"by_pattern": stats.limit(1)}, "other", path)
     sinks.write_statistics({"by_pattern": stats.limit(1)}, "run", path)
     sinks.write_statistics({"by_pattern": stats}, "run", path)
@@ -113,8 +129,8 @@ def _a10(spark, d):
     return sinks.run_config(runs)
 
 
-@query("a13_json_report", O.with_(O.OUTCOMES, f"SELECT pattern_name, {_MEANS} FROM res GROUP BY pattern_name"))
+@query("a13_json_report", O.with_(D.OUTCOMES, f"SELECT pattern_name, {_MEANS} FROM res GROUP BY pattern_name"))
 def _a13(spark, d):
-    path, stats = f"{_folder(spark)}/report-{uuid.uuid4().hex}", reports.stats_by(outcomes_of(spark, d))
+    path, stats = f"{folder(spark)}/report-{uuid.uuid4().hex}", reports.stats_by(outcomes_of(spark, d))
     sinks.write_json(stats, path)
     return spark.read.schema(stats.schema).json(path).select("pattern_name", "n", "avg_mfe_pct", "avg_mae_pct", "bust_failure_rate_5pct", "target_achievement_rate_intraday_pct")
