@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from swingkit.operators import outcomes
 from swingkit.plans import oracle as O
 from swingkit.plans import outcome_sql as D
 from swingkit.plans import reports
-from swingkit.plans.base import bars_of, folder, query
+from swingkit.plans.base import ORACLE, QUERIES, bars_of, folder, query
 from swingkit.plans.pattern_queries import detections_of, outcomes_of
 from swingkit.sources import sinks, specs
 
@@ -71,6 +72,22 @@ def _j11(spark, d):
     return reports.metadata_rollup(specs.pattern_dim(spark)).join(_found(spark, d).withColumnRenamed("pattern_name", "pattern_group"), "pattern_group")
 
 
+# Chapter patterns of other names than their base, and the queries of those that a further test tells apart.
+_RENAMED = {"bump_and_run_reversal": "bump_and_run_reversal_tops", "diamond_bottom": "diamond_bottoms", "diamond_top": "diamond_tops", "rounding_bottoms_tops": "rounding_bottoms"}
+_TESTED = ["g3_broadening_wedges", "g7_double_bottoms", "g8_double_tops", "g9_flags", "g10_head_and_shoulders_bottoms", "g10_head_and_shoulders_tops", "g11_horns", "g12_islands", "g13_measured_moves", "g15_rectangles", "g17_scallops", "g19_triangles", "g21_wedges"]
+_NEW_NAME = "CASE pattern_name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _RENAMED.items()) + " ELSE pattern_name END"
+_WHOLE = "".join(f" UNION ALL SELECT pattern_name FROM ({ORACLE[name]})" for name in _TESTED)
+
+
+@query("g22_all_55", O.with_(D.detections(), f"SELECT pattern_name, count(*) AS n FROM (SELECT {_NEW_NAME} AS pattern_name FROM det WHERE (pattern_name IN {_CHAPTERS} AND pattern_name <> 'flags') OR pattern_name LIKE 'dead_cat%' OR pattern_name IN ({', '.join(repr(k) for k in _RENAMED)}){_WHOLE}) GROUP BY 1"))
+def _g22(spark, d):
+    """The patterns of one set by name: the scan's own and the derived ones, as many of the 55 as occur."""
+    own = detections_of(spark, d).filter("pattern_name <> 'flags'").select(F.expr(_NEW_NAME).alias("pattern_name"))  # flags are told apart below
+    found = functools.reduce(DataFrame.unionByName, [own, *(QUERIES[name](spark, d).select("pattern_name") for name in _TESTED)])
+    wanted = specs.pattern_sets(spark).filter("pattern_set = 'all_55'").select(F.col("pattern_key").alias("pattern_name"))
+    return found.join(F.broadcast(wanted), "pattern_name", "left_semi").groupBy("pattern_name").agg(F.count("*").alias("n"))  # a row a pattern
+
+
 # Double tops with their variant.
 
 _VARIANTS = f"""{D.OUTCOMES},
