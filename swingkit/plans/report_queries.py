@@ -63,11 +63,11 @@ _RATES = ", ".join(_r(_A.format(c=c), n) for n, c in _STATS)
 
 query("j1_run_stats", O.with_(D.OUTCOMES, f"""SELECT (SELECT count(*) FROM det) AS detections_total, (SELECT count(breakout_date) FROM det) AS detections_with_breakout, count(*) AS evaluations_total, {_RATES}, {_r(_A.format(c='bust_failure_10pct'), 'bust_failure_rate_10pct')},
   {_r(_A.format(c='target_achieved_close'), 'target_achievement_rate_close_pct')}, {_MEANS} FROM res"""))(lambda spark, d: reports.run_stats(*results(spark, d)[1:]))
-query("j2_stats_by_pattern", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n, {_RATES}, {_MEANS} FROM res GROUP BY pattern_name"))(lambda spark, d: reports.stats_by(results(spark, d)[2]))
+query("j2_stats_by_pattern", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n, {_RATES}, {_MEANS} FROM res GROUP BY pattern_name"))(lambda spark, d: reports.stats_by(outcomes_of(spark, d)))
 _SHARES = {"bust_5pct": "bust_failure_5pct", "invalidated_pct": "boundary_invalidated", "throwback_pct": "throwback_pullback_occurred", "target_pct": "target_achieved_intraday", "retested_breakout_pct": "retested_breakout_level", "retested_boundary_pct": "retested_boundary_level"}
 _MM = ", ".join(f"round(avg({c}), 9) AS mean_{n}, round(median({c}), 9) AS median_{n}" for n, c in (("days", "days_to_ultimate"), ("mfe", "max_favorable_excursion_pct"), ("mae", "max_adverse_excursion_pct")))
-query("j4_totals", O.with_(D.OUTCOMES, f"SELECT count(*) AS total, {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*) * 100, 9) AS {n}' for n, c in _SHARES.items())}, {_MM} FROM res"))(lambda spark, d: reports.totals(results(spark, d)[2]))
-query("j5_stop_reasons", O.with_(D.OUTCOMES, "SELECT ultimate_stop_reason, count(*) AS n FROM res WHERE ultimate_stop_reason IS NOT NULL GROUP BY 1"))(lambda spark, d: reports.stop_reasons(results(spark, d)[2]))
+query("j4_totals", O.with_(D.OUTCOMES, f"SELECT count(*) AS total, {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*) * 100, 9) AS {n}' for n, c in _SHARES.items())}, {_MM} FROM res"))(lambda spark, d: reports.totals(outcomes_of(spark, d)))
+query("j5_stop_reasons", O.with_(D.OUTCOMES, "SELECT ultimate_stop_reason, count(*) AS n FROM res WHERE ultimate_stop_reason IS NOT NULL GROUP BY 1"))(lambda spark, d: reports.stop_reasons(outcomes_of(spark, d)))
 query("j6_market_regime", O.with_(FRAME, "SELECT pattern_id, CAST(breakout_date AS VARCHAR) AS breakout_date, market_regime FROM frame"))(lambda spark, d: frame_of(spark, d).select("pattern_id", "breakout_date", "market_regime"))
 query("j8_pattern_groups", O.with_(FRAME, "SELECT pattern_group, count(*) AS n FROM frame GROUP BY 1"))(lambda spark, d: frame_of(spark, d).groupBy("pattern_group").agg(F.count("*").alias("n")))
 query("j9_pattern_report", O.with_(FRAME, _report_sql("pattern_group")))(lambda spark, d: reports.pattern_report(frame_of(spark, d)))
@@ -76,7 +76,7 @@ _CONF = "breakout_date IS NOT NULL AND breakout_price IS NOT NULL"
 query("j12_symbol_frequency", O.with_(FRAME, f"""SELECT symbol, pattern_group, coalesce(market_regime, 'unknown') AS market_regime, count(*) AS n_detections, count(*) FILTER (WHERE {_CONF}) AS n_confirmed, count(*) FILTER (WHERE {_CONF} AND evaluation_window_bars IS NOT NULL) AS n_evaluated,
   round(count(*) FILTER (WHERE {_CONF}) / count(*) * 100, 9) AS confirmed_pct, count(*) FILTER (WHERE breakout_direction = 'up') AS n_up, count(*) FILTER (WHERE breakout_direction = 'down') AS n_down, count(*) FILTER (WHERE {_CONF} AND breakout_direction IS NULL) AS n_unknown FROM frame GROUP BY ALL"""))(lambda spark, d: reports.symbol_frequency(frame_of(spark, d)))
 query("j13_symbol_performance", O.with_(FRAME, _report_sql("symbol, pattern_group")))(lambda spark, d: reports.symbol_performance(frame_of(spark, d)))
-query("j14_sanity", O.with_(D.detections(), "SELECT pattern_name, count(*) AS n, count(*) FILTER (WHERE pattern_width_bars <= 0) AS bad_width, count(*) FILTER (WHERE pattern_height_pct <= 0) AS bad_height, count(*) FILTER (WHERE confidence_score NOT BETWEEN 0 AND 100) AS bad_confidence FROM det GROUP BY 1"))(lambda spark, d: reports.sanity(results(spark, d)[1]))
+query("j14_sanity", O.with_(D.detections(), "SELECT pattern_name, count(*) AS n, count(*) FILTER (WHERE pattern_width_bars <= 0) AS bad_width, count(*) FILTER (WHERE pattern_height_pct <= 0) AS bad_height, count(*) FILTER (WHERE confidence_score NOT BETWEEN 0 AND 100) AS bad_confidence FROM det GROUP BY 1"))(lambda spark, d: reports.sanity(detections_of(spark, d)))
 _NARROW = ", lim AS (SELECT pattern_key, CASE WHEN o.spec_key IS NOT NULL THEN 'own' WHEN m.spec_key IS NOT NULL THEN 'mapped' ELSE 'none' END AS limit_source, coalesce(o.width_min, m.width_min) AS width_min, coalesce(o.width_max, m.width_max) / 2 AS width_max, coalesce(o.height_min, m.height_min) AS height_min, coalesce(o.height_max, m.height_max) / 4 AS height_max FROM dim LEFT JOIN spec o ON o.spec_key = dim.pattern_key LEFT JOIN spec m ON m.spec_key = dim.spec_key)"
 
 
@@ -85,16 +85,16 @@ _NARROW = ", lim AS (SELECT pattern_key, CASE WHEN o.spec_key IS NOT NULL THEN '
 def _j15(spark, d):
     limits = reports.with_limits(specs.pattern_dim(spark), specs.pattern_spec(spark))
     narrow = limits.withColumns({"width_max": F.col("width_max") / 2, "height_max": F.col("height_max") / 4})
-    return reports.compliance(results(spark, d)[1], narrow)
+    return reports.compliance(detections_of(spark, d), narrow)
 
 
-query("j16_outcome_kpis", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n_evals, round(median(max_favorable_excursion_pct), 9) AS median_move_pct, round(median(days_to_ultimate), 9) AS median_days, {', '.join(_r(_A.format(c=f'(max_favorable_excursion_pct < {n})'), f'failure_lt_{n}_pct') for n in (5, 10))} FROM res GROUP BY 1 HAVING count(*) >= 10"))(lambda spark, d: reports.outcome_kpis(results(spark, d)[2], 10))
+query("j16_outcome_kpis", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n_evals, round(median(max_favorable_excursion_pct), 9) AS median_move_pct, round(median(days_to_ultimate), 9) AS median_days, {', '.join(_r(_A.format(c=f'(max_favorable_excursion_pct < {n})'), f'failure_lt_{n}_pct') for n in (5, 10))} FROM res GROUP BY 1 HAVING count(*) >= 10"))(lambda spark, d: reports.outcome_kpis(outcomes_of(spark, d), 10))
 
 
 @query("j17_compare_runs", O.with_(D.OUTCOMES, """SELECT coalesce(a.pattern_name, b.pattern_name) AS pattern_name, coalesce(a.n, 0) AS n_calibration, coalesce(b.n, 0) AS n_validation FROM (SELECT pattern_name, count(*) AS n FROM res WHERE breakout_date < DATE '1998-01-01' GROUP BY 1) a
   FULL JOIN (SELECT pattern_name, count(*) AS n FROM res WHERE breakout_date >= DATE '1998-01-01' GROUP BY 1) b ON a.pattern_name = b.pattern_name"""))
 def _j17(spark, d):
-    out = results(spark, d)[2]
+    out = outcomes_of(spark, d)
     return reports.compare_runs(out.filter("breakout_date < date '1998-01-01'"), out.filter("breakout_date >= date '1998-01-01'"))
 
 
@@ -105,13 +105,13 @@ _CASE = """, cs AS (SELECT * FROM det WHERE breakout_direction IS NOT NULL QUALI
 def _j20(spark, d):
     from swingkit.operators.universe import top_cases
 
-    bars, found, _ = results(spark, d)
+    bars, found = bars_of(spark, d), detections_of(spark, d)
     return reports.case_bars(top_cases(found, 1), bars)
 
 
 @query("j21_detections_by_pattern", O.with_(D.detections(), "SELECT pattern_name, count(*) AS n FROM det GROUP BY 1"))
 def _j21(spark, d):
-    results(spark, d)[1].createOrReplaceTempView("pattern_detections")
+    detections_of(spark, d).createOrReplaceTempView("pattern_detections")
     return spark.sql("SELECT pattern_name, count(*) AS n FROM pattern_detections GROUP BY pattern_name")
 
 
@@ -122,7 +122,7 @@ def _j21(spark, d):
 def _a5(spark, d):
     import uuid
 
-    found, path = results(spark, d)[1], f"{folder(spark)}/detections-{uuid.uuid4().hex}"
+    found, path = detections_of(spark, d), f"{folder(spark)}/detections-{uuid.uuid4().hex}"
     sinks.write_detections(found.limit(5), "other", path)
     sinks.write_detections(found.unionByName(found), "run", path)
     return spark.read.parquet(path).filter("run_id = 'run'").drop("run_id").select(found.columns)
