@@ -19,6 +19,8 @@ MODULES = {
     "op8_ngram_ratio_rules": "rules",
     "op9_block_max_topk": "topk",
     "op10_bpe_round_trip": "bpe",
+    "op11_diagram_audit": "audit",
+    "op12_relational_chat": "chat",
 }
 
 
