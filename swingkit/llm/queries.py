@@ -21,6 +21,7 @@ MODULES = {
     "op10_bpe_round_trip": "bpe",
     "op11_diagram_audit": "audit",
     "op12_relational_chat": "chat",
+    "op13_interval_search": "search",
 }
 
 
