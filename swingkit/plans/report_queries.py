@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from swingkit.plans import reports
 from swingkit.plans.base import bars_of, folder, kept, query
 from swingkit.plans.pattern_queries import detections_of, outcomes_of
 from swingkit.sources import bars as source
-from swingkit.sources import sinks, specs
+from swingkit.sources import merged, sinks, specs
 
 
 def results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -118,24 +120,29 @@ def _j21(spark, d):
 # Result tables: written, read again, and compared with what went in.
 
 
-@query("a5_detections_table", O.with_(D.detections(), O.DETECTION_SELECT.format(source="det")))
-def _a5(spark, d):
-    import uuid
+# A run in three batches that overlap: a later batch replaces what an earlier one wrote under the same id, and leaves the rest.
+_AGAIN = """(SELECT * REPLACE (confidence_score + CASE WHEN pattern_name IN ('gaps', 'islands') AND CAST(symbol AS BIGINT) % 3 <> 1 THEN 3 WHEN CAST(symbol AS BIGINT) % 3 <> 0 THEN 2 ELSE 1 END AS confidence_score) FROM det)"""
+
 
+@query("a5_detections_table", O.with_(D.detections(), O.DETECTION_SELECT.format(source=_AGAIN)))
+def _a5(spark, d):
     found, path = detections_of(spark, d), f"{folder(spark)}/detections-{uuid.uuid4().hex}"
-    sinks.write_detections(found.limit(5), "other", path)
-    sinks.write_detections(found.unionByName(found), "run", path)
-    return spark.read.parquet(path).filter("run_id = 'run'").drop("run_id").select(found.columns)
+    third = F.col("symbol").cast("bigint") % 3
+    surer = lambda df, n: df.withColumn("confidence_score", F.col("confidence_score") + n)
+    merged.merge_detections(found, "other", path)
+    merged.merge_detections(surer(found.filter(third < 2).unionByName(found.filter(third < 2)), 1), "run", path)
+    merged.merge_detections(surer(found.filter(third > 0), 2), "run", path)
+    merged.merge_detections(surer(found.filter(F.col("pattern_name").isin("gaps", "islands") & (third != 1)), 3), "run", path)
+    return merged.read_merged(spark, path, "run").select(found.columns)
 
 
 @query("a11_run_frame", O.with_(D.OUTCOMES, "SELECT d.pattern_id, d.symbol, d.pattern_name, round(r.ultimate_price, 9) AS ultimate_price, r.days_to_ultimate FROM det d LEFT JOIN res r USING (pattern_id)"))
 def _a11(spark, d):
-    import uuid
-
     _, found, out = results(spark, d)
     path = f"{folder(spark)}/outcomes-{uuid.uuid4().hex}"
-    sinks.write_outcomes(out, "run", path)
-    return reports.run_frame(found, spark.read.parquet(path).drop("run_id")).select("pattern_id", "symbol", "pattern_name", "ultimate_price", "days_to_ultimate")
+    merged.merge_outcomes(out, "run", path)
+    merged.merge_outcomes(out.filter("breakout_direction = 'up'"), "run", path)
+    return reports.run_frame(found, merged.read_merged(spark, path, "run").drop("run_id")).select("pattern_id", "symbol", "pattern_name", "ultimate_price", "days_to_ultimate")
 
 
 _CONFIG = '{"lookahead":"252","min_rows":"200"}'
@@ -150,8 +157,6 @@ def _a7(spark, d):
 
 @query("a12_saved_bars", O.with_(O.CLEAN_BARS, "SELECT symbol, idx, CAST(date AS VARCHAR) AS date, round(close, 9) AS close, round(atr, 9) AS atr FROM ind"))
 def _a12(spark, d):
-    import uuid
-
     path = f"{folder(spark)}/bars-{uuid.uuid4().hex}"
     sinks.write_bars(bars_of(spark, d), path, 8)
     return source.load_bars(spark, path).select("symbol", "idx", "date", "close", "atr")

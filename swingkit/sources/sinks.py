@@ -1,4 +1,4 @@
-"""Tables of results: the last row of a key wins, and a run's partition is replaced as a whole."""
+"""Tables of results that are written as a whole for a run; those that batches are merged into are in ``merged``."""
 
 from __future__ import annotations
 
@@ -24,14 +24,6 @@ def write_run(df: DataFrame, run_id: str, path: str, keys: list[str], order: lis
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def write_detections(df: DataFrame, run_id: str, path: str) -> None:
-    write_run(df, run_id, path, ["pattern_id"], ["confidence_score", "formation_end"])
-
-
-def write_outcomes(df: DataFrame, run_id: str, path: str) -> None:
-    write_run(df, run_id, path, ["pattern_id"], ["evaluation_window_bars"])
-
-
 def run_row(spark: SparkSession, run_id: str, config: dict, planned: DataFrame, failed: DataFrame) -> DataFrame:
     """The registry's row of a run: counts of symbols, its configuration as JSON and that text's hash."""
     items = spark.createDataFrame([(run_id, {k: str(v) for k, v in sorted(config.items())})], "run_id string, config map<string, string>")
