@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from swingkit.operators import chain
 from swingkit.operators.sequences import DETECTION, near_bars
 
 
-
 def _by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("idx")
 
@@ -136,14 +136,11 @@ def inverted_dead_cats(bars: DataFrame, rise: float = 5.0, volume: float = 2.0,
     )
 
 
-_SKIP = """
-aggregate(array_sort(collect_list(struct(i, j))), struct(cast(0 as int) as upto, cast(array() as array<struct<i: int, j: int>>) as kept),
-  (a, x) -> if(x.i > a.upto, struct(x.j as upto, concat(a.kept, array(x)) as kept), a), a -> a.kept)
-"""
-
+def islands(bars: DataFrame, least_pct: float = 0.5, most_pct: float | None = None, max_bars: int = 20, min_bars: int = 1, height: tuple = (None, None), key: str = "islands", kind: str = "reversal_both", segment: int = chain.SEGMENT) -> DataFrame:
+    """Bars cut off by a gap on one side and the opposite gap on the other; after an island the search goes on behind it.
 
-def islands(bars: DataFrame, least_pct: float = 0.5, most_pct: float | None = None, max_bars: int = 20, min_bars: int = 1, height: tuple = (None, None), key: str = "islands", kind: str = "reversal_both") -> DataFrame:
-    """Bars cut off by a gap on one side and the opposite gap on the other; after an island the search goes on behind it."""
+    An island's successor is the first that begins behind it, one of the ``max_bars`` that follow.
+    """
     marked = with_gaps(bars, least_pct, most_pct)
     cut = marked.filter("gap is not null").select("symbol", "idx", "gap", "date", "close")
     enter = cut.select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"))
@@ -152,8 +149,10 @@ def islands(bars: DataFrame, least_pct: float = 0.5, most_pct: float | None = No
     ranges = near_bars(pairs, bars.select("symbol", "idx", "high", "low"), "i", F.col("i"), F.col("j") - 1).groupBy("symbol", "i", "j", "way", "start_date", "end_date", "end_close").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
     ranges = ranges.withColumn("size", (F.col("top") - F.col("bottom")) / ((F.col("top") + F.col("bottom")) / 2) * 100).filter((F.col("top") > F.col("bottom")) & _between(F.col("size"), *height))
     first = ranges.withColumn("r", F.row_number().over(Window.partitionBy("symbol", "i").orderBy("j"))).filter("r = 1")
-    kept = first.groupBy("symbol").agg(F.expr(_SKIP).alias("kept")).select("symbol", F.explode("kept").alias("x")).select("symbol", "x.i", "x.j")
-    out = first.join(kept, ["symbol", "i", "j"])
+    order = Window.partitionBy("symbol").orderBy("i")
+    first = first.withColumns({"k": F.row_number().over(order) - 1, "ahead": F.collect_list("i").over(order.rowsBetween(1, max_bars))})
+    passed = F.size(F.filter("ahead", lambda i: i <= F.col("j")))
+    out = chain.followed(first.select("symbol", "k", (F.col("k") + 1 + passed).alias("nxt"), F.struct("i", "j", "way", "start_date", "end_date", "end_close", "top", "bottom", "size").alias("value")), ["symbol"], segment).select("symbol", "value.*")
     down, span = F.col("way") == "up", F.col("top") - F.col("bottom")
     return _detections(
         out, key, kind, F.col("i"), F.col("j"), formation_start=F.col("start_date"), formation_end=F.col("end_date"), breakout_date=F.col("end_date"), breakout_idx=F.col("j"), breakout_direction=F.when(down, "down").otherwise("up"), breakout_price=F.col("end_close"),

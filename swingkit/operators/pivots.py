@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swingkit.operators import chain
+
 #: Bars on each side of a swing.
 LEVELS = {"minor": 3, "intermediate": 5, "major": 10}
 ATR_SHARE, NEARBY = 0.5, 5
 
-_FOLD = """
-aggregate(
-  array_sort(collect_list(struct(idx, rank, ptype, price, strength, date))),
-  cast(array() as array<struct<idx: int, rank: int, ptype: string, price: double, strength: int, date: date>>),
-  (kept, p) -> case
-    when size(kept) = 0 then array(p)
-    when element_at(kept, -1).ptype = p.ptype then
-      if((p.ptype = 'H' and p.price > element_at(kept, -1).price) or (p.ptype = 'L' and p.price < element_at(kept, -1).price), concat(slice(kept, 1, size(kept) - 1), array(p)), kept)
-    when p.idx - element_at(kept, -1).idx < spacing then
-      if(p.strength > element_at(kept, -1).strength, concat(slice(kept, 1, size(kept) - 1), array(p)), kept)
-    else concat(kept, array(p)) end)
-"""
-
 
 def pivots(bars: DataFrame, level: str = "intermediate") -> DataFrame:
     """symbol, idx, date, price, ptype (H or L) and strength of every swing that is large enough.
@@ -57,15 +46,32 @@ def thin(found: DataFrame, spacing: int = 10) -> DataFrame:
     return thin_all(found, [spacing]).drop("spacing")
 
 
-def thin_all(found: DataFrame, spacings: list[int]) -> DataFrame:
+def thin_all(found: DataFrame, spacings: list[int], segment: int = chain.SEGMENT) -> DataFrame:
     """:func:`thin` for several spacings in one plan, with the column ``spacing``.
 
-    One pass over each symbol's pivots in order: one that is too close to the last is dropped unless it is stronger, and
-    of two of one type the more extreme stays. A symbol's pivots are some hundreds of small structs.
+    In order, a pivot that is too close to the last kept one is dropped unless it is stronger, and of two of one type the
+    more extreme stays. So the next kept pivot depends on the last one alone, and since the types take turns it is among the
+    2 x spacing + 1 that follow: a window finds every pivot's successor, and :func:`chain.followed` the ones that are met.
+    A pivot that its successor replaces isn't kept.
     """
-    ranked = merge_runs(found).withColumn("rank", F.when(F.col("ptype") == "H", 0).otherwise(1)).withColumn("spacing", F.explode(F.lit(spacings)))
-    kept = ranked.groupBy("symbol", "spacing").agg(F.expr(_FOLD.strip()).alias("kept"))
-    return kept.select("symbol", "spacing", F.posexplode("kept").alias("k", "p")).select("symbol", "spacing", "k", "p.idx", "p.date", "p.price", "p.ptype", "p.strength")
+    order = Window.partitionBy("symbol").orderBy("idx", "rank")
+    ranked = merge_runs(found).withColumn("rank", F.when(F.col("ptype") == "H", 0).otherwise(1)).withColumn("k", F.row_number().over(order) - 1)
+    ahead = F.collect_list(F.struct("k", "idx", "ptype", "price", "strength")).over(order.rowsBetween(1, 2 * max(spacings) + 1))
+    asked = ranked.withColumn("ahead", ahead).withColumn("spacing", F.explode(F.lit(spacings)))
+
+    def beyond(p: Column) -> Column:
+        return F.when(F.col("ptype") == "H", p["price"] > F.col("price")).otherwise(p["price"] < F.col("price"))
+
+    def replaces(p: Column) -> Column:
+        return F.when(p["ptype"] == F.col("ptype"), beyond(p)).otherwise((p["idx"] - F.col("idx") < F.col("spacing")) & (p["strength"] > F.col("strength")))
+
+    follows = lambda p: (p["ptype"] != F.col("ptype")) & (p["idx"] - F.col("idx") >= F.col("spacing"))
+    asked = asked.withColumn("next", F.get(F.filter("ahead", lambda p: replaces(p) | follows(p)), F.lit(0)))
+    kept = F.col("next").isNull() | follows(F.col("next"))
+    nodes = asked.select("symbol", "spacing", "k", F.col("next.k").alias("nxt"), F.struct("idx", "date", "price", "ptype", "strength", "rank", kept.alias("kept")).alias("value"))
+    met = chain.followed(nodes, ["symbol", "spacing"], segment).select("symbol", "spacing", "value.*").filter("kept")
+    again = Window.partitionBy("symbol", "spacing").orderBy("idx", "rank")
+    return met.select("symbol", "spacing", (F.row_number().over(again) - 1).alias("k"), "idx", "date", "price", "ptype", "strength")
 
 
 def numbered(found: DataFrame) -> DataFrame:
