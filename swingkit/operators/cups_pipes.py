@@ -17,8 +17,6 @@ from swingkit.operators.sequences import DETECTION, near_bars, prior_trend
 
 # Bars of a handle, of the breakout search after a pipe, and of a pipe's legs; the widest difference of rims (%).
 HANDLE_MIN, HANDLE_MAX, PIPE_SEARCH, LEG, RIMS_APART = 5, 20, 30, 3, 10.0
-#: The most extreme width that is searched where a spec has none.
-WIDEST = 10_000
 
 
 @dataclass(frozen=True)
@@ -48,10 +46,13 @@ class Cup:
 
 @dataclass(frozen=True)
 class Pipe:
-    """Limits of a pipe: width and separation in bars, ratio of its two extremes, legs (% and degrees), height (%)."""
+    """Limits of a pipe: width and separation in bars, ratio of its two extremes, legs (% and degrees), height (%).
 
-    width: tuple[int, int] = (2, WIDEST)
-    separation: tuple[int, int] = (0, WIDEST)
+    The widest pipe has to be named, since every pair of extremes up to it is looked at.
+    """
+
+    width: tuple[int, int]
+    separation: tuple[int, int]
     ratio: tuple[float, float] = (0.97, 1.03)
     leg: tuple[float, float] = (0.0, 1e9)
     angle: tuple[float, float] = (0.0, 90.0)
@@ -141,7 +142,7 @@ def inverted_cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(),
     return found.withColumns(changed).select(*DETECTION)
 
 
-def pipes(bars: DataFrame, raw: DataFrame, pipe: Pipe = Pipe(), bottom: bool = True, key: str | None = None) -> DataFrame:
+def pipes(bars: DataFrame, raw: DataFrame, pipe: Pipe, bottom: bool = True, key: str | None = None) -> DataFrame:
     """Two raw lows (tops: highs) of like price with steep legs on both sides, left through the extreme between them.
 
     The height is a share of that extreme for bottoms, and of the middle of the pattern for tops.

@@ -19,10 +19,10 @@ def derive(base: DataFrame, key: str, keep: Column | None = None, kind: str | No
 
 def with_pivot_prices(detections: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """``detections`` plus i0, h0, l0, i1, ...: position, high and low of the first ``n`` pivots' bars."""
-    out = detections.withColumns({f"i{k}": F.get("pivot_indices", F.lit(k)) for k in range(n)})
-    for k in range(n):
-        out = out.join(bars.select("symbol", F.col("idx").alias(f"i{k}"), F.col("high").alias(f"h{k}"), F.col("low").alias(f"l{k}")), ["symbol", f"i{k}"], "left")
-    return out
+    own = [F.get("pivot_indices", F.lit(k)) for k in range(n)]
+    points = detections.select("symbol", "pattern_id", F.posexplode(F.slice("pivot_indices", 1, n)).alias("at", "idx")).join(bars.select("symbol", "idx", "high", "low"), ["symbol", "idx"])
+    prices = points.groupBy("symbol", "pattern_id").agg(*[F.max(F.when(F.col("at") == k, F.col(c))).alias(f"{c[0]}{k}") for k in range(n) for c in ("high", "low")])
+    return detections.withColumns({f"i{k}": i for k, i in enumerate(own)}).join(prices, ["symbol", "pattern_id"], "left")
 
 
 def pct(a: str, b: str) -> Column:

@@ -56,19 +56,22 @@ def pivot_levels(detections: DataFrame, bars: DataFrame, types: DataFrame, thres
     )
 
 
-def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None = None, lookahead: DataFrame | None = None, invalidation_pct: float = 0.0, overrides: DataFrame | None = None) -> DataFrame:
+def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None = None, lookahead: DataFrame | None = None, invalidation_pct: float = 0.0, overrides: DataFrame | None = None, with_boundary: bool = False) -> DataFrame:
     """One outcome row for each detection (of distinct pattern_id); never from a bar at or before the breakout.
 
     ``levels`` as of :func:`pivot_levels`, ``lookahead`` (pattern_name, lookahead_bars), ``overrides`` (pattern_id,
-    height) of single rows: another height moves the target, and the opposite level, which decides invalidation, stays
-    that of ``levels``. A breakout without two later bars, or without a valid price, gives nulls.
+    height, boundary) of single rows: another height moves the target, another boundary takes the place of the boundary
+    price, and the opposite level, which decides invalidation, stays that of ``levels``. ``with_boundary`` adds the column
+    boundary_price. A breakout without two later bars, or without a valid price, gives nulls.
     """
     out = breakout_positions(detections, bars)
-    out = out.join(levels, "pattern_id", "left") if levels is not None else out.withColumns({"breakout_level": F.lit(None).cast("double"), "opposite_level": F.lit(None).cast("double")})
+    out = out.join(levels, "pattern_id", "left") if levels is not None else out.withColumns({c: F.lit(None).cast("double") for c in ("breakout_level", "opposite_level", "boundary_price")})
     out = out.join(F.broadcast(lookahead), "pattern_name", "left") if lookahead is not None else out.withColumn("lookahead_bars", F.lit(None).cast("int"))  # a row a pattern
     out = out.withColumns({"look": F.least(F.lit(LOOKAHEAD), F.coalesce("lookahead_bars", F.lit(LOOKAHEAD))), "way": F.when((direction() == "down") | (F.col("pattern_type") == "reversal_bearish"), -1).otherwise(1)})
     if overrides is not None:
-        out = out.join(overrides, "pattern_id", "left").withColumns({"target_price": F.coalesce(F.col("breakout_price") + F.col("way") * F.col("height"), "target_price")})
+        own = overrides.select("pattern_id", *[F.col(c) if c in overrides.columns else F.lit(None).cast("double").alias(c) for c in ("height", "boundary")])
+        moved = F.coalesce(F.col("breakout_price") + F.col("way") * F.col("height"), "target_price")
+        out = out.join(own, "pattern_id", "left").withColumns({"target_price": moved, "boundary_price": F.coalesce("boundary", "boundary_price")})
     fine = F.col("breakout_idx").isNotNull() & (F.col("breakout_price") > 0) & (F.col("breakout_price") < float("inf"))
     lean = out.filter(fine).select("pattern_id", "symbol", "breakout_idx", F.col("breakout_date").alias("b_date"), F.col("breakout_price").alias("bp"), "breakout_level", "opposite_level", "target_price", "way", "look")
     down = F.col("way") < 0
@@ -114,7 +117,7 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
         "target_achieved_intraday": F.col("hit"), "target_achieved_close": F.col("hit_close"), "target_achievement_date": F.col("target_date"), "days_to_target": days("target_date"),
         "max_favorable_excursion_pct": share(F.col("way") * (ultimate - F.col("breakout_price"))), "max_adverse_excursion_pct": share(worst), "evaluation_window_bars": F.coalesce("bars", "look").cast("int"),
     }
-    return out.select(*[values.get(c, F.col(c)).alias(c) for c in RESULT])
+    return out.select(*[values.get(c, F.col(c)).alias(c) for c in RESULT + ["boundary_price"] * with_boundary])
 
 
 def with_variants(outcomes: DataFrame, detections: DataFrame, bars: DataFrame, name: str = "double_tops") -> DataFrame:

@@ -73,7 +73,7 @@ SELECT pattern_id, symbol, pattern_name, pattern_type, CAST(formation_start AS V
 FROM {source}"""
 
 
-def rule(constraint: str, pos: int, types: str, tolerance: float) -> str:
+def rule(constraint: str, pos: int, types: str, tolerance: float, depth: float = 15.0) -> str:
     """The condition of one mandatory pivot over the columns p1, p2, ... of a window."""
     cur, n = f"p{pos}", len(types)
     before = [k for k in range(pos - 1, 0, -1)]
@@ -88,13 +88,19 @@ def rule(constraint: str, pos: int, types: str, tolerance: float) -> str:
         return "TRUE" if same is None else f"{cur} {'<' if constraint[0] == 'l' else '>'} {same}"
     if constraint == "must_be_between":
         return f"{cur} < least(p{pos - 1}, p{pos + 1})" if types[pos - 1] == "L" else f"{cur} > greatest(p{pos - 1}, p{pos + 1})"
+    if constraint == "in_upper_third":
+        return f"{cur} >= p2 + (p3 - p2) * (2::DOUBLE / 3::DOUBLE)" if n >= 4 else "TRUE"
+    if constraint == "near_cup_lip":
+        return f"{diff(cur, 'p3')} <= {tolerance}" if n >= 3 else "TRUE"
+    if constraint == "shallow_decline":
+        return f"coalesce((p5 - {cur}) / nullif(p5, 0) * 100 <= {depth}, TRUE)" if n >= 6 else "TRUE"
     sign, t, f = {"must_be_lowest": ("<=", "L", "least"), "must_be_highest": (">=", "H", "greatest"), "not_lowest": (">", "L", "least"), "not_highest": ("<", "H", "greatest")}[constraint]
     return f"{cur} {sign} {every(t, f)}"
 
 
-def sequence_detections(key: str, name: str = "det", search: str = "ind") -> str:
-    """Subqueries that end in ``name``, the detections of one spec; ``ind`` and ``thin<spacing>`` come before."""
-    s = SPECS[key]
+def sequence_detections(key: str, name: str = "det", search: str = "ind", own: dict | None = None) -> str:
+    """Subqueries that end in ``name``, the detections of one spec (``own``, or that of the key); ``ind`` and ``thin<spacing>`` come before."""
+    s = own or SPECS[key]
     types, g, t, b = "".join(s["detection_signature"]["pivot_sequence"]), s["geometry_constraints"], s["prior_trend_requirements"], s["breakout_confirmation"]
     n, spacing, kind = len(types), SPACING.get(key, 10), s["pattern_type"]
     highs, lows = ([k for k in range(1, n + 1) if types[k - 1] == x] for x in "HL")
@@ -130,10 +136,10 @@ def sequence_detections(key: str, name: str = "det", search: str = "ind") -> str
   FROM {name}_m m LEFT JOIN {name}_h h ON h.symbol = m.symbol AND h.k = m.k WHERE span > 0)"""
 
 
-def sequences(keys: list[str]) -> str:
-    """SQL of the detections of several specs."""
+def sequences(keys: list[str], own: dict[str, dict] | None = None) -> str:
+    """SQL of the detections of several specs, maybe of ``own`` ones."""
     spacings = "".join("," + thinned(s) for s in sorted({SPACING.get(k, 10) for k in keys}))
-    parts = ",".join(sequence_detections(k, f"s{j}") for j, k in enumerate(keys))
+    parts = ",".join(sequence_detections(k, f"s{j}", own=(own or {}).get(k)) for j, k in enumerate(keys))
     union = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(len(keys)))
     return with_(f"{PIVOTED}{spacings},{parts}, found AS ({union})", DETECTION_SELECT.format(source="found"))
 

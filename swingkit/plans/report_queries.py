@@ -66,8 +66,8 @@ _RATES = ", ".join(_r(_A.format(c=c), n) for n, c in _STATS)
 query("j1_run_stats", O.with_(D.OUTCOMES, f"""SELECT (SELECT count(*) FROM det) AS detections_total, (SELECT count(breakout_date) FROM det) AS detections_with_breakout, count(*) AS evaluations_total, {_RATES}, {_r(_A.format(c='bust_failure_10pct'), 'bust_failure_rate_10pct')},
   {_r(_A.format(c='target_achieved_close'), 'target_achievement_rate_close_pct')}, {_MEANS} FROM res"""))(lambda spark, d: reports.run_stats(*results(spark, d)[1:]))
 query("j2_stats_by_pattern", O.with_(D.OUTCOMES, f"SELECT pattern_name, count(*) AS n, {_RATES}, {_MEANS} FROM res GROUP BY pattern_name"))(lambda spark, d: reports.stats_by(outcomes_of(spark, d)))
-_SHARES = {"bust_5pct": "bust_failure_5pct", "invalidated_pct": "boundary_invalidated", "throwback_pct": "throwback_pullback_occurred", "target_pct": "target_achieved_intraday", "retested_breakout_pct": "retested_breakout_level", "retested_boundary_pct": "retested_boundary_level"}
-_MM = ", ".join(f"round(avg({c}), 9) AS mean_{n}, round(median({c}), 9) AS median_{n}" for n, c in (("days", "days_to_ultimate"), ("mfe", "max_favorable_excursion_pct"), ("mae", "max_adverse_excursion_pct")))
+_SHARES = {"bust_5pct": "bust_failure_5pct", "invalidated_pct": "boundary_invalidated", "throwback_pct": "throwback_pullback_occurred", "target_pct": "target_achieved_intraday", "retested_breakout_pct": "retested_breakout_level", "retested_boundary_pct": "retested_boundary_level", "bust_10pct": "bust_failure_10pct", "target_close_pct": "target_achieved_close"}
+_MM = ", ".join(f"round(avg({c}), 9) AS mean_{n}, round(median({c}), 9) AS median_{n}" for n, c in (("days", "days_to_ultimate"), ("days_to_target", "days_to_target"), ("mfe", "max_favorable_excursion_pct"), ("mae", "max_adverse_excursion_pct")))
 query("j4_totals", O.with_(D.OUTCOMES, f"SELECT count(*) AS total, {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*) * 100, 9) AS {n}' for n, c in _SHARES.items())}, {_MM} FROM res"))(lambda spark, d: reports.totals(outcomes_of(spark, d)))
 query("j5_stop_reasons", O.with_(D.OUTCOMES, "SELECT ultimate_stop_reason, count(*) AS n FROM res WHERE ultimate_stop_reason IS NOT NULL GROUP BY 1"))(lambda spark, d: reports.stop_reasons(outcomes_of(spark, d)))
 query("j6_market_regime", O.with_(FRAME, "SELECT pattern_id, CAST(breakout_date AS VARCHAR) AS breakout_date, market_regime FROM frame"))(lambda spark, d: frame_of(spark, d).select("pattern_id", "breakout_date", "market_regime"))
@@ -158,5 +158,5 @@ def _a7(spark, d):
 @query("a12_saved_bars", O.with_(O.CLEAN_BARS, "SELECT symbol, idx, CAST(date AS VARCHAR) AS date, round(close, 9) AS close, round(atr, 9) AS atr FROM ind"))
 def _a12(spark, d):
     path = f"{folder(spark)}/bars-{uuid.uuid4().hex}"
-    sinks.write_bars(bars_of(spark, d), path, 8)
-    return source.load_bars(spark, path).select("symbol", "idx", "date", "close", "atr")
+    sinks.write_by_symbol(bars_of(spark, d), path, 8)
+    return sinks.open_by_symbol(spark, path, 8).select("symbol", "idx", "date", "close", "atr")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swingkit.operators.asof import as_of
+
 DET_KEYS = ["pattern_id", "symbol", "pattern_name", "pattern_type", "formation_start", "formation_end", "pattern_height_pct", "pattern_width_bars", "confidence_score", "pivot_indices"]
 
 
@@ -40,14 +42,26 @@ def stats_by(outcomes: DataFrame, by: str = "pattern_name") -> DataFrame:
 
 def totals(outcomes: DataFrame) -> DataFrame:
     """One row over all outcomes: rates count an unknown flag as false; means and exact medians."""
-    share = lambda c: (F.count_if(c) / F.count("*") * 100)
+    share = _share
     return outcomes.agg(
         F.count("*").alias("total"), share("bust_failure_5pct").alias("bust_5pct"), share("boundary_invalidated").alias("invalidated_pct"), share("throwback_pullback_occurred").alias("throwback_pct"), share("target_achieved_intraday").alias("target_pct"),
-        share("retested_breakout_level").alias("retested_breakout_pct"), share("retested_boundary_level").alias("retested_boundary_pct"), F.avg("days_to_ultimate").alias("mean_days"), F.median("days_to_ultimate").alias("median_days"),
+        share("retested_breakout_level").alias("retested_breakout_pct"), share("retested_boundary_level").alias("retested_boundary_pct"),
+        share("bust_failure_10pct").alias("bust_10pct"), share("target_achieved_close").alias("target_close_pct"), F.avg("days_to_target").alias("mean_days_to_target"), F.median("days_to_target").alias("median_days_to_target"), F.avg("days_to_ultimate").alias("mean_days"), F.median("days_to_ultimate").alias("median_days"),
         F.avg("max_favorable_excursion_pct").alias("mean_mfe"), F.median("max_favorable_excursion_pct").alias("median_mfe"), F.avg("max_adverse_excursion_pct").alias("mean_mae"), F.median("max_adverse_excursion_pct").alias("median_mae"),
     )
 
 
+def _share(c: str) -> Column:
+    """Percentage of all rows; an unknown flag counts as false."""
+    return F.count_if(c) / F.count("*") * 100
+
+
+def totals_by_pattern(outcomes: DataFrame) -> DataFrame:
+    """The list aggregator's rates of every pattern: unknown flags count as false."""
+    rates = {"bust_failure_rate_5pct": "bust_failure_5pct", "bust_failure_rate_10pct": "bust_failure_10pct", "boundary_invalidation_rate_pct": "boundary_invalidated", "target_achievement_intraday_pct": "target_achieved_intraday", "throwback_pullback_rate_pct": "throwback_pullback_occurred"}
+    return outcomes.groupBy("pattern_name").agg(F.count("*").alias("n"), *[_share(c).alias(n) for n, c in rates.items()])
+
+
 def stop_reasons(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("ultimate_stop_reason is not null").groupBy("ultimate_stop_reason").agg(F.count("*").alias("n"))
 
@@ -55,17 +69,16 @@ def stop_reasons(outcomes: DataFrame) -> DataFrame:
 def with_regime(frame: DataFrame, index: DataFrame, anchor: str = "breakout_date", months: int = 18) -> DataFrame:
     """``frame`` plus ``market_regime``: bull if the index closed above its close ``months`` before the anchor, bear if not, null if unknown.
 
-    Both closes are the last on or before their date. Only distinct calendar dates meet the index, so the as-of pass is
-    over some thousands of rows whatever the frame.
+    Both closes are the last on or before their time, a date or a timestamp; see :func:`swingkit.operators.asof.as_of`. Only
+    distinct anchors meet the index.
     """
-    days = frame.select(F.col(anchor).alias("day")).filter("day is not null").distinct()
-    asked = days.select("day", F.explode(F.array(F.struct(F.lit("now").alias("kind"), F.col("day").alias("date")), F.struct(F.lit("then").alias("kind"), F.add_months("day", -months).alias("date")))).alias("a")).select("day", "a.*")
-    both = index.select(F.lit(None).cast("date").alias("day"), F.lit("").alias("kind"), "date", "close").unionByName(asked.withColumn("close", F.lit(None).cast("double")))
-    last = Window.orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("close", F.last("close", ignorenulls=True).over(last)).filter("day is not null")
-    sides = found.groupBy("day").agg(F.max(F.when(F.col("kind") == "now", F.col("close"))).alias("now"), F.max(F.when(F.col("kind") == "then", F.col("close"))).alias("then"))
-    regime = sides.select(F.col("day").alias(anchor), F.when(F.col("now") > F.col("then"), "bull").when(F.col("now") <= F.col("then"), "bear").alias("market_regime"))
-    return frame.join(F.broadcast(regime), anchor, "left")  # a row a calendar date
+    days = frame.select(F.col(anchor).alias("_day")).filter("_day is not null").distinct()
+    past = F.col("_day") - F.expr(f"make_ym_interval(0, {months})")
+    asked = days.select("_day", F.explode(F.array(F.struct(F.lit("now").alias("kind"), F.col("_day").alias("date")), F.struct(F.lit("then").alias("kind"), past.alias("date")))).alias("a")).select("_day", "a.*")
+    found = as_of(asked, index.select(F.col("date").cast(asked.schema["date"].dataType).alias("date"), "close"), "date", "close")
+    sides = found.groupBy("_day").agg(F.max(F.when(F.col("kind") == "now", F.col("close"))).alias("now"), F.max(F.when(F.col("kind") == "then", F.col("close"))).alias("then"))
+    regime = sides.select(F.col("_day").alias(anchor), F.when(F.col("now") > F.col("then"), "bull").when(F.col("now") <= F.col("then"), "bear").alias("market_regime"))
+    return frame.join(regime, anchor, "left")
 
 
 def with_group(frame: DataFrame, dim: DataFrame, level: str = "pattern_key") -> DataFrame:

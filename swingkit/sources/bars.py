@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swingkit.sources.specs import SPEC_SCHEMA
 
@@ -16,20 +19,42 @@ def load_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
 
 
 def select_bars(bars: DataFrame, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    bars = bars.withColumn("date", F.to_date("date"))
+    """Bars of some symbols and an inclusive range of dates, with ``date`` as a date.
+
+    The stored column itself is compared, so that the range reaches the scan: a text date (year first, maybe with a time
+    after it) as text.
+    """
+    kind = bars.schema["date"].dataType
+    bound = (lambda d: F.lit(str(d))) if isinstance(kind, T.StringType) else (lambda d: F.lit(str(d)).cast(kind))
     if symbols is not None:
         bars = bars.filter(F.col("symbol").isin(symbols))
     if start is not None:
-        bars = bars.filter(F.col("date") >= F.lit(start).cast("date"))
+        bars = bars.filter(F.col("date") >= bound(start))
     if end is not None:
-        bars = bars.filter(F.col("date") <= F.lit(end).cast("date"))
-    return bars
-
-
-def load_bars_jdbc(spark: SparkSession, url: str, table: str = "stock_price_history", **options: str) -> DataFrame:
-    """Bars of a database table, with ``time`` as the date; Spark pushes filters down."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return rows.withColumnRenamed("time", "date").withColumn("date", F.to_date("date"))
+        bars = bars.filter(F.col("date") < bound(date.fromisoformat(end) + timedelta(days=1)))
+    return bars.withColumn("date", F.to_date("date"))
+
+
+def load_bars_jdbc(spark: SparkSession, url: str, table: str = "stock_price_history", symbols: list[str] | None = None, start: str | None = None, end: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """Bars of a database table whose ``time`` is a date, a timestamp or a text date, read in ``parts`` ranges of time at once.
+
+    Symbols and the range of dates are part of each range's statement. Ranges are even in time between the table's first
+    and last bar; rows without a time come with the first.
+    """
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    time = quoted("time")
+    ends = spark.read.format("jdbc").options(url=url, query=f"SELECT MIN({time}) AS {quoted('a')}, MAX({time}) AS {quoted('b')} FROM {table}", **options).load().first()
+    whole = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    if ends is None or ends[0] is None or parts < 2:
+        return select_bars(whole.withColumnRenamed("time", "date"), symbols, start, end)
+    first, last = (date.fromisoformat(str(x)[:10]) for x in ends)
+    cuts = sorted({first + timedelta(days=(last - first).days * k // parts) for k in range(1, parts)} - {first})
+    literal = {T.DateType: "CAST('{}' AS DATE)", T.TimestampType: "CAST('{} 00:00:00' AS TIMESTAMP)"}.get(type(whole.schema["time"].dataType), "'{}'").format
+    limits = [None, *map(literal, cuts), None]
+    ranges = [" AND ".join([*([f"{time} >= {a}"] if a else []), *([f"{time} < {b}"] if b else [])]) or "1 = 1" for a, b in zip(limits, limits[1:])]
+    ranges[0] = f"({ranges[0]}) OR {time} IS NULL"
+    rows = spark.read.jdbc(url, table, predicates=ranges, properties=options)
+    return select_bars(rows.withColumnRenamed("time", "date"), symbols, start, end)
 
 
 def index_series(bars: DataFrame, symbol: str) -> DataFrame:

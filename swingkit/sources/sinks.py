@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,34 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max_by("run_id", "created_at").alias("run_id"))
 
 
-def write_bars(bars: DataFrame, path: str, parts: int = 64) -> None:
-    """Normalised bars in Parquet, a symbol's bars in one file, in order."""
-    bars.repartition(parts, "symbol").sortWithinPartitions("symbol", "idx").write.mode("overwrite").parquet(path)
+def write_by_symbol(rows: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """``rows`` (symbol, idx and more) at ``path`` in buckets of symbols, a file each, in order; returns the table.
+
+    Windows, groups and joins by symbol over it, and over others with as many buckets, start without a shuffle.
+    """
+    spark, name = rows.sparkSession, f"by_symbol_{uuid.uuid4().hex}"
+    placed = rows.repartition(buckets, "symbol")
+    placed.write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "idx").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_by_symbol(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """A table that :func:`write_by_symbol` wrote, maybe in another application, with its buckets; ``buckets`` as written."""
+    name, columns = f"by_symbol_{uuid.uuid4().hex}", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (symbol) SORTED BY (symbol, idx) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file of any file system that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

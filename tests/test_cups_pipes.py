@@ -49,12 +49,12 @@ PIPE = [(0, 100), (20, 110), (26, 90), (33, 108), (40, 90.5), (60, 130)]
 def test_pipe_bottom_and_top(spark):
     bars = legs(spark, ("bottom", PIPE), ("uneven", [(i, 80 if p == 90.5 else p) for i, p in PIPE]), ("top", flipped(PIPE)))
     raw = pivots.pivots(bars)
-    pipe = Pipe(width=(2, 30), leg=(2.0, 50.0))
+    pipe = Pipe((2, 30), (0, 30), leg=(2.0, 50.0))
     found = cups_pipes.pipes(bars, raw, pipe).collect()
     assert [(r.symbol, r.pivot_indices) for r in found] == [("bottom", [26, 33, 40])] and found[0].breakout_price > 108.1 * 1.01
     above = cups_pipes.pipes(bars, raw, pipe, bottom=False).collect()
     assert [(r.symbol, r.breakout_direction, r.pivot_indices) for r in above] == [("top", "down", [26, 33, 40])]
-    assert not cups_pipes.pipes(bars, raw, Pipe(width=(2, 30), leg=(40.0, 50.0))).count()
+    assert not cups_pipes.pipes(bars, raw, Pipe((2, 30), (0, 30), leg=(40.0, 50.0))).count()
 
 
 def test_a_breakout_has_to_hold(spark):

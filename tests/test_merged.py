@@ -1,9 +1,13 @@
 """Keyed merging of batches into stored tables."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from swingkit.sources import merged
+from swingkit.operators import barlocal, clean, pivots
+from swingkit.sources import bars as source
+from swingkit.sources import merged, sinks
 
 SCHEMA = "run_id string, pattern_id string, v int, x double"
 
@@ -74,3 +78,20 @@ def test_a_table_may_begin_empty(spark, tmp_path):
     path = str(tmp_path / "t")
     assert write(spark, path, []) == 1 and stored(spark, path) == []
     assert write(spark, path, [("r", "a", 1, 0.0)]) == 2 and stored(spark, path) == [("r", "a", 1, 0.0)]
+
+
+def test_tables_by_symbol_need_no_shuffle(spark, tmp_path):
+    """Windows of gaps, spikes and pivots over a table in buckets; opened again, it has the same rows and buckets."""
+    rows = [(f"S{s}", datetime.date(2020, 1, 1) + datetime.timedelta(days=i), 10.0 + (i * s) % 7, 12.0 + (i * s) % 7, 9.0 + (i * s) % 7, 11.0 + (i * s) % 7, 100) for s in range(1, 9) for i in range(60)]
+    bars = clean.add_indicators(clean.clean(spark.createDataFrame(rows, source.BAR_SCHEMA)))
+    path = str(tmp_path / "b ars")
+    first = sinks.write_by_symbol(bars, path, 4)
+    again = sinks.open_by_symbol(spark, path, 4)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, bars.select(again.columns).collect()), key=str)
+    for table in (first, again):
+        for found in (barlocal.gaps(table), barlocal.spikes(table), pivots.pivots(table)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Window" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    raw = sinks.write_by_symbol(pivots.pivots(first), str(tmp_path / "p"), 4)
+    joined = raw.join(first.select("symbol", F.col("idx").alias("i"), "close"), "symbol").hint("merge")
+    assert "Exchange hash" not in joined._jdf.queryExecution().executedPlan().toString()
