@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swingkit.operators.derived import adam_eve
-from swingkit.operators.sequences import near_bars
+from swingkit.operators.lookahead import LONGEST, look_ahead
 
-LOOKAHEAD, REVERSAL, RETEST_DAYS, RETEST_PCT = 252, 20.0, 30, 1.0
-#: Bars of a look-ahead cell are those of the breakout search; a window of 252 bars covers five at most.
+LOOKAHEAD, REVERSAL, RETEST_DAYS, RETEST_PCT = LONGEST, 20.0, 30, 1.0
 RESULT = [
     "pattern_id", "symbol", "pattern_name", "breakout_date", "breakout_price", "breakout_direction", "target_price", "stop_loss_price", "bust_failure_5pct", "bust_failure_10pct", "bust_failure_date", "bust_failure_pct",
     "boundary_invalidated", "boundary_invalidation_date", "ultimate_price", "ultimate_date", "days_to_ultimate", "ultimate_stop_reason", "throwback_pullback_occurred", "throwback_pullback_date", "days_to_throwback_pullback",
@@ -74,44 +73,20 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
         out = out.join(own, "pattern_id", "left").withColumns({"target_price": moved, "boundary_price": F.coalesce("boundary", "boundary_price")})
     fine = F.col("breakout_idx").isNotNull() & (F.col("breakout_price") > 0) & (F.col("breakout_price") < float("inf"))
     lean = out.filter(fine).select("pattern_id", "symbol", "breakout_idx", F.col("breakout_date").alias("b_date"), F.col("breakout_price").alias("bp"), "breakout_level", "opposite_level", "target_price", "way", "look")
-    down = F.col("way") < 0
-    after = near_bars(lean, bars.select("symbol", "idx", "date", "high", "low", "close"), "pattern_id", F.col("breakout_idx") + 1, F.col("breakout_idx") + F.col("look"))
-    # "best" and "worst" are the bar's extremes with and against the breakout.
-    after = after.withColumns({"best": F.when(down, F.col("low")).otherwise(F.col("high")), "worst": F.when(down, F.col("high")).otherwise(F.col("low"))})
-    whole = Window.partitionBy("pattern_id")
-    so_far = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    after = after.withColumn("run", F.when(down, F.min("best").over(so_far)).otherwise(F.max("best").over(so_far)))
-    turned = ((F.col("run") - F.col("bp")) * F.col("way") > 0) & (F.abs(F.col("worst") - F.col("run")) / F.col("run") * 100 >= REVERSAL) & ((F.col("run") - F.col("worst")) * F.col("way") > 0)
-    touches = lambda level: F.when(down, F.col("high") >= level * (1 - RETEST_PCT / 100)).otherwise(F.col("low") <= level * (1 + RETEST_PCT / 100)) & F.coalesce(F.col("date") <= F.date_add("b_date", RETEST_DAYS), F.lit(True))
-    after = after.withColumns({"stop_idx": F.min(F.when(turned, F.col("idx"))).over(whole), "retest": touches(F.coalesce("breakout_level", "bp")), "retest_bp": touches(F.col("bp"))})
-    after = after.withColumn("retest_idx", F.min(F.when(F.col("retest"), F.col("idx"))).over(whole))
-    move = F.col("way") * (F.col("close") - F.col("bp")) / F.col("bp") * 100
-    signed = F.col("way") * F.col("best")
-    upto = F.col("idx") <= F.coalesce("stop_idx", "idx")
-    in_retest = F.coalesce(F.col("date") <= F.date_add("b_date", RETEST_DAYS), F.lit(True))
-    beyond = F.when(down, F.col("close") >= F.col("opposite_level") * (1 + invalidation_pct / 100)).otherwise(F.col("close") <= F.col("opposite_level") * (1 - invalidation_pct / 100)) & (F.col("opposite_level") > 0)
-    reached = lambda c: F.when(down, F.col(c) <= F.col("target_price")).otherwise(F.col(c) >= F.col("target_price"))
-    sums = after.groupBy("pattern_id").agg(
-        F.count("*").alias("bars"), F.greatest(F.lit(0.0), F.max(move)).alias("favor"), F.max(-move).alias("against"),
-        F.min(F.when(-move >= 5, F.col("date"))).alias("against5"), F.min(F.when(-move >= 10, F.col("date"))).alias("against10"), F.min(F.when(beyond, F.col("date"))).alias("invalid_date"),
-        F.max(F.when(upto, F.struct(signed.alias("s"), (-F.col("idx")).alias("i"), F.col("date").alias("d")))).alias("ultimate"), F.max("stop_idx").alias("stop_idx"),
-        F.count_if(in_retest).alias("retest_bars"), F.max("retest_bp").alias("any_bp"), F.max("retest").alias("any_level"), F.min(F.when(F.col("idx") == F.col("retest_idx"), F.col("date"))).alias("retest_date"),
-        F.max(F.when(F.col("idx") <= F.col("retest_idx"), signed)).alias("pre"), F.max(F.when(F.col("idx") > F.col("retest_idx"), signed)).alias("post"),
-        F.min(F.when(reached("best"), F.col("date"))).alias("target_date"), F.max(reached("best")).alias("hit"), F.max(reached("close")).alias("hit_close"), F.max(F.when(down, F.col("high"))).alias("worst_high"), F.min(F.when(~down, F.col("low"))).alias("worst_low"),
-    )
+    sums = look_ahead(lean, bars, REVERSAL, RETEST_DAYS, RETEST_PCT, invalidation_pct)
     out = out.join(sums.filter("bars >= 2"), "pattern_id", "left")
     known = F.col("bars").isNotNull()
     bust5, bust10 = (F.col("favor") < 5) & (F.col("against") >= 5), (F.col("favor") < 10) & (F.col("against") >= 10)
     days = lambda c: F.datediff(c, "breakout_date")
     resumed = F.when(known, F.coalesce(F.col("any_level"), F.lit(False)) & ~F.coalesce(F.col("post") <= F.col("pre"), F.lit(False)))
-    ultimate = F.col("way") * F.col("ultimate.s")
+    ultimate = F.col("way") * F.col("ultimate_signed")
     share = lambda v: F.round(F.greatest(F.lit(0.0), v / F.col("breakout_price") * 100), 2)
     worst = F.coalesce(F.col("worst_high") - F.col("breakout_price"), F.col("breakout_price") - F.col("worst_low"))
     values = {
         "breakout_direction": F.when(known, F.when(F.col("way") < 0, "down").otherwise("up")).otherwise(F.col("breakout_direction")), "bust_failure_5pct": bust5, "bust_failure_10pct": bust10,
         "bust_failure_date": F.when(bust5, F.col("against5")).when(bust10, F.col("against10")), "bust_failure_pct": F.when(bust5 | bust10, F.round("against", 2)),
         "boundary_invalidated": F.when(known & (F.col("opposite_level") > 0), F.col("invalid_date").isNotNull()), "boundary_invalidation_date": F.col("invalid_date"),
-        "ultimate_price": ultimate, "ultimate_date": F.col("ultimate.d"), "days_to_ultimate": days("ultimate.d"), "ultimate_stop_reason": F.when(known, F.when(F.col("stop_idx").isNotNull(), "20pct_reversal").otherwise("end_of_window")),
+        "ultimate_price": ultimate, "ultimate_date": F.col("ultimate_date"), "days_to_ultimate": days("ultimate_date"), "ultimate_stop_reason": F.when(known, F.when(F.col("stop_idx").isNotNull(), "20pct_reversal").otherwise("end_of_window")),
         "throwback_pullback_occurred": resumed, "throwback_pullback_date": F.when(resumed, F.col("retest_date")), "days_to_throwback_pullback": F.when(resumed, days("retest_date")),
         "retested_breakout_level": F.when(F.col("retest_bars") > 0, F.col("any_bp")), "retested_boundary_level": F.when(F.col("retest_bars") > 0, F.col("any_level")),
         "target_achieved_intraday": F.col("hit"), "target_achieved_close": F.col("hit_close"), "target_achievement_date": F.col("target_date"), "days_to_target": days("target_date"),

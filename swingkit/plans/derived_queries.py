@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,19 @@ def base_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return detections_of(spark, sf_dir).filter(F.col("pattern_name") == key)
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.select("pattern_id", "pattern_name", "pattern_type")
+#: The detections of the chapter patterns that a further test tells apart, by the name of their query.
+CHAPTERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def chapter(name: str, sql: str):
+    """Registers a query of chapter patterns; it shows their names, CHAPTERS has the whole rows."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        CHAPTERS[name] = f
+        query(name, sql)(lambda spark, d: f(spark, d).select("pattern_id", "pattern_name", "pattern_type"))
+        return f
+
+    return keep
 
 
 def _sql(key: str, cases: list[tuple[str, str, str | None]], extra: str = "", join: str = "") -> str:
@@ -42,24 +55,24 @@ def _pct(a: str, b: str) -> str:
 
 
 _UP, _LO, _WIDER = _deg(1, 5), _deg(2, 6), "p5 - p6 > (p1 - p2) * 1.05::DOUBLE"
-query("g3_broadening_wedges", _sql("broadening_wedges", [("broadening_wedges_ascending", f"{_UP} > 0.2 AND {_LO} > 0.2 AND {_WIDER} AND {_UP} > {_LO} + 0.1", None), ("broadening_wedges_descending", f"{_UP} < -0.2 AND {_LO} < -0.2 AND {_WIDER} AND {_LO} < {_UP} - 0.1", None)]))(
-    lambda spark, d: _named(derived.broadening_wedges(base_of(spark, d, "broadening_wedges"), bars_of(spark, d)))
+chapter("g3_broadening_wedges", _sql("broadening_wedges", [("broadening_wedges_ascending", f"{_UP} > 0.2 AND {_LO} > 0.2 AND {_WIDER} AND {_UP} > {_LO} + 0.1", None), ("broadening_wedges_descending", f"{_UP} < -0.2 AND {_LO} < -0.2 AND {_WIDER} AND {_LO} < {_UP} - 0.1", None)]))(
+    lambda spark, d: derived.broadening_wedges(base_of(spark, d, "broadening_wedges"), bars_of(spark, d))
 )
-query("g21_wedges", _sql("wedges_ascending_descending", [("wedges_falling", f"{_UP} < -0.2 AND {_LO} < -0.2 AND breakout_direction = 'up'", "reversal_bullish"), ("wedges_rising", f"{_UP} > 0.2 AND {_LO} > 0.2 AND breakout_direction = 'down'", "reversal_bearish")]))(
-    lambda spark, d: _named(derived.wedges(base_of(spark, d, "wedges_ascending_descending"), bars_of(spark, d)))
+chapter("g21_wedges", _sql("wedges_ascending_descending", [("wedges_falling", f"{_UP} < -0.2 AND {_LO} < -0.2 AND breakout_direction = 'up'", "reversal_bullish"), ("wedges_rising", f"{_UP} > 0.2 AND {_LO} > 0.2 AND breakout_direction = 'down'", "reversal_bearish")]))(
+    lambda spark, d: derived.wedges(base_of(spark, d, "wedges_ascending_descending"), bars_of(spark, d))
 )
 _LEVEL, _RISE, _FALL = f"({_pct('p3', 'p1')} <= 3 AND {_pct('p5', 'p1')} <= 3)", "p4 > p2", "(p3 < p1 AND p5 < p3)"
 _ASC, _DESC = f"({_LEVEL} AND {_RISE})", f"({_pct('p4', 'p2')} <= 3 AND {_FALL})"
-query("g19_triangles", _sql("triangles", [("triangles_ascending", _ASC, None), ("triangles_descending", f"NOT {_ASC} AND {_DESC}", None), ("triangles_symmetrical", f"NOT {_ASC} AND NOT {_DESC} AND {_FALL} AND {_RISE}", None)]))(
-    lambda spark, d: _named(derived.triangles(base_of(spark, d, "triangles"), bars_of(spark, d)))
+chapter("g19_triangles", _sql("triangles", [("triangles_ascending", _ASC, None), ("triangles_descending", f"NOT {_ASC} AND {_DESC}", None), ("triangles_symmetrical", f"NOT {_ASC} AND NOT {_DESC} AND {_FALL} AND {_RISE}", None)]))(
+    lambda spark, d: derived.triangles(base_of(spark, d, "triangles"), bars_of(spark, d))
 )
-query("g17_scallops", _sql("scallop_ascending_descending", [("scallops_ascending", "p3 > p1 AND breakout_direction = 'up'", None), ("scallops_ascending_inverted", "p3 > p1 AND breakout_direction = 'down'", None), ("scallops_descending", "p3 <= p1 AND breakout_direction = 'down'", None), ("scallops_descending_inverted", "p3 <= p1 AND breakout_direction = 'up'", None)]))(
-    lambda spark, d: _named(derived.scallops(base_of(spark, d, "scallop_ascending_descending"), bars_of(spark, d)))
+chapter("g17_scallops", _sql("scallop_ascending_descending", [("scallops_ascending", "p3 > p1 AND breakout_direction = 'up'", None), ("scallops_ascending_inverted", "p3 > p1 AND breakout_direction = 'down'", None), ("scallops_descending", "p3 <= p1 AND breakout_direction = 'down'", None), ("scallops_descending_inverted", "p3 <= p1 AND breakout_direction = 'up'", None)]))(
+    lambda spark, d: derived.scallops(base_of(spark, d, "scallop_ascending_descending"), bars_of(spark, d))
 )
 for _name, _key, _up, _down in (("g11_horns", "horn_bottoms_tops", "horn_bottoms", "horn_tops"), ("g13_measured_moves", "measured_move_down_up", "measured_move_up", "measured_move_down"), ("g15_rectangles", "rectangle_bottoms_tops", "rectangle_bottoms", "rectangle_tops")):
-    query(_name, _sql(_key, [(_up, "breakout_direction = 'up'", None), (_down, "breakout_direction = 'down'", None)]))(lambda spark, d, key=_key, up=_up, down=_down: _named(derived.by_direction(base_of(spark, d, key), up, down)))
+    chapter(_name, _sql(_key, [(_up, "breakout_direction = 'up'", None), (_down, "breakout_direction = 'down'", None)]))(lambda spark, d, key=_key, up=_up, down=_down: derived.by_direction(base_of(spark, d, key), up, down))
 for _key in ("broadening_bottoms", "broadening_tops", "pennants"):
-    query(f"g1_{_key}", _sql(_key, [(_key, "TRUE", None)]))(lambda spark, d, key=_key: _named(derived.derive(base_of(spark, d, key), key)))
+    chapter(f"g1_{_key}", _sql(_key, [(_key, "TRUE", None)]))(lambda spark, d, key=_key: derived.derive(base_of(spark, d, key), key))
 
 
 def _widths(extreme: str, beyond: str) -> str:
@@ -77,20 +90,20 @@ def _variants(name: str) -> list[tuple[str, str, None]]:
 
 
 _JOIN = "JOIN w1 ON w1.pattern_id = x.pattern_id JOIN w3 ON w3.pattern_id = x.pattern_id"
-query("g8_double_tops", _sql("double_tops", _variants("double_tops"), _widths("high", "< TOP * 0.98::DOUBLE"), _JOIN))(lambda spark, d: _named(derived.double_variants(base_of(spark, d, "double_tops"), bars_of(spark, d), "double_tops")))
-query("g7_double_bottoms", _sql("double_bottoms", _variants("double_bottoms"), _widths("low", "> TOP * 1.02::DOUBLE"), _JOIN))(lambda spark, d: _named(derived.double_variants(base_of(spark, d, "double_bottoms"), bars_of(spark, d), "double_bottoms", True)))
+chapter("g8_double_tops", _sql("double_tops", _variants("double_tops"), _widths("high", "< TOP * 0.98::DOUBLE"), _JOIN))(lambda spark, d: derived.double_variants(base_of(spark, d, "double_tops"), bars_of(spark, d), "double_tops"))
+chapter("g7_double_bottoms", _sql("double_bottoms", _variants("double_bottoms"), _widths("low", "> TOP * 1.02::DOUBLE"), _JOIN))(lambda spark, d: derived.double_variants(base_of(spark, d, "double_bottoms"), bars_of(spark, d), "double_bottoms", True))
 for _key, _t, _away, _bottom in (("head_and_shoulders_top", "H", "r.price < x.p3 * 0.98::DOUBLE", False), ("head_and_shoulders_bottom", "L", "r.price > x.p3 * 1.02::DOUBLE", True)):
     _exists = f"EXISTS (SELECT 1 FROM raw r WHERE r.symbol = x.symbol AND r.ptype = '{_t}' AND r.idx > x.i1 AND r.idx < x.i5 AND r.idx <> x.i3 AND {_away} AND {_pct('r.price', '((x.p1 + x.p5) / 2)')} <= 10)"
-    query(f"g10_{_key}s", _sql(_key, [(f"{_key}s_complex", _exists, None), (f"{_key}s", f"NOT {_exists}", None)]))(
-        lambda spark, d, key=_key, bottom=_bottom: _named(derived.complex_head_and_shoulders(base_of(spark, d, key), bars_of(spark, d), pivots_of(spark, d), f"{key}s", f"{key}s_complex", bottom=bottom))
+    chapter(f"g10_{_key}s", _sql(_key, [(f"{_key}s_complex", _exists, None), (f"{_key}s", f"NOT {_exists}", None)]))(
+        lambda spark, d, key=_key, bottom=_bottom: derived.complex_head_and_shoulders(base_of(spark, d, key), bars_of(spark, d), pivots_of(spark, d), f"{key}s", f"{key}s_complex", bottom=bottom)
     )
 _POLE = """, form AS (SELECT x.pattern_id, max(b.high) AS top, min(b.low) AS bottom FROM x JOIN ind b ON b.symbol = x.symbol AND b.idx BETWEEN x.i1 AND x.i4 GROUP BY 1),
 pole AS (SELECT x.pattern_id, min(b.low) AS low, arg_min(b.idx, b.low * 1000000 + b.idx) AS spot FROM x JOIN ind b ON b.symbol = x.symbol AND b.idx BETWEEN x.i1 - 60 AND x.i1 GROUP BY 1)"""
 _TIGHT = "coalesce(breakout_direction = 'up' AND (top - low) / low * 100 >= 100 AND i1 - spot + 1 <= 60 AND (top - bottom) / top * 100 <= 20, FALSE)"
-query("g9_flags", _sql("flags", [("flags_high_tight", _TIGHT, None), ("flags", f"NOT {_TIGHT}", None)], _POLE, "JOIN form ON form.pattern_id = x.pattern_id JOIN pole ON pole.pattern_id = x.pattern_id"))(lambda spark, d: _named(derived.flags(base_of(spark, d, "flags"), bars_of(spark, d))))
+chapter("g9_flags", _sql("flags", [("flags_high_tight", _TIGHT, None), ("flags", f"NOT {_TIGHT}", None)], _POLE, "JOIN form ON form.pattern_id = x.pattern_id JOIN pole ON pole.pattern_id = x.pattern_id"))(lambda spark, d: derived.flags(base_of(spark, d, "flags"), bars_of(spark, d)))
 _WIDE = O.ISLANDS.replace("x.idx < e.idx + 20", "x.idx < e.idx + 40").replace("islands", "islands_base")
 _NAME = "CASE WHEN pattern_width_bars > 10 THEN 'islands_long' ELSE 'island_reversals' END"
-query("g12_islands", f"SELECT symbol || '_' || {_NAME} || '_' || pattern_id AS pattern_id, {_NAME} AS pattern_name, pattern_type FROM ({_WIDE})")(lambda spark, d: _named(derived.long_islands(barlocal.islands(bars_of(spark, d), max_bars=40, key="islands_base"))))
+chapter("g12_islands", f"SELECT symbol || '_' || {_NAME} || '_' || pattern_id AS pattern_id, {_NAME} AS pattern_name, pattern_type FROM ({_WIDE})")(lambda spark, d: derived.long_islands(barlocal.islands(bars_of(spark, d), max_bars=40, key="islands_base")))
 
 
 @query("e15_mirrored_bars", O.with_(O.CLEAN_BARS, "SELECT symbol, idx, round(a - open, 9) AS open, round(a - low, 9) AS high, round(a - high, 9) AS low, round(a - close, 9) AS close FROM (SELECT *, max(high) OVER (PARTITION BY symbol) + min(low) OVER (PARTITION BY symbol) AS a FROM ind)"))

@@ -140,7 +140,7 @@ for _key in list(spec_tables.SPECS)[:5]:
     query(f"f3_{_key}", O.sequences([_key]))(lambda spark, d, key=_key: detect(spark, d, [key]))
 
 
-from swingkit.plans import cup_pipe_queries, derived_queries, pattern_queries, report_queries, run_queries, variant_queries  # noqa: E402, F401  they register their queries
+from swingkit.plans import chapter_queries, cup_pipe_queries, derived_queries, pattern_queries, report_queries, run_queries, variant_queries  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
