@@ -28,7 +28,7 @@ def _reader(reversal: float, retest_pct: float, invalidation_pct: float) -> Call
         idx, day, high, low, close = (bars[c].to_numpy() for c in ("idx", "day", "high", "low", "close"))
         parts = [_block(asked.iloc[k : k + BLOCK], idx, day, high, low, close) for k in range(0, len(asked), BLOCK)]
         parts = [p for p in parts if p is not None]
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in _SCHEMA.split(", ")})
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: np.array([], float if c.split()[1] in ("double", "int", "long") else object) for c in _SCHEMA.split(", ")})
 
     def _block(asked: pd.DataFrame, idx: np.ndarray, day: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> pd.DataFrame | None:
         begin = np.searchsorted(idx, asked["breakout_idx"].to_numpy(), side="right")
