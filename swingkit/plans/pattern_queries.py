@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cups": lambda: cups_pipes.cups_with_handle(bars, raw, CUP).unionByName(cups_pipes.inverted_cups_with_handle(bars, raw, CUP)),
         "pipes": lambda: cups_pipes.pipes(bars, raw, PIPE).unionByName(cups_pipes.pipes(bars, raw, PIPE, bottom=False)),
     }
-    return _union([kept(spark, sf_dir, f"found {kind}", make) for kind, make in kinds.items()])
+    # Most of a kind's time is planning, and none has stages for a whole cluster all the time, so their jobs run side by side.
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        return _union(list(pool.map(lambda kind: kept(spark, sf_dir, f"found {kind}", kinds[kind]), kinds)))
 
 
 def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,17 @@ def test_rules(spark, rule, prices, held):
     assert df.filter(sequences.rules_hold()).count() == int(held)
 
 
+@pytest.mark.parametrize(("position", "rule", "prices", "held"), [
+    (4, "in_upper_third", [20, 10, 19, 16, 19, 18], True), (4, "in_upper_third", [20, 10, 19, 15.9, 19, 18], False), (5, "near_cup_lip", [20, 10, 19, 16, 19.5, 18], True), (5, "near_cup_lip", [20, 10, 19, 16, 19.6, 18], False),
+    (6, "shallow_decline", [20, 10, 19, 16, 20, 17], True), (6, "shallow_decline", [20, 10, 19, 16, 20, 16.9], False), (6, "shallow_decline", [20, 10, 19, 16, 0, -5], True),
+])
+def test_rules_of_a_handle(spark, position, rule, prices, held):
+    """The upper third lies between the second pivot and the third, the lip is the third, the decline is from the fifth."""
+    win = [(i * 10, None, float(p), t) for i, (p, t) in enumerate(zip(prices, "HLHLHL"))]
+    df = spark.createDataFrame([(win, [(position, rule)], 3.0, 15.0, 20.0, 10.0)], "win array<struct<idx: int, date: date, price: double, ptype: string>>, mandatory array<struct<position: int, constraint: string>>, tolerance double, depth_tolerance double, upper double, lower double")
+    assert df.filter(sequences.rules_hold()).count() == int(held)
+
+
 def flat(prices):
     return [("A", day(i), float(c), float(h), float(l), float(c), 1000) for i, (h, l, c) in enumerate(prices)]
 

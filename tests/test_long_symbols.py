@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from swingkit.operators import barlocal, chain, overlap, pivots
+from swingkit.operators import barlocal, chain, lookahead, overlap, pivots
 from swingkit.sources import bars as source
 
 def day(i):
@@ -122,3 +122,33 @@ def test_overlaps_of_one_crowded_symbol(spark):
             taken[low : high + 1] = b"\x01" * (high - low + 1)
             kept.append(r[0])
     assert got == sorted(kept) and took < 60
+
+
+def test_look_aheads_do_not_depend_on_their_cells(spark, monkeypatch):
+    """Breakouts at every bar of a long walk, with small and wide cells and blocks; a plain loop gives the same extremes and stops."""
+    rng, rows, price = random.Random(6), [], 100.0
+    for i in range(900):
+        price = max(5.0, price * (1 + rng.uniform(-0.06, 0.06)))
+        rows.append(("A", i, day(i), price * 1.01, price * 0.99, price))
+    bars = spark.createDataFrame(rows, "symbol string, idx int, date date, high double, low double, close double")
+    asked = [(f"p{i}", "A", i, day(i), rows[i][5], rows[i][5] * 1.02 if i % 2 else None, None if i % 5 == 0 else rows[i][5] * (1 - w / 10), None if i % 7 == 0 else rows[i][5] * (1 + w / 5), w, 252 if i % 3 else 40) for i in range(900) for w in ((1,) if i % 2 else (-1,))]
+    names = "pattern_id string, symbol string, breakout_idx int, b_date date, bp double, breakout_level double, opposite_level double, target_price double, way int, look int"
+    found = []
+    for cell, block in ((256, 2048), (1024, 7)):
+        monkeypatch.setattr(lookahead, "CELL", cell)
+        monkeypatch.setattr(lookahead, "BLOCK", block)
+        got = lookahead.look_ahead(spark.createDataFrame(asked, names), bars, 20.0, 30, 1.0, 0.0)
+        found.append({r.pattern_id: r for r in got.collect()})
+    assert found[0] == found[1] and len(found[0]) == 899
+    for key, _, at, _, bp, _, _, target, w, look in asked[:-1]:
+        after, r = rows[at + 1 : at + 1 + look], found[0][key]
+        best, stop = None, None
+        for _, i, _, h, low, _ in after:
+            best = max(best, h * w, low * w) if best is not None else max(h * w, low * w)
+            run, worst = best * w, low if w > 0 else h
+            if stop is None and (run - bp) * w > 0 and abs(worst - run) / run * 100 >= 20 and (run - worst) * w > 0:
+                stop = i
+        signed = [(max(h * w, low * w), -i) for _, i, _, h, low, _ in after if stop is None or i <= stop]
+        assert (r.bars, r.stop_idx, r.ultimate_signed, r.ultimate_date) == (len(after), stop, max(signed)[0], day(-max(signed)[1]))
+        assert r.against == max(-w * (c - bp) / bp * 100 for *_, c in after)
+        assert r.hit == (None if target is None else any((h * w >= target * w) or (low * w >= target * w) for _, _, _, h, low, _ in after))
