@@ -222,9 +222,9 @@ def search_block(docs: DataFrame, items: list[tuple[int, Counter]], k: int = K,
         asked.append((qid, *(np.array([p[j] for p in pairs if p[1]], np.int64) for j in (0, 1))))
     stats, postings = (len(vocabulary), n_docs, n_words), sum(df.values())
     dealt = F.pmod(F.xxhash64("doc_id", "n"), F.lit(max(1, n_docs // sample)))
-    some = found_in(index.filter(dealt == 0).limit(2 * sample).coalesce(1), asked, {}, stats, k, chunk_postings)
+    some = found_in(index.filter(dealt == 0).limit(2 * sample).repartition(spark.sparkContext.defaultParallelism), asked, {}, stats, k, chunk_postings)
     floors = {r.qid: r.score for r in ranked(some, k).filter(F.col("rank") == k).collect()}  # a row an item
-    keyed = index.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-postings // chunk_postings)), "top", "n", "doc_id", "_n").sortWithinPartitions("top", "n", "doc_id", "_n")
+    keyed = index.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(max(-(-postings // chunk_postings), spark.sparkContext.defaultParallelism), "top", "n", "doc_id", "_n").sortWithinPartitions("top", "n", "doc_id", "_n")
     best, best_path = kept(ranked(found_in(keyed, asked, floors, stats, k, chunk_postings), k), "best")
     dropped(spark, path)
     return best
