@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 PRICES = ["open", "high", "low", "close"]
@@ -36,9 +36,14 @@ def flagged(bars: DataFrame, fix_high_low: bool = True, clamp: bool = True) -> D
     return out.withColumn("not_positive", ~F.col("was_null") & _any(lambda c: (F.col(c) <= 0) | (F.abs(c) == float("inf"))))
 
 
-def clean(bars: DataFrame, drop_null: bool = True, fix_high_low: bool = True, clamp: bool = True, drop_non_positive: bool = True) -> DataFrame:
-    """Clean bars with their position ``idx`` in the symbol, in date order (ties by the other columns)."""
+def clean(bars: DataFrame, drop_null: bool = True, fix_high_low: bool = True, clamp: bool = True, drop_non_positive: bool = True, counters: Observation | None = None) -> DataFrame:
+    """Clean bars with their position ``idx`` in the symbol, in date order (ties by the other columns).
+
+    ``counters`` gets the counters of :func:`cleaning_stats` over all symbols from the first job that reads the clean bars, without a pass of its own.
+    """
     out = flagged(bars, fix_high_low, clamp)
+    if counters is not None:
+        out = out.observe(counters, *_counters())
     if drop_null:
         out = out.filter(~F.col("was_null"))
     if drop_non_positive:
@@ -52,14 +57,19 @@ def positioned(bars: DataFrame) -> DataFrame:
     return bars.withColumn("idx", F.row_number().over(order) - 1)
 
 
-def cleaning_stats(bars: DataFrame) -> DataFrame:
-    """Counters of the cleaning of every symbol."""
+def _counters() -> list[Column]:
+    """Counts over rows of :func:`flagged`."""
     n = lambda c: F.count_if(c).alias
     kept = ~F.col("was_null") & ~F.col("not_positive")
-    return flagged(bars).groupBy("symbol").agg(
+    return [
         F.count("*").alias("input_rows"), n(F.col("was_null"))("removed_null"), n(F.col("was_swapped"))("fixed_high_low"), n(F.col("was_clamped"))("fixed_open_close"),
         n(F.col("not_positive"))("removed_non_positive"), n(kept & (F.col("volume") == 0))("zero_volume"), n(kept)("output_rows"),
-    )
+    ]
+
+
+def cleaning_stats(bars: DataFrame) -> DataFrame:
+    """Counters of the cleaning of every symbol."""
+    return flagged(bars).groupBy("symbol").agg(*_counters())
 
 
 def add_indicators(bars: DataFrame) -> DataFrame:

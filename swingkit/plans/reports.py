@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swingkit.operators.asof import as_of
+from swingkit.operators.medians import with_medians
 
 DET_KEYS = ["pattern_id", "symbol", "pattern_name", "pattern_type", "formation_start", "formation_end", "pattern_height_pct", "pattern_width_bars", "confidence_score", "pivot_indices"]
 
@@ -43,12 +44,14 @@ def stats_by(outcomes: DataFrame, by: str = "pattern_name") -> DataFrame:
 def totals(outcomes: DataFrame) -> DataFrame:
     """One row over all outcomes: rates count an unknown flag as false; means and exact medians."""
     share = _share
-    return outcomes.agg(
+    sums = outcomes.agg(
         F.count("*").alias("total"), share("bust_failure_5pct").alias("bust_5pct"), share("boundary_invalidated").alias("invalidated_pct"), share("throwback_pullback_occurred").alias("throwback_pct"), share("target_achieved_intraday").alias("target_pct"),
         share("retested_breakout_level").alias("retested_breakout_pct"), share("retested_boundary_level").alias("retested_boundary_pct"),
-        share("bust_failure_10pct").alias("bust_10pct"), share("target_achieved_close").alias("target_close_pct"), F.avg("days_to_target").alias("mean_days_to_target"), F.median("days_to_target").alias("median_days_to_target"), F.avg("days_to_ultimate").alias("mean_days"), F.median("days_to_ultimate").alias("median_days"),
-        F.avg("max_favorable_excursion_pct").alias("mean_mfe"), F.median("max_favorable_excursion_pct").alias("median_mfe"), F.avg("max_adverse_excursion_pct").alias("mean_mae"), F.median("max_adverse_excursion_pct").alias("median_mae"),
+        share("bust_failure_10pct").alias("bust_10pct"), share("target_achieved_close").alias("target_close_pct"), F.avg("days_to_target").alias("mean_days_to_target"), F.avg("days_to_ultimate").alias("mean_days"),
+        F.avg("max_favorable_excursion_pct").alias("mean_mfe"), F.avg("max_adverse_excursion_pct").alias("mean_mae"),
     )
+    middles = {"median_days_to_target": "days_to_target", "median_days": "days_to_ultimate", "median_mfe": "max_favorable_excursion_pct", "median_mae": "max_adverse_excursion_pct"}
+    return with_medians(sums, outcomes, [], {n: F.col(c) for n, c in middles.items()})
 
 
 def _share(c: str) -> Column:
@@ -89,17 +92,21 @@ def with_group(frame: DataFrame, dim: DataFrame, level: str = "pattern_key") ->
     return frame.join(F.broadcast(names), "pattern_name", "left").withColumn("pattern_group", F.coalesce("_g", "pattern_name")).drop("_g")  # a row a pattern
 
 
-def _report(frame: DataFrame, by: list[str]) -> DataFrame:
+def _report(frame: DataFrame, by: list[str], small_groups: bool = False) -> DataFrame:
+    """Rates and medians of every group; ``small_groups`` hold few rows each, whose medians are found in one task."""
     shown = frame.filter("breakout_date is not null and breakout_price is not null")
     shown = shown.withColumns({"evaluated": F.col("evaluation_window_bars").isNotNull(), "breakout_direction": F.coalesce("breakout_direction", F.lit("unknown")), "market_regime": F.coalesce("market_regime", F.lit("unknown"))})
     own = lambda c: F.when(F.col("evaluated"), F.col(c))
     failed = lambda n: F.avg(F.when(own("max_favorable_excursion_pct").isNotNull(), (F.col("max_favorable_excursion_pct") < n).cast("int"))) * 100
-    return shown.groupBy(*by, "breakout_direction", "market_regime").agg(
+    by = [*by, "breakout_direction", "market_regime"]
+    middles = {"median_move_pct": own("max_favorable_excursion_pct"), "median_days_to_ultimate": own("days_to_ultimate")}
+    sums = shown.groupBy(*by).agg(
         F.count("*").alias("n_confirmed"), F.count_if("evaluated").alias("n_evaluated"), (F.count_if("evaluated") / F.count("*") * 100).alias("eval_coverage_pct"),
-        F.median(own("max_favorable_excursion_pct")).alias("median_move_pct"), F.median(own("days_to_ultimate")).alias("median_days_to_ultimate"),
+        *[F.median(c).alias(n) for n, c in middles.items() if small_groups],
         *[(F.avg(own(c).cast("int")) * 100).alias(n) for n, c in (("throwback_pullback_rate_pct", "throwback_pullback_occurred"), ("target_hit_rate_intraday_pct", "target_achieved_intraday"), ("boundary_invalidation_rate_pct", "boundary_invalidated"), ("busted_5pct_rate_pct", "bust_failure_5pct"))],
         *[failed(n).alias(f"failure_lt_{n}pct_rate_pct") for n in (5, 10, 15)],
     )
+    return sums if small_groups else with_medians(sums, shown, by, middles)
 
 
 def pattern_report(frame: DataFrame) -> DataFrame:
@@ -115,7 +122,7 @@ def ranked(report: DataFrame) -> DataFrame:
 
 def symbol_performance(frame: DataFrame) -> DataFrame:
     """The pattern report of every symbol."""
-    return _report(frame, ["symbol", "pattern_group"])
+    return _report(frame, ["symbol", "pattern_group"], small_groups=True)
 
 
 def symbol_frequency(frame: DataFrame) -> DataFrame:
@@ -172,9 +179,9 @@ def compliance(detections: DataFrame, limits: DataFrame) -> DataFrame:
 def outcome_kpis(outcomes: DataFrame, min_evals: int = 50) -> DataFrame:
     """Medians and failure rates of patterns with enough outcomes."""
     move = F.col("max_favorable_excursion_pct")
-    return outcomes.groupBy("pattern_name").agg(
-        F.count("evaluation_window_bars").alias("n_evals"), F.median(move).alias("median_move_pct"), F.median("days_to_ultimate").alias("median_days"), *[(F.avg((move < n).cast("int")) * 100).alias(f"failure_lt_{n}_pct") for n in (5, 10)]
-    ).filter(F.col("n_evals") >= min_evals)
+    sums = outcomes.groupBy("pattern_name").agg(F.count("evaluation_window_bars").alias("n_evals"), *[(F.avg((move < n).cast("int")) * 100).alias(f"failure_lt_{n}_pct") for n in (5, 10)])
+    sums = sums.filter(F.col("n_evals") >= min_evals)
+    return with_medians(sums, outcomes, ["pattern_name"], {"median_move_pct": move, "median_days": F.col("days_to_ultimate")})
 
 
 def compare_runs(calibration: DataFrame, validation: DataFrame) -> DataFrame:
