@@ -3,13 +3,14 @@
 Every language has a tree of byte contexts of up to ``ORDER`` bytes, counted over its sample. A byte that a context has
 seen costs its share of the context's count plus its number of distinct bytes; one that it hasn't costs the escape
 (the distinct bytes' share) and is then predicted by the context shorter by a byte, without the bytes already ruled out.
-The statistics are frozen, so the code length of a byte depends on its context alone: the lengths are laid out as one
-array, and a text's code length in every language is a sum of lookups. The shortest code wins.
+The statistics are frozen, so the code length of a byte depends on its context alone. A byte costs what it costs after its
+preceding byte, plus, for the context of two bytes and then of three, either the escape or what having seen the byte saves. Only
+what a language has seen has an entry, so a text's code length in every language is a sum over its distinct grams. The shortest code wins.
 
 Letters are lower-cased and every run of other ASCII bytes counts as one space: digits and marks, which say little of a
 language, are no part of the code. The trees are learnt from at most ``SAMPLE`` documents of each language, drawn by a hash
-of id and text, and their table has at most ``MOST_CELLS`` values: beyond that the rarest contexts are left to their
-shorter ones. Every text is scored whole, its code length summed in doubles.
+of id and text; a language adds an entry for each of its distinct grams and contexts and at most 0.5 MB of shortest contexts.
+Every text is scored whole, its code length summed in doubles.
 
 Equal texts are one document of the sample. A null or blank text, or one without a letter, is ``und``; so is any text if
 nothing could be learnt. Of languages with codes of equal length the first by name wins.
@@ -34,8 +35,8 @@ SAMPLE = 400
 LEAST = 3
 #: Bytes that are looked up at once.
 PIECE = 1 << 18
-#: Code lengths (8 bytes each) of all contexts, bytes and languages at most, and languages whose numbers of rows are broadcast.
-MOST_CELLS, MOST_LANGS = 1 << 24, 10_000
+#: Languages whose numbers of rows are broadcast.
+MOST_LANGS = 10_000
 UNKNOWN = "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,23 +56,58 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
 
 
+@dataclass
+class Costs:
+    """Bits of grams or contexts in the languages that have met them: entries of one key lie together."""
+
+    keys: np.ndarray  # distinct, ascending
+    start: np.ndarray  # first entry of each key, and the number of entries
+    lang: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Costs:
+        """From the keys and bits of every language."""
+        key = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]])
+        order = np.argsort(key, kind="stable")
+        keys, start = np.unique(key[order], return_index=True)
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        return Costs(keys, np.append(start, len(key)), lang[order], np.concatenate([np.zeros(0), *[b for _, b in parts]])[order])
+
+    def sums(self, keys: np.ndarray, times: np.ndarray, langs: int) -> np.ndarray:
+        """The sum of the bits of ``keys``, each as often as ``times`` says, in every language."""
+        if not len(self.keys):
+            return np.zeros(langs)
+        row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        met = self.keys[row] == keys
+        row, times = row[met], times[met]
+        n = self.start[row + 1] - self.start[row]
+        at = np.repeat(self.start[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.lang[at], self.bits[at] * np.repeat(times, n), langs)
+
+
 @dataclass
 class Trees:
-    """Bits of every byte after every context in every language, as one table."""
+    """Bits of every byte after every context in every language: a base after one byte, and what longer contexts change."""
 
     langs: list[str]
     symbol: np.ndarray  # of each byte; the last symbol stands for all bytes that no tree has seen
-    state: np.ndarray  # row of each context of three symbols
-    bits: np.ndarray  # rows times symbols, languages
+    base: np.ndarray  # pairs of symbols, languages
+    escapes: tuple[Costs, Costs]  # by context of two and of three symbols
+    seen: tuple[Costs, Costs]  # by gram of three and of four symbols
 
     def lengths(self, text: str | None) -> np.ndarray:
         """Code length in bits of the whole text in each language."""
-        n, total = int(self.symbol.max()) + 1, np.zeros(len(self.langs))
+        n, k, total = int(self.symbol.max()) + 1, len(self.langs), np.zeros(len(self.langs))
         s = np.concatenate([np.full(ORDER, self.symbol[0], np.int64), self.symbol[normal_bytes(text)]])
         for at in range(0, len(s) - ORDER, PIECE):
             p = s[at : at + PIECE + ORDER]
-            row = self.state[(p[:-3] * n + p[1:-2]) * n + p[2:-1]]
-            total += np.take(self.bits, row * n + p[3:], axis=0).sum(axis=0, dtype=np.float64)
+            four, times = np.unique(((p[:-3] * n + p[1:-2]) * n + p[2:-1]) * n + p[3:], return_counts=True)
+            three, place = np.unique(four % n**3, return_inverse=True)
+            often = np.bincount(place, times)
+            total += often @ self.base[three % n**2]
+            total += self.seen[0].sums(three, often, k) + self.escapes[0].sums(three // n, often, k)
+            total += self.seen[1].sums(four, times, k) + self.escapes[1].sums(four // n, times, k)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -100,45 +136,44 @@ def grow(counts: pd.DataFrame) -> Trees:
     langs = sorted(counts["lang"].unique())
     gram = counts["gram"].to_numpy(np.int64)
     parts = [(gram >> shift) & 255 for shift in (24, 16, 8, 0)]
-    seen = np.unique(np.concatenate([[0, 32], *parts])) if len(gram) else np.array([0, 32])
-    size = len(seen) + 1
+    known = np.unique(np.concatenate([[0, 32], *parts])) if len(gram) else np.array([0, 32])
+    size = len(known) + 1
     symbol = np.full(256, size - 1, np.int64)
-    symbol[seen] = np.arange(size - 1)
+    symbol[known] = np.arange(size - 1)
     a, b, c, s = (symbol[p] for p in parts)
-    n = counts["n"].to_numpy(np.float64)
-    pair, triple = b * size + c, (a * size + b) * size + c
-    two, three = _contexts(pair, n, 1), _contexts(triple, n, LEAST)
-    # The rarest contexts go until the table fits; a context's shorter one is never rarer than it.
-    fits = max(MOST_CELLS // (size * max(len(langs), 1)) - size, 0)
-    often = np.sort(np.concatenate([two[1], three[1]]))[::-1]
-    least = often[fits] if len(often) > fits else 0
-    two, three = two[0][two[1] > least], three[0][three[1] > least]
-    state = np.tile(np.arange(size, dtype=np.int32), size * size)  # by default, the row of the last symbol
-    state.reshape(size, -1)[:, two] = size + np.arange(len(two))
-    state[three] = size + len(two) + np.arange(len(three))
-    bits = np.empty(((size + len(two) + len(three)) * size, len(langs)))
+    four, n = ((a * size + b) * size + c) * size + s, counts["n"].to_numpy(np.float64)
+    contexts, place = np.unique(four // size, return_inverse=True)
+    contexts = contexts[np.bincount(place, n, len(contexts)) >= LEAST] if len(gram) else contexts
+    base, escapes, seen = np.empty((size * size, len(langs))), ([], []), ([], [])
     for k, lang in enumerate(langs):
         mine = (counts["lang"] == lang).to_numpy()
-        w, ls = n[mine], s[mine]
-
-        def counted(context: np.ndarray, known: np.ndarray) -> np.ndarray:
-            row = np.minimum(np.searchsorted(known, context[mine]), max(len(known) - 1, 0))
-            inside = known[row] == context[mine] if len(known) else np.zeros(len(ls), bool)
-            return np.bincount(row[inside] * size + ls[inside], w[inside], len(known) * size).reshape(len(known), size)  # noqa: B023
-
-        p0 = _escaped(np.bincount(ls, w, size)[None, :], np.full((1, size), 1 / size))
-        p1 = _escaped(counted(c, np.arange(size)), np.broadcast_to(p0, (size, size)))
-        p2 = _escaped(counted(pair, two), p1[two % size])
-        p3 = _escaped(counted(triple, three), p2[np.searchsorted(two, three % (size * size))])
-        bits[:, k] = -np.log2(np.concatenate([p1, p2, p3]).ravel())
-    return Trees(langs, symbol, state, bits)
-
-
-def _contexts(context: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct contexts that were met at least so often, and how often."""
-    known, inverse = np.unique(context, return_inverse=True)
-    often = np.bincount(inverse, n, len(known))
-    return known[often >= least], often[often >= least]
+        own, w = four[mine], n[mine]
+        p0 = _escaped(np.bincount(own % size, w, size)[None, :], np.full((1, size), 1 / size))
+        p1 = _escaped(np.bincount(own % size**2, w, size * size).reshape(size, size), np.broadcast_to(p0, (size, size)))
+        base[:, k] = -np.log2(p1.ravel())
+        three, place = np.unique(own % size**3, return_inverse=True)
+        cost, escape, saved = _longer(three, np.bincount(place, w, len(three)), base[three % size**2, k], size)
+        escapes[0].append(escape)
+        seen[0].append((three, saved))
+        own, order = np.unique(own, return_index=True)
+        often = np.isin(own // size, contexts)
+        own, order = own[often], order[often]
+        _, escape, saved = _longer(own, w[order], cost[place[order]], size)
+        escapes[1].append(escape)
+        seen[1].append((own, saved))
+    return Trees(langs, symbol, base, tuple(map(Costs.of, escapes)), tuple(map(Costs.of, seen)))
+
+
+def _longer(grams: np.ndarray, n: np.ndarray, shorter: np.ndarray, size: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Of distinct grams with their counts and their bits after the shorter context: their bits after the longer one, the bits
+    that the longer contexts' escapes add, and what the grams' own bits differ from escape and shorter context."""
+    context, place = np.unique(grams // size, return_inverse=True)
+    kinds, whole = np.bincount(place, minlength=len(context)), np.bincount(place, n, len(context))
+    # The symbol of unseen bytes has been met after no context, so something is always left to escape to.
+    left = 1 - np.bincount(place, np.exp2(-shorter), len(context))
+    escape = np.log2((whole + kinds) * left / kinds)
+    bits = np.log2((whole + kinds)[place] / n)
+    return bits, (context, escape), bits - escape[place] - shorter
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Trees:

@@ -1,6 +1,7 @@
 """Quality and language: small cases by hand, and held-out accuracy on the driver's tables."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -49,7 +50,17 @@ def test_code_lengths_are_of_a_distribution():
     counts = pd.DataFrame([("xx", int(g), int(n)) for g, n in zip(*np.unique(language.grams(language.normal_bytes("abracadabra abra")), return_counts=True))], columns=["lang", "gram", "n"])
     trees = language.grow(counts)
     size = int(trees.symbol.max()) + 1
-    assert np.allclose(np.exp2(-trees.bits[:, 0].reshape(-1, size).astype(float)).sum(axis=1), 1, atol=1e-5)
+    rng, most = np.random.default_rng(1), size - 1
+    # Known contexts, and those with symbols that were never met beside each other.
+    for context in [*np.unique(trees.seen[1].keys // size), *rng.integers(0, size**3, 50), most, most * size**2 + most * size + most]:
+        assert np.isclose(np.exp2(-np.array([bits_after(trees, int(context) * size + s, size) for s in range(size)])).sum(axis=0), 1, atol=1e-9)
+
+
+def bits_after(trees, gram, size):
+    """Code length of the last of four symbols in every language."""
+    one, k = np.ones(1, int), len(trees.langs)
+    at = lambda costs, key: costs.sums(np.array([key]), one, k)
+    return trees.base[gram % size**2] + at(trees.seen[0], gram % size**3) + at(trees.escapes[0], gram % size**3 // size) + at(trees.seen[1], gram) + at(trees.escapes[1], gram // size)
 
 
 def dictionary_bits(samples, lang, text):
@@ -93,15 +104,24 @@ def test_code_lengths_against_dictionaries():
         assert np.allclose(trees.lengths(text), [dictionary_bits(samples, lang, text) for lang in ("aa", "bb")], rtol=1e-9)
 
 
-def test_table_stays_within_its_bound(monkeypatch):
-    counts = pd.DataFrame([("aa", int(g), 1) for g in language.grams(language.normal_bytes("the and of that this there then " * 3))], columns=["lang", "gram", "n"])
-    counts = counts.groupby(["lang", "gram"]).n.sum().reset_index()
-    whole = language.grow(counts).bits.size
-    monkeypatch.setattr(language, "MOST_CELLS", whole // 2)
+def test_a_hundred_languages_keep_their_own_contexts():
+    """Languages of letters of their own: held-out texts are told apart, and a language with a document keeps its contexts beside those with 30."""
+    rng = random.Random(7)
+    words = {f"l{k:03}": ["".join(chr(rng.randrange(97, 123) if k % 2 else 0x400 + 5 * (k % 40) + rng.randrange(30)) for _ in range(rng.randrange(2, 8))) for _ in range(150)] for k in range(100)}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = []
+    for k, lang in enumerate(words):
+        raw = np.concatenate([language.grams(language.normal_bytes(text(lang, 200))) for _ in range(1 if k < 10 else 30)])
+        gram, n = np.unique(raw, return_counts=True)
+        rows.append(pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n}))
+    counts = pd.concat(rows, ignore_index=True)
     trees = language.grow(counts)
-    size = int(trees.symbol.max()) + 1
-    assert trees.bits.size <= whole // 2
-    assert np.allclose(np.exp2(-trees.bits[:, 0].reshape(-1, size)).sum(axis=1), 1)
+    assert sum(trees.predict(text(lang, 40))[0] == lang for lang in words) == 100
+    # Entries grow with what was seen, not with all pairs of context and language.
+    assert len(trees.seen[1].bits) <= len(counts) and len(trees.seen[0].bits) <= len(counts)
+    alone = language.grow(counts[counts["lang"] == "l003"])
+    for costs, own in zip((*trees.seen, *trees.escapes), (*alone.seen, *alone.escapes)):
+        assert (costs.lang == 3).sum() >= len(own.bits) > 0
 
 
 def test_language_of_repeated_rows_and_clashing_columns(spark):
