@@ -5,6 +5,7 @@ notices, adverts and reader comments, known by their tag, role, class or id, lea
 characters outside links. The weights of ``SPAN`` following lines are summed at every line: where a sum surges to
 ``SURGE`` (or to the greatest sum of a page that stays below) the main text begins, with the lines before it up to a gap
 of ``SPAN`` weightless ones, and where the sums dive to nothing it ends; all lines between are kept, link-only ones too.
+A heading that is all link right before the main text is its title, a paragraph that is all link right after it its last line, unless another of its kind stands beside it.
 
 A page's own ``article`` or ``main`` part is a weight: its lines weigh ``SURGE`` more and count their links, lines
 outside it weigh a sixteenth, and no sum crosses its border. So dense text outside a marked part of a few words still wins.
@@ -34,6 +35,7 @@ _PARTS = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements without text of the page, elements that don't break a line, elements without an end tag.
 _DROPPED = set("head script style noscript template textarea iframe svg math canvas object audio video select button datalist".split())
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+_HEADINGS = set("h1 h2 h3".split())
 _EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = set("nav header footer aside form dialog menu".split())
 _MAIN = {"article", "main"}
@@ -55,12 +57,13 @@ _BESIDE = set(
 
 
 class Line(NamedTuple):
-    """A block's text with single spaces, its characters in all and outside links, and whether it lies in the main part."""
+    """A block's text with single spaces, its characters in all and outside links, whether it lies in the main part, and its element."""
 
     text: str
     size: int
     plain: int
     main: bool
+    element: str = ""
 
 
 def _marks(value: str, words: set[str]) -> bool:
@@ -156,7 +159,7 @@ def lines_of(page: str) -> list[Line]:
     """A line for each block of text, and one empty line for noise."""
     out: list[Line] = []
     text: list[str] = []
-    plain, links, main = 0, 0, 0
+    plain, links, main, element = 0, 0, 0, ""
     noise, depth = "", 0  # the element of noise that we are in, and how many of its name are open
     doubt, doubts, since = "", 0, 0  # the doubtful element that we are in, how many of its name are open, and its first line
 
@@ -164,7 +167,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal plain
         line = " ".join("".join(text).split())
         if line:
-            out.append(Line(line, len(line), plain, main > 0))
+            out.append(Line(line, len(line), plain, main > 0, element))
         text.clear()
         plain = 0
 
@@ -208,7 +211,7 @@ def lines_of(page: str) -> list[Line]:
             text.append(" ")
         elif name not in _INLINE:
             end_line()
-            links = 0
+            links, element = 0, "" if closing else name
         if doubt and (name == doubt or closing and name in _MAIN or doubt == "p" and name not in _INLINE):
             doubts += -1 if closing else 1
             if doubts <= 0 or name in _MAIN or doubt in ("p", "li"):
@@ -261,15 +264,31 @@ def runs_of(weights: list[int], least: int, span: int = SPAN) -> list[tuple[int,
     return out
 
 
+def with_linked_ends(lines: list[Line], first: int, last: int) -> tuple[int, int]:
+    """A run with the heading right before it and the paragraph right after it, where these are nothing but links and stand alone."""
+
+    def linked(k: int, elements: set[str]) -> bool:
+        return 0 <= k < len(lines) and lines[k].element in elements and not lines[k].plain
+
+    if linked(first - 1, _HEADINGS) and not linked(first - 2, _HEADINGS):
+        first -= 1
+    if linked(last + 1, {"p"}) and not linked(last + 2, {"p"}):
+        last += 1
+    return first, last
+
+
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
     """The page's main text, its blocks joined by one line end; empty for a null or empty page, or one without text outside links."""
     lines = lines_of(page or "")
     weights, kept = weights_of(lines, surge), []
     parts = [[k for k, _ in part] for _, part in groupby(enumerate(lines), key=lambda x: x[1].main)]
+    marked = any(x.main and x.text for x in lines)
     peak = max((max(sums_of([weights[k] for k in part], span)) for part in parts), default=0)
     if peak:
         for part in parts:
             for first, last in runs_of([weights[k] for k in part], min(surge, peak), span):
+                if not marked:
+                    first, last = with_linked_ends([lines[k] for k in part], first, last)
                 kept += [lines[k].text for k in part[first : last + 1] if lines[k].text]
     return "\n".join(kept)
 

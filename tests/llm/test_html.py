@@ -51,6 +51,16 @@ def test_short_lines_before_a_surge_and_links_in_a_run_are_kept():
     assert main_text(page) == f"Title\nBy A. Writer\n1 May\nIntro.\n{one}\nSee also\n{one}"
 
 
+def test_a_linked_title_and_a_linked_last_paragraph_are_kept():
+    one, menu = LONG.strip(), "".join(f"<li><a href=/{k}>Page {k}</a></li>" for k in range(5))
+    page = f"<ul>{menu}</ul><h1><a href=x>Title</a></h1><p>{LONG}</p><p><a href=y>Last line</a></p><ul>{menu}</ul>"
+    assert main_text(page) == f"Title\n{one}\nLast line"
+    # Rows of links before and after the text are no part of it.
+    links = "".join(f"<h3><a href=/{k}>Story {k}</a></h3>" for k in range(5))
+    assert main_text(f"{links}<div>{LONG}</div>{links}") == one
+    assert main_text(f"<h1><a href=x>Other</a></h1><div class=ad>buy</div><p>{LONG}</p><ul>{menu}</ul><p><a href=y>Home</a></p>") == one
+
+
 def test_sums_and_runs_against_brute_force():
     """A run is a chain of weighted lines at most SPAN apart that has a surge in it."""
     rng = random.Random(5)
