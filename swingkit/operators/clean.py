@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from swingkit.operators import cells
+
 PRICES = ["open", "high", "low", "close"]
+#: Bars that an indicator looks back at most.
+REACH = 20
 
 
 def _bad(c: str) -> Column:
@@ -36,10 +40,11 @@ def flagged(bars: DataFrame, fix_high_low: bool = True, clamp: bool = True) -> D
     return out.withColumn("not_positive", ~F.col("was_null") & _any(lambda c: (F.col(c) <= 0) | (F.abs(c) == float("inf"))))
 
 
-def clean(bars: DataFrame, drop_null: bool = True, fix_high_low: bool = True, clamp: bool = True, drop_non_positive: bool = True, counters: Observation | None = None) -> DataFrame:
+def clean(bars: DataFrame, drop_null: bool = True, fix_high_low: bool = True, clamp: bool = True, drop_non_positive: bool = True, counters: Observation | None = None, period: str | None = None) -> DataFrame:
     """Clean bars with their position ``idx`` in the symbol, in date order (ties by the other columns).
 
     ``counters`` gets the counters of :func:`cleaning_stats` over all symbols from the first job that reads the clean bars, without a pass of its own.
+    With a ``period`` such as "year" no task holds more of a symbol than that (see :func:`swingkit.operators.cells.positioned`).
     """
     out = flagged(bars, fix_high_low, clamp)
     if counters is not None:
@@ -48,7 +53,8 @@ def clean(bars: DataFrame, drop_null: bool = True, fix_high_low: bool = True, cl
         out = out.filter(~F.col("was_null"))
     if drop_non_positive:
         out = out.filter(~F.col("not_positive"))
-    return positioned(out.drop("was_null", "was_swapped", "was_clamped", "not_positive"))
+    out = out.drop("was_null", "was_swapped", "was_clamped", "not_positive")
+    return cells.positioned(out, [*PRICES, "volume"], period) if period else positioned(out)
 
 
 def positioned(bars: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of specs of one's own, of boundary prices and overrides, and of reports at other levels."""
+"""Queries of specs of one's own, of boundary prices and overrides, of reports at other levels, and of symbols in cells."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from swingkit.operators import outcomes, sequences, universe
+from swingkit.operators import cells, clean, outcomes, pivots, sequences, universe
 from swingkit.plans import oracle as O
 from swingkit.plans import outcome_sql as D
 from swingkit.plans import report_queries as R
 from swingkit.plans import reports
-from swingkit.plans.base import bars_of, folder, pivots_of, query
+from swingkit.plans.base import ORACLE, bars_of, folder, pivots_of, query
 from swingkit.plans.pattern_queries import detections_of, outcomes_of
 from swingkit.sources import bars as source
 from swingkit.sources import sinks, specs
@@ -107,3 +107,17 @@ def _b12(spark, d):
     kept = universe.cap(found, ["symbol"], 2, "random", 7)
     known = found.select("pattern_id", F.lit(1).alias("there")).distinct()
     return kept.join(known, "pattern_id", "left").groupBy("symbol").agg(F.countDistinct("pattern_id").alias("n_kept"), F.count("there").alias("n_known"))
+
+
+# Positions by year, and windows over cells of 64 bars instead of whole symbols.
+
+
+@query("c_indicators_in_cells", ORACLE["c_indicators"])
+def _indicators_in_cells(spark, d):
+    out = cells.in_cells(clean.clean(source.damaged(source.lineitem_bars(spark, d)), period="year"), clean.add_indicators, clean.REACH, 0, 64)
+    return out.select("symbol", "idx", "typical_price", "true_range", "atr", "volume_ma", "volume_ratio", "return_pct", "range_pct")
+
+
+@query("d1_pivots_in_cells", ORACLE["d1_pivots_intermediate"])
+def _pivots_in_cells(spark, d):
+    return cells.in_cells(bars_of(spark, d), pivots.pivots, pivots.NEARBY, pivots.NEARBY, 64)
