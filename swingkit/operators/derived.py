@@ -17,6 +17,16 @@ def derive(base: DataFrame, key: str, keep: Column | None = None, kind: str | No
     return out.withColumns(values).select(of or base.columns)
 
 
+def derive_all(base: DataFrame, cases: list[tuple[str, Column, str | None]], of: list[str] | None = None) -> DataFrame:
+    """:func:`derive` for several (key, keep, kind) of which a row meets one at most, in one pass over ``base``."""
+    name, kind = F.lit(None).cast("string"), F.col("pattern_type")
+    for key, keep, own in reversed(cases):
+        name = F.when(keep, key).otherwise(name)
+        kind = F.when(keep, own).otherwise(kind) if own else kind
+    out = base.withColumns({"_key": name, "_kind": kind}).filter("_key is not null")
+    return out.withColumns({"pattern_id": F.concat_ws("_", "symbol", "_key", "pattern_id"), "pattern_name": F.col("_key"), "pattern_type": F.col("_kind")}).select(of or base.columns)
+
+
 def with_pivot_prices(detections: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """``detections`` plus i0, h0, l0, i1, ...: position, high and low of the first ``n`` pivots' bars."""
     own = [F.get("pivot_indices", F.lit(k)) for k in range(n)]
@@ -67,33 +77,27 @@ def double_variants(doubles: DataFrame, bars: DataFrame, name: str, trough: bool
     """The four chapter patterns ``name``_adam_adam, ... of double tops or bottoms."""
     marked = adam_eve(doubles, bars, trough)
     word = {"A": "adam", "E": "eve"}
-    parts = [derive(marked, f"{name}_{word[a]}_{word[b]}", F.col("variant") == a + b, of=doubles.columns) for a in "AE" for b in "AE"]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return derive_all(marked, [(f"{name}_{word[a]}_{word[b]}", F.col("variant") == a + b, None) for a in "AE" for b in "AE"], doubles.columns)
 
 
 def by_direction(base: DataFrame, up: str, down: str) -> DataFrame:
     """Two chapter patterns told apart by their breakout."""
-    return derive(base, up, F.col("breakout_direction") == "up").unionByName(derive(base, down, F.col("breakout_direction") == "down"))
+    return derive_all(base, [(up, F.col("breakout_direction") == "up", None), (down, F.col("breakout_direction") == "down", None)])
 
 
 def broadening_wedges(base: DataFrame, bars: DataFrame) -> DataFrame:
     """Both lines rise, or both fall, by over 0.2 degrees, and drift apart by over 5 %."""
     m = with_pivot_prices(base, bars, 6).withColumns({"up": degrees("i0", "h0", "i4", "h4"), "lo": degrees("i1", "l1", "i5", "l5")})
     wider = F.col("h4") - F.col("l5") > (F.col("h0") - F.col("l1")) * 1.05
-    return derive(m, "broadening_wedges_ascending", (F.col("up") > 0.2) & (F.col("lo") > 0.2) & wider & (F.col("up") > F.col("lo") + 0.1), of=base.columns).unionByName(
-        derive(m, "broadening_wedges_descending", (F.col("up") < -0.2) & (F.col("lo") < -0.2) & wider & (F.col("lo") < F.col("up") - 0.1), of=base.columns)
-    )
+    rising, falling = (F.col("up") > 0.2) & (F.col("lo") > 0.2) & wider & (F.col("up") > F.col("lo") + 0.1), (F.col("up") < -0.2) & (F.col("lo") < -0.2) & wider & (F.col("lo") < F.col("up") - 0.1)
+    return derive_all(m, [("broadening_wedges_ascending", rising, None), ("broadening_wedges_descending", falling, None)], base.columns)
 
 
 def wedges(base: DataFrame, bars: DataFrame) -> DataFrame:
     """Both lines fall and the breakout is up, or both rise and it is down."""
     m = with_pivot_prices(base, bars, 6).withColumns({"up": degrees("i0", "h0", "i4", "h4"), "lo": degrees("i1", "l1", "i5", "l5")})
-    return derive(m, "wedges_falling", (F.col("up") < -0.2) & (F.col("lo") < -0.2) & (F.col("breakout_direction") == "up"), "reversal_bullish", base.columns).unionByName(
-        derive(m, "wedges_rising", (F.col("up") > 0.2) & (F.col("lo") > 0.2) & (F.col("breakout_direction") == "down"), "reversal_bearish", base.columns)
-    )
+    falling, rising = (F.col("up") < -0.2) & (F.col("lo") < -0.2) & (F.col("breakout_direction") == "up"), (F.col("up") > 0.2) & (F.col("lo") > 0.2) & (F.col("breakout_direction") == "down")
+    return derive_all(m, [("wedges_falling", falling, "reversal_bullish"), ("wedges_rising", rising, "reversal_bearish")], base.columns)
 
 
 def triangles(base: DataFrame, bars: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -102,19 +106,14 @@ def triangles(base: DataFrame, bars: DataFrame, tolerance: float = 3.0) -> DataF
     level, rise = (pct("h2", "h0") <= tolerance) & (pct("h4", "h0") <= tolerance), F.col("l3") > F.col("l1")
     fall = (F.col("h2") < F.col("h0")) & (F.col("h4") < F.col("h2"))
     m = m.withColumn("shape", F.when(level & rise, "ascending").when((pct("l3", "l1") <= tolerance) & fall, "descending").when(fall & rise, "symmetrical"))
-    parts = [derive(m, f"triangles_{s}", F.col("shape") == s, of=base.columns) for s in ("ascending", "descending", "symmetrical")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return derive_all(m, [(f"triangles_{s}", F.col("shape") == s, None) for s in ("ascending", "descending", "symmetrical")], base.columns)
 
 
 def scallops(base: DataFrame, bars: DataFrame) -> DataFrame:
     """Told apart by the lows of the first and third pivot and by the breakout."""
     m = with_pivot_prices(base, bars, 3).withColumn("rises", F.col("l2") > F.col("l0"))
     names = {("scallops_ascending", True, "up"), ("scallops_ascending_inverted", True, "down"), ("scallops_descending", False, "down"), ("scallops_descending_inverted", False, "up")}
-    parts = [derive(m, k, (F.col("rises") == r) & (F.col("breakout_direction") == b), of=base.columns) for k, r, b in sorted(names)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return derive_all(m, [(k, (F.col("rises") == r) & (F.col("breakout_direction") == b), None) for k, r, b in sorted(names)], base.columns)
 
 
 def complex_head_and_shoulders(base: DataFrame, bars: DataFrame, raw: DataFrame, plain: str, complex_: str, tolerance: float = 10.0, bottom: bool = False) -> DataFrame:
@@ -126,7 +125,7 @@ def complex_head_and_shoulders(base: DataFrame, bars: DataFrame, raw: DataFrame,
     away = F.col("p") > F.col("head") * 1.02 if bottom else F.col("p") < F.col("head") * 0.98
     extra = near.filter((F.col("idx") != F.col("i2")) & away & (F.col("level") > 0) & (pct("p", "level") <= tolerance)).select("pattern_id").distinct().withColumn("extra", F.lit(True))
     marked = m.join(extra, "pattern_id", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
-    return derive(marked, complex_, F.col("extra"), of=base.columns).unionByName(derive(marked, plain, ~F.col("extra"), of=base.columns))
+    return derive_all(marked, [(complex_, F.col("extra"), None), (plain, ~F.col("extra"), None)], base.columns)
 
 
 def flags(base: DataFrame, bars: DataFrame) -> DataFrame:
@@ -141,12 +140,12 @@ def flags(base: DataFrame, bars: DataFrame) -> DataFrame:
     m = base.join(sums, "pattern_id", "left")
     gain, drop = (F.col("top") - F.col("pole.low")) / F.col("pole.low") * 100, (F.col("top") - F.col("bottom")) / F.col("top") * 100
     tight = F.coalesce((F.col("breakout_direction") == "up") & (gain >= 100) & (F.col("a") - F.col("pole.idx") + 1 <= 60) & (drop <= 20), F.lit(False))
-    return derive(m, "flags_high_tight", tight, of=base.columns).unionByName(derive(m, "flags", ~tight, of=base.columns))
+    return derive_all(m, [("flags_high_tight", tight, None), ("flags", ~tight, None)], base.columns)
 
 
 def long_islands(base: DataFrame) -> DataFrame:
     """Islands of over 10 bars, and the rest; ``base`` was searched with 40 bars at most."""
-    return derive(base, "islands_long", F.col("pattern_width_bars") > 10).unionByName(derive(base, "island_reversals", F.col("pattern_width_bars") <= 10))
+    return derive_all(base, [("islands_long", F.col("pattern_width_bars") > 10, None), ("island_reversals", F.col("pattern_width_bars") <= 10, None)])
 
 
 def mirrored(bars: DataFrame) -> DataFrame:
