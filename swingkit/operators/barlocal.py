@@ -139,13 +139,22 @@ def inverted_dead_cats(bars: DataFrame, rise: float = 5.0, volume: float = 2.0,
 def islands(bars: DataFrame, least_pct: float = 0.5, most_pct: float | None = None, max_bars: int = 20, min_bars: int = 1, height: tuple = (None, None), key: str = "islands", kind: str = "reversal_both", segment: int = chain.SEGMENT) -> DataFrame:
     """Bars cut off by a gap on one side and the opposite gap on the other; after an island the search goes on behind it.
 
-    An island's successor is the first that begins behind it, one of the ``max_bars`` that follow.
+    An island's successor is the first that begins behind it, one of the ``max_bars`` that follow. An island has a height, so it
+    ends behind the first bar that isn't flat at the price of its first; bars are clean, with no high below its low. Where any
+    height will do, the first opposite gap behind that bar is the end, and no other pair of gaps is looked at.
     """
     marked = with_gaps(bars, least_pct, most_pct)
-    cut = marked.filter("gap is not null").select("symbol", "idx", "gap", "date", "close")
-    enter = cut.select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"))
-    leave = cut.select("symbol", "idx", F.col("gap").alias("back"), F.col("date").alias("end_date"), F.col("close").alias("end_close"))
-    pairs = near_bars(enter, leave, "i", F.col("i") + 1, F.col("i") + max_bars - 1).filter("way <> back").withColumnRenamed("idx", "j").filter(F.col("j") - F.col("i") + 1 >= min_bars)
+    flat_on = (F.col("high") <= F.col("low")) & (F.col("h0") <= F.col("l0")) & (F.col("high") == F.col("h0"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    next_move = F.last(F.when(~F.coalesce(flat_on, F.lit(False)), F.col("idx")), ignorenulls=True).over(later)
+    marked = marked.withColumn("moves", F.when(F.col("high") > F.col("low"), F.col("idx")).otherwise(next_move))
+    beside = _by_symbol().rowsBetween(1, max(1, max_bars - 1))
+    cut = marked.filter("gap is not null").withColumn("ahead", F.collect_list(F.struct("idx", "gap", "date", "close")).over(beside))
+    ends = F.filter("ahead", lambda x: (x["gap"] != F.col("gap")) & (x["idx"] > F.col("moves")) & (x["idx"] - F.col("idx")).between(max(1, min_bars - 1), max_bars - 1))
+    if height == (None, None):
+        ends = F.slice(ends, 1, 1)
+    pairs = cut.select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"), F.explode(ends).alias("x"))
+    pairs = pairs.select("symbol", "i", "way", "start_date", F.col("x.idx").alias("j"), F.col("x.date").alias("end_date"), F.col("x.close").alias("end_close"))
     ranges = near_bars(pairs, bars.select("symbol", "idx", "high", "low"), "i", F.col("i"), F.col("j") - 1).groupBy("symbol", "i", "j", "way", "start_date", "end_date", "end_close").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
     ranges = ranges.withColumn("size", (F.col("top") - F.col("bottom")) / ((F.col("top") + F.col("bottom")) / 2) * 100).filter((F.col("top") > F.col("bottom")) & _between(F.col("size"), *height))
     first = ranges.withColumn("r", F.row_number().over(Window.partitionBy("symbol", "i").orderBy("j"))).filter("r = 1")

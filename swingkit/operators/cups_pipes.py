@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from swingkit.operators.derived import degrees, mirrored, with_pivot_prices
 from swingkit.operators.pivots import thin
 from swingkit.operators.sequences import DETECTION, near_bars, prior_trend
+from swingkit.sources.sinks import stored
 
 # Bars of a handle, of the breakout search after a pipe, and of a pipe's legs; the widest difference of rims (%).
 HANDLE_MIN, HANDLE_MAX, PIPE_SEARCH, LEG, RIMS_APART = 5, 20, 30, 3, 10.0
@@ -71,7 +72,9 @@ def _gap_pct(a: str, b: str) -> Column:
 
 def confirmed_breakout(found: DataFrame, bars: DataFrame, key: str, search: int, rule: Breakout, up: bool = True) -> DataFrame:
     """``found`` (key, symbol, end_idx, level) plus ``hit``: the first bar within ``search`` bars after ``end_idx`` whose close, and
-    as many after it as asked (fewer at the end of the data), lie beyond the level. Rows without one are left out."""
+    as many after it as asked (fewer at the end of the data), lie beyond the level. Rows without one are left out.
+    ``found`` is stored, as both the search and its result need it."""
+    found = stored(found)
     ahead = Window.partitionBy("symbol").orderBy("idx").rowsBetween(0, rule.closes - 1)
     held = (F.min if up else F.max)("close").over(ahead)
     lean = bars.select("symbol", "idx", "date", "close", "volume_ratio", held.alias("held"))
@@ -125,16 +128,19 @@ def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) ->
     return first.join(starts, ["symbol", "start_idx"]).select(*[values[c].alias(c) for c in DETECTION])
 
 
-def cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(), key: str = "cup_with_handle", spacing: int = 10) -> DataFrame:
-    """Two rims of like height, a deep low between, and a small handle high in the cup, left upwards; the first handle that breaks out counts."""
-    return _cups(bars, thin(raw, spacing).filter("ptype = 'H'"), key, cup, spacing)
+def cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(), key: str = "cup_with_handle", spacing: int = 10, thinned: DataFrame | None = None) -> DataFrame:
+    """Two rims of like height, a deep low between, and a small handle high in the cup, left upwards; the first handle that breaks out counts.
+
+    ``thinned`` are the pivots of ``raw`` thinned to ``spacing``, if they are there already.
+    """
+    return _cups(bars, (thin(raw, spacing) if thinned is None else thinned).filter("ptype = 'H'"), key, cup, spacing)
 
 
-def inverted_cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(), key: str = "cup_with_handle_inverted", spacing: int = 10) -> DataFrame:
+def inverted_cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(), key: str = "cup_with_handle_inverted", spacing: int = 10, thinned: DataFrame | None = None) -> DataFrame:
     """Cups in the mirrored bars; all percentages are of mirrored prices, the prices of the result are those of ``bars``."""
     axis = bars.groupBy("symbol").agg((F.max("high") + F.min("low")).alias("axis"))
-    rims = thin(raw, spacing).filter("ptype = 'L'").join(axis, "symbol").withColumn("price", F.col("axis") - F.col("price"))
-    found = with_pivot_prices(_cups(mirrored(bars), rims, key, cup, spacing), bars, 5)
+    rims = (thin(raw, spacing) if thinned is None else thinned).filter("ptype = 'L'").join(axis, "symbol").withColumn("price", F.col("axis") - F.col("price"))
+    found = with_pivot_prices(stored(_cups(mirrored(bars), rims, key, cup, spacing)), bars, 5)
     found = found.drop("breakout_price").join(bars.select("symbol", F.col("idx").alias("breakout_idx"), F.col("close").alias("breakout_price")), ["symbol", "breakout_idx"])
     rim, depth = (F.col("l0") + F.col("l2")) / 2, F.col("h1") - (F.col("l0") + F.col("l2")) / 2
     found = found.filter((F.col("l0") > 0) & (F.col("l2") > 0) & (rim > 0) & (depth > 0) & (F.col("breakout_price") > 0))
@@ -161,11 +167,13 @@ def pipes(bars: DataFrame, raw: DataFrame, pipe: Pipe, bottom: bool = True, key:
         into, out = (F.col("price") - F.col("f0")) / F.col("f0") * 100, (F.col("price") - F.col("post")) / F.col("price") * 100
     steep = F.abs(degrees("i0", "f0", "idx", "price")).between(*pipe.angle)
     points = points.filter((F.col("price") > 0) & (F.col("f0") > 0) & (F.col("post") > 0) & into.between(*pipe.leg) & steep & (out >= pipe.leg[0])).select("symbol", "idx", "price", "date")
+    points = stored(points)  # both ends of a pipe
     apart = max(1, pipe.separation[0], pipe.width[0] - 1), min(pipe.separation[1], pipe.width[1] - 1)
     first = prior_trend(points.select("symbol", F.col("idx").alias("start_idx"), F.col("price").alias("p0"), F.col("date").alias("start_date")).withColumns(_asked(pipe.trend)), bars).drop("trend", "trend_bars", "trend_pct", "prior_dir")
     second = points.select("symbol", "idx", F.col("price").alias("p1"), F.col("date").alias("end_date"))
     pairs = near_bars(first, second, "start_idx", F.col("start_idx") + apart[0], F.col("start_idx") + apart[1]).withColumnRenamed("idx", "end_idx")
     pairs = pairs.filter((F.col("p1") / F.col("p0")).between(*pipe.ratio)).withColumn("pair_id", F.concat_ws("_", "symbol", "start_idx", "end_idx"))
+    pairs = stored(pairs)
     inside = near_bars(pairs.select("pair_id", "symbol", "start_idx", "end_idx"), bars.select("symbol", "idx", far), "pair_id", F.col("start_idx"), F.col("end_idx"))
     between = inside.groupBy("pair_id").agg(extreme(side).alias("between"))
     found = pairs.join(between, "pair_id").withColumns({"level": F.col(f"between.{far}"), "ends": (F.col("p0") + F.col("p1")) / 2})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swingkit.operators.derived import adam_eve
 from swingkit.operators.lookahead import LONGEST, look_ahead
+from swingkit.sources.sinks import stored
 
 LOOKAHEAD, REVERSAL, RETEST_DAYS, RETEST_PCT = LONGEST, 20.0, 30, 1.0
 RESULT = [
@@ -71,6 +72,7 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
         own = overrides.select("pattern_id", *[F.col(c) if c in overrides.columns else F.lit(None).cast("double").alias(c) for c in ("height", "boundary")])
         moved = F.coalesce(F.col("breakout_price") + F.col("way") * F.col("height"), "target_price")
         out = out.join(own, "pattern_id", "left").withColumns({"target_price": moved, "boundary_price": F.coalesce("boundary", "boundary_price")})
+    out = stored(out)  # asked for what follows, and shown with it
     fine = F.col("breakout_idx").isNotNull() & (F.col("breakout_price") > 0) & (F.col("breakout_price") < float("inf"))
     lean = out.filter(fine).select("pattern_id", "symbol", "breakout_idx", F.col("breakout_date").alias("b_date"), F.col("breakout_price").alias("bp"), "breakout_level", "opposite_level", "target_price", "way", "look")
     sums = look_ahead(lean, bars, REVERSAL, RETEST_DAYS, RETEST_PCT, invalidation_pct)

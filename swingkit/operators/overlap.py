@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swingkit.sources.sinks import stored
+
 
 class Disjoint:
     """Intervals that don't touch each other, in order."""
@@ -61,6 +63,7 @@ def resolve_overlaps(detections: DataFrame, policy: str = "scan") -> DataFrame:
     sweep = Window.partitionBy("symbol").orderBy("lo", "hi", "id")
     before = F.max("hi").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
     parts = bound.withColumn("new", F.coalesce((F.col("lo") > before).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(sweep)).withColumn("alone", (F.col("new") == 1) & F.coalesce(F.lead("lo").over(sweep) > F.col("hi"), F.lit(True)))
+    parts = stored(parts)
     names = [f"o{k}" for k in range(len(keys))]
     met = parts.filter("not alone").repartition("symbol", "part").sortWithinPartitions("symbol", "part", *names, "id", "lo", "hi")
     chosen = met.select("symbol", "part", "lo", "hi", "id").mapInPandas(_choose, "symbol string, pattern_id string")

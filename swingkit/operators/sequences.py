@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swingkit.operators.pivots import numbered, thin, thin_all
+from swingkit.sources.sinks import stored
 
 #: Bars of one cell of the breakout search; a search of n bars covers n // CELL + 2 cells at most.
 CELL = 64
@@ -127,8 +128,10 @@ def near_bars(matches: DataFrame, bars: DataFrame, key: str, first: Column, last
 def find_breakout(matches: DataFrame, bars: DataFrame) -> DataFrame:
     """Matches plus ``hit``: the first bar within ``search`` bars after ``end_idx`` whose close is beyond an allowed line.
 
-    hit is (idx, rank, direction, price, volume_ok, date), or null. Up wins over down on one bar.
+    hit is (idx, rank, direction, price, volume_ok, date), or null. Up wins over down on one bar. Matches are stored, as both
+    the search and its result need them.
     """
+    matches = stored(matches)
     lean = matches.select("match_id", "symbol", "end_idx", "search", "upper_line", "lower_line", "ways", "threshold", "volume_required", "volume_min")
     joined = near_bars(lean, bars.select("symbol", "idx", "date", "close", "volume_ratio"), "match_id", F.col("end_idx") + 1, F.col("end_idx") + F.col("search"))
     volume_ok = F.coalesce(F.col("volume_ratio") >= F.col("volume_min"), F.lit(False))
@@ -140,16 +143,19 @@ def find_breakout(matches: DataFrame, bars: DataFrame) -> DataFrame:
     return matches.join(hits, "match_id", "left")
 
 
-def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame) -> DataFrame:
+def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame, thinned: DataFrame | None = None) -> DataFrame:
     """Detections of all pivot-sequence specs (see :func:`swingkit.sources.specs.pattern_spec`) over all symbols.
 
-    ``bars`` has the indicators, ``raw`` the pivots. A match without a breakout is kept, with nulls.
+    ``bars`` has the indicators, ``raw`` the pivots, ``thinned`` their :func:`thin_all` for the specs' spacings at least, if it is
+    there already. A match without a breakout is kept, with nulls.
     """
     flat = flat_specs(specs)
     flat = flat.withColumn("spacing", F.when(F.col("thinned"), F.col("spacing")).otherwise(0)).filter("types <> ''")
     shapes = flat.groupBy("spacing").agg(F.max(F.length("types")).alias("n")).collect()  # a row a spacing
     spaced = [r.spacing for r in shapes if r.spacing]
-    table = thin_all(raw, spaced) if spaced else None
+    table = None
+    if spaced:
+        table = thin_all(raw, spaced) if thinned is None else thinned.filter(F.col("spacing").isin(spaced))
     if len(spaced) < len(shapes) or not shapes:
         whole = numbered(raw).withColumn("spacing", F.lit(0))
         table = table.unionByName(whole) if spaced else whole
@@ -180,11 +186,11 @@ def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame) -> DataF
     )
 
 
-def _built_in(bars: DataFrame, raw: DataFrame, n: int, name: str, keep: Column, level: Column, top: Column, stop: Column, score: Column, height: Column, breakout_score: int) -> DataFrame:
+def _built_in(bars: DataFrame, thinned: DataFrame, n: int, name: str, keep: Column, level: Column, top: Column, stop: Column, score: Column, height: Column, breakout_score: int) -> DataFrame:
     """The two built-in reversal tops: a window of alternating pivots from a high, a breakdown below ``level`` in 19 bars."""
     types = "HLHLH"[:n]
     at = bars.select("symbol", "idx", F.col("volume").alias("v"))
-    found = windows(thin(raw, 10), n).filter(F.col("types") == types)
+    found = windows(thinned, n).filter(F.col("types") == types)
     found = found.withColumns({f"p{i}": F.get("win", F.lit(i))["price"] for i in range(n)} | {f"i{i}": F.get("win", F.lit(i))["idx"] for i in range(n)})
     found = found.withColumns({"start_idx": F.col("i0"), "end_idx": F.col(f"i{n - 1}"), "width": F.col(f"i{n - 1}") - F.col("i0") + 1, "trend": F.lit("up"), "trend_bars": F.lit(42), "trend_pct": F.lit(15.0)}).filter(keep)
     found = prior_trend(found, bars)
@@ -216,21 +222,21 @@ def _steps(value: Column, *steps: tuple[float, int]) -> Column:
     return out.otherwise(0)
 
 
-def detect_double_tops(bars: DataFrame, raw: DataFrame, min_confidence: int = 60) -> DataFrame:
+def detect_double_tops(bars: DataFrame, raw: DataFrame, min_confidence: int = 60, thinned: DataFrame | None = None) -> DataFrame:
     """Two highs within 3 %, a low at least 5 % below, 21 to 180 bars, after a rise of 15 % in 42 bars."""
     top = (F.col("p0") + F.col("p2")) / 2
     height = (top - F.col("p1")) / top * 100
     keep = (_gap("p0", "p2") <= 3.0) & (F.col("p1") < F.col("p0")) & (F.col("p1") < F.col("p2")) & F.col("width").between(21, 180) & (height >= 5)
     volume = F.when((F.col("v0") != 0) & (F.col("v2") != 0), F.when(F.col("v2") < F.col("v0"), 15).otherwise(5)).otherwise(0)
     score = F.lit(50) + _steps(_gap("p0", "p2"), (1, 15), (2, 10), (3, 5)) + volume
-    return _built_in(bars, raw, 3, "double_tops", keep, F.col("p1"), top, top * 1.03, score, height, 20).filter(F.col("confidence_score") >= min_confidence)
+    return _built_in(bars, thin(raw, 10) if thinned is None else thinned, 3, "double_tops", keep, F.col("p1"), top, top * 1.03, score, height, 20).filter(F.col("confidence_score") >= min_confidence)
 
 
-def detect_head_and_shoulders(bars: DataFrame, raw: DataFrame, min_confidence: int = 60) -> DataFrame:
+def detect_head_and_shoulders(bars: DataFrame, raw: DataFrame, min_confidence: int = 60, thinned: DataFrame | None = None) -> DataFrame:
     """A highest head between shoulders within 10 % over a neckline within 5 %, 42 to 270 bars, after a rise of 15 % in 42 bars."""
     neck = (F.col("p1") + F.col("p3")) / 2
     keep = (F.col("p2") > F.col("p0")) & (F.col("p2") > F.col("p4")) & (_gap("p0", "p4") <= 10.0) & F.col("width").between(42, 270) & (_gap("p1", "p3") <= 5.0)
     known = (F.col("v0") != 0) & (F.col("v4") != 0)
     volume = F.when(known & (F.col("v2") != 0) & (F.col("v0") > F.col("v2")) & (F.col("v2") > F.col("v4")), 10).when(known & (F.col("v4") < F.col("v0")), 5).otherwise(0)
     score = F.lit(50) + _steps(_gap("p0", "p4"), (3, 15), (5, 10), (10, 5)) + _steps(_gap("p1", "p3"), (2, 10), (5, 5)) + volume
-    return _built_in(bars, raw, 5, "head_and_shoulders_top", keep, neck, F.col("p2"), F.col("p2") * 1.02, score, (F.col("p2") - neck) / F.col("p2") * 100, 15).filter(F.col("confidence_score") >= min_confidence)
+    return _built_in(bars, thin(raw, 10) if thinned is None else thinned, 5, "head_and_shoulders_top", keep, neck, F.col("p2"), F.col("p2") * 1.02, score, (F.col("p2") - neck) / F.col("p2") * 100, 15).filter(F.col("confidence_score") >= min_confidence)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,8 @@ from pyspark.sql import types as T
 
 from swingkit.operators import clean, pivots
 from swingkit.sources import bars as source
-from swingkit.sources import sinks
+from swingkit.sources import sinks, specs
+from swingkit.sources.sinks import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,14 +50,6 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def folder(spark: SparkSession) -> str:
-    """Where tables are written: in the folder of ``spark.checkpoint.dir``; a folder of this machine only in local mode."""
-    path, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
-    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (path or tempfile.mkdtemp(prefix="spark-", dir="/tmp")) + "/tables"
-
-
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -86,3 +78,9 @@ def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivots_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pivots of the bars, kept for all detectors."""
     return kept(spark, sf_dir, "pivots", lambda: pivots.pivots(bars_of(spark, sf_dir)), by_symbol=True)
+
+
+def thinned_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pivots thinned to every spacing of the specs, kept for all detectors of pivot sequences."""
+    spacings = sorted({specs.SPACING.get(k, 10) for k in specs.SPECS} | {10})
+    return kept(spark, sf_dir, "thinned", lambda: pivots.thin_all(pivots_of(spark, sf_dir), spacings))

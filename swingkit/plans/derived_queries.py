@@ -12,14 +12,14 @@ from swingkit.plans import oracle as O
 from swingkit.plans import outcome_sql as D
 from swingkit.plans import reports
 from swingkit.plans.base import bars_of, pivots_of, query
-from swingkit.plans.pattern_queries import detections_of
+from swingkit.plans.pattern_queries import detections_of, spec_detections_of
 from swingkit.plans.report_queries import _DIM, _SPEC
 from swingkit.sources import specs
 
 
 def base_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """Detections of one spec."""
-    return detections_of(spark, sf_dir).filter(F.col("pattern_name") == key)
+    return spec_detections_of(spark, sf_dir).filter(F.col("pattern_name") == key)
 
 
 #: The detections of the chapter patterns that a further test tells apart, by the name of their query.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from swingkit.operators import barlocal, cups_pipes, outcomes, overlap, sequences, universe
 from swingkit.plans import oracle as O
 from swingkit.plans import outcome_sql as D
-from swingkit.plans.base import bars_of, kept, pivots_of, query
+from swingkit.plans.base import bars_of, kept, pivots_of, query, thinned_of
 from swingkit.plans.cup_pipe_queries import CUP, PIPE
 from swingkit.sources import specs
 
@@ -31,22 +32,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of all specs and of all other detectors, kept for all that chooses among them or builds on them.
-
-    The two built-in detectors are marked, as specs have their names. Every kind of detector writes a table of its own.
-    """
-    bars, raw = bars_of(spark, sf_dir), pivots_of(spark, sf_dir)
+def _kinds(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    """How each kind of detector finds its detections."""
+    bars, raw, thinned = bars_of(spark, sf_dir), pivots_of(spark, sf_dir), thinned_of(spark, sf_dir)
+    tens = thinned.filter("spacing = 10").drop("spacing")
     local = (barlocal.inside_days, barlocal.gaps, barlocal.islands, barlocal.three_methods, barlocal.spikes, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats)
     built_in = (sequences.detect_head_and_shoulders, sequences.detect_double_tops)
     marked = lambda df: df.withColumns({c: F.concat(c, F.lit("_built_in")) for c in ("pattern_id", "pattern_name")})
-    kinds = {
-        "specs": lambda: sequences.detect_sequences(bars, raw, specs.pattern_spec(spark)),
+    return {
+        "specs": lambda: sequences.detect_sequences(bars, raw, specs.pattern_spec(spark), thinned),
         "bar local": lambda: _union([detect(bars) for detect in local]),
-        "built in": lambda: _union([marked(detect(bars, raw)) for detect in built_in]),
-        "cups": lambda: cups_pipes.cups_with_handle(bars, raw, CUP).unionByName(cups_pipes.inverted_cups_with_handle(bars, raw, CUP)),
+        "built in": lambda: _union([marked(detect(bars, raw, thinned=tens)) for detect in built_in]),
+        "cups": lambda: cups_pipes.cups_with_handle(bars, raw, CUP, thinned=tens).unionByName(cups_pipes.inverted_cups_with_handle(bars, raw, CUP, thinned=tens)),
         "pipes": lambda: cups_pipes.pipes(bars, raw, PIPE).unionByName(cups_pipes.pipes(bars, raw, PIPE, bottom=False)),
     }
+
+
+def spec_detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of the specs alone, for patterns that are derived from one spec."""
+    return kept(spark, sf_dir, "found specs", lambda: _kinds(spark, sf_dir)["specs"]())
+
+
+def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all specs and of all other detectors, kept for all that chooses among them or builds on them.
+
+    The two built-in detectors are marked, as specs have their names. Every kind of detector writes a table of its own.
+    """
+    kinds = _kinds(spark, sf_dir)
     # Most of a kind's time is planning, and none has stages for a whole cluster all the time, so their jobs run side by side.
     with ThreadPoolExecutor(len(kinds)) as pool:
         return _union(list(pool.map(lambda kind: kept(spark, sf_dir, f"found {kind}", kinds[kind]), kinds)))

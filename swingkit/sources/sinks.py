@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """Where tables are written: in the folder of ``spark.checkpoint.dir``; a folder of this machine only in local mode."""
+    path, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or tempfile.mkdtemp(prefix="spark-", dir="/tmp")) + "/tables"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written once as Parquet and read from there: for rows that a plan needs more than once and that are dear to work out."""
+    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def finite(df: DataFrame) -> DataFrame:
     """``df`` with nulls for doubles that aren't finite."""
     doubles = [c for c, t in df.dtypes if t in ("double", "float")]
