@@ -146,18 +146,25 @@ def islands(bars: DataFrame, least_pct: float = 0.5, most_pct: float | None = No
     marked = with_gaps(bars, least_pct, most_pct)
     flat_on = (F.col("high") <= F.col("low")) & (F.col("h0") <= F.col("l0")) & (F.col("high") == F.col("h0"))
     later = Window.partitionBy("symbol").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-    next_move = F.last(F.when(~F.coalesce(flat_on, F.lit(False)), F.col("idx")), ignorenulls=True).over(later)
-    marked = marked.withColumn("moves", F.when(F.col("high") > F.col("low"), F.col("idx")).otherwise(next_move))
-    beside = _by_symbol().rowsBetween(1, max(1, max_bars - 1))
-    cut = marked.filter("gap is not null").withColumn("ahead", F.collect_list(F.struct("idx", "gap", "date", "close")).over(beside))
-    ends = F.filter("ahead", lambda x: (x["gap"] != F.col("gap")) & (x["idx"] > F.col("moves")) & (x["idx"] - F.col("idx")).between(max(1, min_bars - 1), max_bars - 1))
-    if height == (None, None):
-        ends = F.slice(ends, 1, 1)
-    pairs = cut.select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"), F.explode(ends).alias("x"))
+    first_only = height == (None, None) and min_bars <= 2
+    if first_only:
+        # The next gap of each way behind every bar, and from there behind the bar that moves: running values, no arrays.
+        marked = marked.withColumns({way: F.last(F.when(F.col("gap") == way, F.struct("idx", "date", "close")), ignorenulls=True).over(later) for way in ("up", "down")})
+        both = F.struct("up", "down")
+        behind = F.when(F.col("high") > F.col("low"), both).otherwise(F.last(F.when(~F.coalesce(flat_on, F.lit(False)), both), ignorenulls=True).over(later))
+        cut = marked.withColumn("behind", behind).filter("gap is not null").withColumn("x", F.when(F.col("gap") == "up", F.col("behind.down")).otherwise(F.col("behind.up")))
+        pairs = cut.filter(F.col("x.idx") - F.col("idx") <= max_bars - 1).select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"), "x")
+    else:
+        next_move = F.last(F.when(~F.coalesce(flat_on, F.lit(False)), F.col("idx")), ignorenulls=True).over(later)
+        marked = marked.withColumn("moves", F.when(F.col("high") > F.col("low"), F.col("idx")).otherwise(next_move))
+        beside = _by_symbol().rowsBetween(1, max(1, max_bars - 1))
+        cut = marked.filter("gap is not null").withColumn("ahead", F.collect_list(F.struct("idx", "gap", "date", "close")).over(beside))
+        ends = F.filter("ahead", lambda x: (x["gap"] != F.col("gap")) & (x["idx"] > F.col("moves")) & (x["idx"] - F.col("idx")).between(max(1, min_bars - 1), max_bars - 1))
+        pairs = cut.select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"), F.explode(F.slice(ends, 1, 1) if height == (None, None) else ends).alias("x"))
     pairs = pairs.select("symbol", "i", "way", "start_date", F.col("x.idx").alias("j"), F.col("x.date").alias("end_date"), F.col("x.close").alias("end_close"))
     ranges = near_bars(pairs, bars.select("symbol", "idx", "high", "low"), "i", F.col("i"), F.col("j") - 1).groupBy("symbol", "i", "j", "way", "start_date", "end_date", "end_close").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
     ranges = ranges.withColumn("size", (F.col("top") - F.col("bottom")) / ((F.col("top") + F.col("bottom")) / 2) * 100).filter((F.col("top") > F.col("bottom")) & _between(F.col("size"), *height))
-    first = ranges.withColumn("r", F.row_number().over(Window.partitionBy("symbol", "i").orderBy("j"))).filter("r = 1")
+    first = ranges if first_only else ranges.withColumn("r", F.row_number().over(Window.partitionBy("symbol", "i").orderBy("j"))).filter("r = 1")
     order = Window.partitionBy("symbol").orderBy("i")
     first = first.withColumns({"k": F.row_number().over(order) - 1, "ahead": F.collect_list("i").over(order.rowsBetween(1, max_bars))})
     passed = F.size(F.filter("ahead", lambda i: i <= F.col("j")))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swingkit.sources.sinks import stored
+
 SEGMENT = 256
 #: The successor of a last row.
 END = (1 << 62) - 1
@@ -28,6 +30,7 @@ def followed(nodes: DataFrame, group: list[str], segment: int = SEGMENT) -> Data
     entry = F.when((F.col("nxt") < END) & (at("nxt") > at("k")), F.struct(at("nxt").alias("seg"), F.lit(None).cast(rows.select(F.struct("k", "nxt", "value")).schema[0].dataType).alias("node"), F.col("nxt").alias("entry")))
     both = rows.select(*group, F.explode(F.array_compact(F.array(node, entry))).alias("x")).select(*group, "x.*")
     folded = both.groupBy(*group, "seg").agg(F.array_sort(F.collect_list("node"), lambda a, b: (a["k"] - b["k"]).cast("int")).alias("nodes"), F.collect_set("entry").alias("entries"))
+    folded = stored(folded)  # both the hops and the rows that are met come of it
     inside, following = f"cur - seg * {segment} < size(nodes)", f"get(nodes, cast(cur - seg * {segment} as int)).nxt"
     left = F.expr(f"transform(entries, e -> struct(e as entry, aggregate(nodes, e, (cur, x) -> if({inside}, {following}, cur)) as exit))")
     hops = folded.select(*group, F.explode(left).alias("hop")).groupBy(*group).agg(F.array_sort(F.collect_list("hop")).alias("hops"))

@@ -82,8 +82,8 @@ def confirmed_breakout(found: DataFrame, bars: DataFrame, key: str, search: int,
     limit = F.col("level") * (1 + rule.threshold_pct / 100 * (1 if up else -1))
     beyond = F.col("held") > limit if up else F.col("held") < limit
     volume_ok = F.coalesce(F.col("volume_ratio") >= rule.volume_min, F.lit(False))
-    hits = near.filter(beyond & (volume_ok | F.lit(not rule.volume_required))).groupBy(key).agg(F.min(F.struct("idx", "date", "close", volume_ok.alias("volume_ok"))).alias("hit"))
-    return found.join(hits, key)
+    hits = near.filter(beyond & (volume_ok | F.lit(not rule.volume_required))).groupBy("symbol", key).agg(F.min(F.struct("idx", "date", "close", volume_ok.alias("volume_ok"))).alias("hit"))
+    return found.join(hits, ["symbol", key])
 
 
 def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) -> DataFrame:
@@ -106,7 +106,7 @@ def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) ->
         & F.col("depth").between(*cup.depth) & (F.col("right_idx") + 1 + HANDLE_MIN <= F.col("last_idx"))
     ).withColumn("pair_id", F.concat_ws("_", "symbol", "start_idx", "right_idx"))
     handles = near_bars(pairs.drop("width", "trend", "trend_bars", "trend_pct", "prior_dir"), bars.select("symbol", "idx", F.col("low").alias("h_low"), F.col("high").alias("h_high"), F.col("date").alias("h_date")), "pair_id", F.col("right_idx") + 1, F.col("right_idx") + HANDLE_MAX)
-    so_far = Window.partitionBy("pair_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("symbol", "pair_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     handles = handles.withColumns({"low_bar": F.min(F.struct(F.col("h_low").alias("low"), "idx")).over(so_far), "level": F.max("h_high").over(so_far), "end_idx": F.col("idx")}).drop("idx")
     decline, place = (F.col("rim") - F.col("low_bar.low")) / F.col("rim") * 100, (F.col("low_bar.low") - F.col("bottom.low")) / (F.col("rim") - F.col("bottom.low")) * 100
     handles = handles.filter(
@@ -114,8 +114,8 @@ def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) ->
         & (place >= cup.handle_position) & (F.col("level") > 0) & (_gap_pct("level", "rim") <= max(cup.tolerance, RIMS_APART))
     ).withColumn("handle_id", F.concat_ws("_", "pair_id", "end_idx"))
     broken = confirmed_breakout(handles, bars, "handle_id", cup.search, cup.breakout)
-    rows = [c for c in broken.columns if c != "pair_id"]
-    first = broken.groupBy("pair_id").agg(F.min_by(F.struct(*rows), "end_idx").alias("x")).select("x.*")
+    rows = [c for c in broken.columns if c not in ("symbol", "pair_id")]
+    first = broken.groupBy("symbol", "pair_id").agg(F.min_by(F.struct(*rows), "end_idx").alias("x")).select("symbol", "x.*")
     starts = bars.select("symbol", F.col("idx").alias("start_idx"), F.col("date").alias("start_date"))
     score = F.lit(70) + F.when(F.col("rim_gap") <= cup.tolerance, 10).when(F.col("rim_gap") <= 5, 5).otherwise(0) + F.when(F.col("hit.volume_ok"), 10).otherwise(0)
     values = {
@@ -175,8 +175,8 @@ def pipes(bars: DataFrame, raw: DataFrame, pipe: Pipe, bottom: bool = True, key:
     pairs = pairs.filter((F.col("p1") / F.col("p0")).between(*pipe.ratio)).withColumn("pair_id", F.concat_ws("_", "symbol", "start_idx", "end_idx"))
     pairs = stored(pairs)
     inside = near_bars(pairs.select("pair_id", "symbol", "start_idx", "end_idx"), bars.select("symbol", "idx", far), "pair_id", F.col("start_idx"), F.col("end_idx"))
-    between = inside.groupBy("pair_id").agg(extreme(side).alias("between"))
-    found = pairs.join(between, "pair_id").withColumns({"level": F.col(f"between.{far}"), "ends": (F.col("p0") + F.col("p1")) / 2})
+    between = inside.groupBy("symbol", "pair_id").agg(extreme(side).alias("between"))
+    found = pairs.join(between, ["symbol", "pair_id"]).withColumns({"level": F.col(f"between.{far}"), "ends": (F.col("p0") + F.col("p1")) / 2})
     size = F.col("level") - F.col("ends") if bottom else F.col("ends") - F.col("level")
     found = found.withColumn("size", size).withColumn("height", F.col("size") / (F.col("level") if bottom else (F.col("ends") + F.col("level")) / 2) * 100)
     found = found.filter((F.col("level") > 0) & (F.col("size") > 0) & F.col("height").between(*pipe.height))

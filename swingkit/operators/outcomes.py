@@ -31,7 +31,7 @@ def direction() -> Column:
 
 
 def pivot_levels(detections: DataFrame, bars: DataFrame, types: DataFrame, threshold_pct: float = 1.0) -> DataFrame:
-    """breakout_level, opposite_level and boundary_price of each pattern_id.
+    """breakout_level, opposite_level and boundary_price of each pattern_id and symbol.
 
     ``types`` has pattern_name and types (the H and L of its pivots). Where they are known, the lines through the first
     and last high and low give both levels at the breakout; else the stop is the opposite level, else the extreme of the
@@ -40,18 +40,20 @@ def pivot_levels(detections: DataFrame, bars: DataFrame, types: DataFrame, thres
     """
     pivot = detections.select("pattern_id", "symbol", "pattern_name", F.posexplode("pivot_indices").alias("at", "idx")).join(F.broadcast(types), "pattern_name", "left")  # a row a pattern
     pivot = pivot.join(bars.select("symbol", "idx", "high", "low"), ["symbol", "idx"]).withColumn("t", F.substring("types", F.col("at") + 1, F.lit(1)))
-    ends = lambda t, price: [f(F.when(F.col("t") == t, F.struct("idx", F.col(price).alias("p")))).alias(f"{t}{n}") for n, f in ((0, F.min), (1, F.max))]
+    # Positions and prices side by side, not as structs, so that the sums are hashed and not sorted.
+    own = lambda t: F.when(F.col("t") == t, F.col("idx"))
+    ends = lambda t, price: [x.alias(f"{t}{n}{c}") for n, f, by in ((0, F.min, F.min_by), (1, F.max, F.max_by)) for c, x in (("idx", f(own(t))), ("p", by(price, own(t))))]
     price = F.when(F.col("t") == "H", F.col("high")).otherwise(F.col("low"))
-    sums = pivot.groupBy("pattern_id").agg(*ends("H", "high"), *ends("L", "low"), F.max("high").alias("top"), F.min("low").alias("bottom"), *[F.max(F.when(F.col("at") == k, price)).alias(f"p{k}") for k in (1, 3)])
-    out = detections.join(sums, "pattern_id", "left")
-    line = lambda t: F.col(f"{t}0.p") + (F.col(f"{t}1.p") - F.col(f"{t}0.p")) / F.greatest(F.lit(1), F.col(f"{t}1.idx") - F.col(f"{t}0.idx")) * (F.col("breakout_idx") - F.col(f"{t}0.idx"))
+    sums = pivot.groupBy("symbol", "pattern_id").agg(*ends("H", "high"), *ends("L", "low"), F.max("high").alias("top"), F.min("low").alias("bottom"), *[F.max(F.when(F.col("at") == k, price)).alias(f"p{k}") for k in (1, 3)])
+    out = detections.join(sums, ["symbol", "pattern_id"], "left")
+    line = lambda t: F.col(f"{t}0p") + (F.col(f"{t}1p") - F.col(f"{t}0p")) / F.greatest(F.lit(1), F.col(f"{t}1idx") - F.col(f"{t}0idx")) * (F.col("breakout_idx") - F.col(f"{t}0idx"))
     up = direction() == "up"
     extreme = F.when(up, F.col("bottom")).otherwise(F.col("top"))
     plain = F.when(up, F.col("breakout_price") / (1 + threshold_pct / 100)).otherwise(F.col("breakout_price") / (1 - threshold_pct / 100))
     named = F.when(F.col("pattern_name").like("double_%"), F.col("p1")).when(F.col("pattern_name").like("head_and_shoulders%"), (F.col("p1") + F.col("p3")) / 2)
     side = F.when(up, F.col("top")).otherwise(F.col("bottom"))
     return out.select(
-        "pattern_id", F.coalesce(F.when(up, line("H")).otherwise(line("L")), plain).alias("breakout_level"),
+        "symbol", "pattern_id", F.coalesce(F.when(up, line("H")).otherwise(line("L")), plain).alias("breakout_level"),
         F.coalesce(F.when(up, line("L")).otherwise(line("H")), "stop_loss_price", extreme).alias("opposite_level"), F.coalesce(named, side, "stop_loss_price").alias("boundary_price"),
     )
 
@@ -65,7 +67,7 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
     boundary_price. A breakout without two later bars, or without a valid price, gives nulls.
     """
     out = breakout_positions(detections, bars)
-    out = out.join(levels, "pattern_id", "left") if levels is not None else out.withColumns({c: F.lit(None).cast("double") for c in ("breakout_level", "opposite_level", "boundary_price")})
+    out = out.join(levels, [c for c in ("symbol", "pattern_id") if c in levels.columns], "left") if levels is not None else out.withColumns({c: F.lit(None).cast("double") for c in ("breakout_level", "opposite_level", "boundary_price")})
     out = out.join(F.broadcast(lookahead), "pattern_name", "left") if lookahead is not None else out.withColumn("lookahead_bars", F.lit(None).cast("int"))  # a row a pattern
     out = out.withColumns({"look": F.least(F.lit(LOOKAHEAD), F.coalesce("lookahead_bars", F.lit(LOOKAHEAD))), "way": F.when((direction() == "down") | (F.col("pattern_type") == "reversal_bearish"), -1).otherwise(1)})
     if overrides is not None:

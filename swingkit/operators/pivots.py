@@ -66,7 +66,9 @@ def thin_all(found: DataFrame, spacings: list[int], segment: int = chain.SEGMENT
         return F.when(p["ptype"] == F.col("ptype"), beyond(p)).otherwise((p["idx"] - F.col("idx") < F.col("spacing")) & (p["strength"] > F.col("strength")))
 
     follows = lambda p: (p["ptype"] != F.col("ptype")) & (p["idx"] - F.col("idx") >= F.col("spacing"))
-    asked = asked.withColumn("next", F.get(F.filter("ahead", lambda p: replaces(p) | follows(p)), F.lit(0)))
+    # Most successors are among the first few, so the rest are looked at only where they have none.
+    among = lambda n: F.get(F.filter(F.slice("ahead", 1, n), lambda p: replaces(p) | follows(p)), F.lit(0))
+    asked = asked.withColumn("next", F.coalesce(among(4), among(2 * F.col("spacing") + 1)))
     kept = F.col("next").isNull() | follows(F.col("next"))
     nodes = asked.select("symbol", "spacing", "k", F.col("next.k").alias("nxt"), F.struct("idx", "date", "price", "ptype", "strength", "rank", kept.alias("kept")).alias("value"))
     met = chain.followed(nodes, ["symbol", "spacing"], segment).select("symbol", "spacing", "value.*").filter("kept")

@@ -137,10 +137,10 @@ def find_breakout(matches: DataFrame, bars: DataFrame) -> DataFrame:
     volume_ok = F.coalesce(F.col("volume_ratio") >= F.col("volume_min"), F.lit(False))
     up = F.array_contains("ways", "up") & (F.col("close") > line_at("upper_line", F.col("idx")) * (1 + F.col("threshold")))
     down = F.array_contains("ways", "down") & (F.col("close") < line_at("lower_line", F.col("idx")) * (1 - F.col("threshold")))
-    hits = joined.filter((F.col("close") > 0) & (up | down) & (volume_ok | ~F.col("volume_required"))).groupBy("match_id").agg(
+    hits = joined.filter((F.col("close") > 0) & (up | down) & (volume_ok | ~F.col("volume_required"))).groupBy("symbol", "match_id").agg(
         F.min(F.struct("idx", F.when(up, 0).otherwise(1).alias("rank"), F.when(up, "up").otherwise("down").alias("direction"), F.col("close").alias("price"), volume_ok.alias("volume_ok"), "date")).alias("hit")
     )
-    return matches.join(hits, "match_id", "left")
+    return matches.join(hits, ["symbol", "match_id"], "left")
 
 
 def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame, thinned: DataFrame | None = None) -> DataFrame:
@@ -168,6 +168,9 @@ def detect_sequences(bars: DataFrame, raw: DataFrame, specs: DataFrame, thinned:
     found = found.withColumns({"upper": F.array_max(prices("H")), "lower": F.array_min(prices("L")), "start_idx": F.get("win", F.lit(0))["idx"], "end_idx": F.try_element_at("win", F.lit(-1))["idx"]})
     found = found.withColumns({"width": F.col("end_idx") - F.col("start_idx") + 1, "height": (F.col("upper") - F.col("lower")) / ((F.col("upper") + F.col("lower")) / 2) * 100})
     bound = lambda c, lo, hi: F.coalesce(F.col(c) >= F.col(lo), F.lit(True)) & F.coalesce(F.col(c) <= F.col(hi), F.lit(True))
+    # Rows of their own, so that the rules see the window's numbers and don't work them out again for every use.
+    made = ["win", "upper", "lower", "start_idx", "end_idx", "width", "height"]
+    found = found.select(*[c for c in found.columns if c not in made], F.inline(F.array(F.struct(*made))))
     found = found.filter(bound("width", "width_min", "width_max") & bound("height", "height_min", "height_max")).filter(rules_hold())
     found = prior_trend(found, bars).withColumns({"upper_line": boundary("H"), "lower_line": boundary("L"), "ways": directions(), "match_id": F.concat_ws("_", "symbol", "spec_key", "k", "start_idx", "end_idx")})
     found = found.withColumn("span", line_at("upper_line", F.col("start_idx")) - line_at("lower_line", F.col("start_idx"))).filter("span > 0")

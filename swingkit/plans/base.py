@@ -23,6 +23,9 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Spark 4.1.2 loses matches of joins above a union of inputs that are partitioned alike.
             spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+            # Tables in buckets of symbols are read in their order, and what is joined by symbol and more stays with them.
+            spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
             return tidy(f(spark, sf_dir))
 
         QUERIES[name] = run
@@ -88,4 +91,4 @@ def pivots_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thinned_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pivots thinned to every spacing of the specs, kept for all detectors of pivot sequences."""
     spacings = sorted({specs.SPACING.get(k, 10) for k in specs.SPECS} | {10})
-    return kept(spark, sf_dir, "thinned", lambda: pivots.thin_all(pivots_of(spark, sf_dir), spacings))
+    return kept(spark, sf_dir, "thinned", lambda: pivots.thin_all(pivots_of(spark, sf_dir), spacings), by_symbol=True)

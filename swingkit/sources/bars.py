@@ -78,15 +78,16 @@ def load_specs(spark: SparkSession, path: str) -> DataFrame:
 
 def lineitem_bars(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
     """Bars of ``days`` days from a whole-cent walk over each supplier's line items; sums are exact."""
-    walk = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    walk = Window.partitionBy("symbol").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     tick = F.round(F.col("l_extendedprice") * 100).cast("bigint") % 401 - 200
     ticks = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .withColumn("symbol", F.col("l_suppkey").cast("string"))
         .withColumn("px", F.greatest(10000 + F.sum(tick).over(walk), F.lit(100)) / F.lit(100.0))
         .withColumn("rn", F.row_number().over(walk))
         .withColumn("bucket", F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) / days))
     )
-    return ticks.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), "bucket").agg(
+    return ticks.groupBy("symbol", "bucket").agg(
         F.min_by("px", "rn").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "rn").alias("close"), F.sum("l_quantity").cast("bigint").alias("volume")
     ).select("symbol", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("bucket") * days).cast("int")).alias("date"), "open", "high", "low", "close", "volume")
 
