@@ -64,15 +64,20 @@ def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _union(list(pool.map(lambda kind: kept(spark, sf_dir, f"found {kind}", kinds[kind]), kinds)))
 
 
+def _evaluated(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    types = specs.pattern_spec(spark).select(F.col("spec_key").alias("pattern_name"), F.array_join("detection_signature.pivot_sequence", "").alias("types"))
+    bars, chosen = bars_of(spark, sf_dir), universe.confirmed(found)
+    return outcomes.evaluate(chosen, bars, outcomes.pivot_levels(chosen, bars, types))
+
+
 def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of their confirmed breakouts."""
+    return kept(spark, sf_dir, "outcomes", lambda: _evaluated(spark, sf_dir, detections_of(spark, sf_dir)))
 
-    def make() -> DataFrame:
-        types = specs.pattern_spec(spark).select(F.col("spec_key").alias("pattern_name"), F.array_join("detection_signature.pivot_sequence", "").alias("types"))
-        bars, chosen = bars_of(spark, sf_dir), universe.confirmed(detections_of(spark, sf_dir))
-        return outcomes.evaluate(chosen, bars, outcomes.pivot_levels(chosen, bars, types))
 
-    return kept(spark, sf_dir, "outcomes", make)
+def spec_outcomes_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Outcomes of the confirmed breakouts of one spec, without the other detectors."""
+    return kept(spark, sf_dir, f"outcomes {key}", lambda: _evaluated(spark, sf_dir, spec_detections_of(spark, sf_dir).filter(F.col("pattern_name") == key)))
 
 
 found_by = detections_of

@@ -13,7 +13,7 @@ from swingkit.plans import oracle as O
 from swingkit.plans import outcome_sql as D
 from swingkit.plans import reports
 from swingkit.plans.base import ORACLE, QUERIES, bars_of, folder, query
-from swingkit.plans.pattern_queries import detections_of, outcomes_of
+from swingkit.plans.pattern_queries import detections_of, outcomes_of, spec_detections_of, spec_outcomes_of
 from swingkit.sources import sinks, specs
 
 _FOUND = D.detections()
@@ -99,7 +99,8 @@ vt AS (SELECT dt.*, x.w AS w1, y.w AS w2, CASE WHEN x.w <= 3 THEN 'A' WHEN x.w >
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.with_variants(outcomes_of(spark, sf_dir), detections_of(spark, sf_dir), bars_of(spark, sf_dir)).filter("pattern_name = 'double_tops'")
+    """Outcomes of the double tops, which are detections of one spec, with their variant."""
+    return outcomes.with_variants(spec_outcomes_of(spark, sf_dir, "double_tops"), spec_detections_of(spark, sf_dir), bars_of(spark, sf_dir))
 
 
 @query("h13_double_top_outcomes", O.with_(_VARIANTS, "SELECT pattern_id, variant, w1 AS peak1_width_bars, w2 AS peak2_width_bars, round(max_favorable_excursion_pct, 9) AS max_favorable_excursion_pct FROM vt"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from swingkit.operators import barlocal, chain, clean, sequences
+from swingkit.plans import base, pattern_queries
 from swingkit.sources import bars as source
 from swingkit.sources import sinks
 
@@ -60,3 +61,13 @@ def test_islands_by_running_values_are_those_by_arrays(spark, seed):
     bars = clean.positioned(table.withColumn("volume", F.lit(1)).drop("idx"))
     plain, limited = (sorted(r.pattern_id for r in barlocal.islands(bars, height=h).collect()) for h in ((None, None), (0.0, 1e9)))
     assert plain == limited and plain
+
+
+def test_double_tops_ask_for_no_other_detectors(spark):
+    base._KEPT.clear()
+    got = entry.queries()["h13_double_top_outcomes"](spark, SF).collect()
+    names = {k[2] for k in base._KEPT}
+    assert "found specs" in names and not names & {"found bar local", "found cups", "found pipes", "outcomes"}
+    assert got and len({r.pattern_id for r in got}) == len(got)
+    whole = pattern_queries.outcomes_of(spark, SF).filter("pattern_name = 'double_tops'")
+    assert {r.pattern_id: r.max_favorable_excursion_pct for r in whole.collect()} == {r.pattern_id: r.max_favorable_excursion_pct for r in got}
