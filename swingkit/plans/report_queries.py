@@ -26,13 +26,22 @@ def frame_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with outcomes, regime and group."""
 
     def make() -> DataFrame:
-        bars, found, out = results(spark, sf_dir)
-        index = source.index_series(source.market_index(bars), "IDX")
-        return reports.with_group(reports.with_regime(reports.run_frame(found, out), index), specs.pattern_dim(spark), "canonical_key")
+        _, found, out = results(spark, sf_dir)
+        return grouped(spark, in_regimes(spark, sf_dir, reports.run_frame(found, out)))
 
     return kept(spark, sf_dir, "frame", make)
 
 
+def in_regimes(spark: SparkSession, sf_dir: str, frame: DataFrame) -> DataFrame:
+    """``frame`` with the regime at its breakouts."""
+    return reports.with_regime(frame, source.index_series(source.market_index(bars_of(spark, sf_dir)), "IDX"))
+
+
+def grouped(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """``frame`` with the groups of its patterns."""
+    return reports.with_group(frame, specs.pattern_dim(spark), "canonical_key")
+
+
 def _values(rows: list[tuple], names: str) -> str:
     text = ", ".join("(" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {text}) AS v({names}))"
@@ -70,8 +79,8 @@ _SHARES = {"bust_5pct": "bust_failure_5pct", "invalidated_pct": "boundary_invali
 _MM = ", ".join(f"round(avg({c}), 9) AS mean_{n}, round(median({c}), 9) AS median_{n}" for n, c in (("days", "days_to_ultimate"), ("days_to_target", "days_to_target"), ("mfe", "max_favorable_excursion_pct"), ("mae", "max_adverse_excursion_pct")))
 query("j4_totals", O.with_(D.OUTCOMES, f"SELECT count(*) AS total, {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*) * 100, 9) AS {n}' for n, c in _SHARES.items())}, {_MM} FROM res"))(lambda spark, d: reports.totals(outcomes_of(spark, d)))
 query("j5_stop_reasons", O.with_(D.OUTCOMES, "SELECT ultimate_stop_reason, count(*) AS n FROM res WHERE ultimate_stop_reason IS NOT NULL GROUP BY 1"))(lambda spark, d: reports.stop_reasons(outcomes_of(spark, d)))
-query("j6_market_regime", O.with_(FRAME, "SELECT pattern_id, CAST(breakout_date AS VARCHAR) AS breakout_date, market_regime FROM frame"))(lambda spark, d: frame_of(spark, d).select("pattern_id", "breakout_date", "market_regime"))
-query("j8_pattern_groups", O.with_(FRAME, "SELECT pattern_group, count(*) AS n FROM frame GROUP BY 1"))(lambda spark, d: frame_of(spark, d).groupBy("pattern_group").agg(F.count("*").alias("n")))
+query("j6_market_regime", O.with_(FRAME, "SELECT pattern_id, CAST(breakout_date AS VARCHAR) AS breakout_date, market_regime FROM frame"))(lambda spark, d: in_regimes(spark, d, detections_of(spark, d)).select("pattern_id", "breakout_date", "market_regime"))
+query("j8_pattern_groups", O.with_(FRAME, "SELECT pattern_group, count(*) AS n FROM frame GROUP BY 1"))(lambda spark, d: grouped(spark, detections_of(spark, d)).groupBy("pattern_group").agg(F.count("*").alias("n")))
 query("j9_pattern_report", O.with_(FRAME, _report_sql("pattern_group")))(lambda spark, d: reports.pattern_report(frame_of(spark, d)))
 query("j10_ranked_report", O.with_(f"{FRAME}, rep AS ({_report_sql('pattern_group')})", "SELECT *, CASE WHEN median_move_pct IS NOT NULL THEN row_number() OVER (PARTITION BY market_regime, breakout_direction, median_move_pct IS NULL ORDER BY median_move_pct DESC, n_evaluated DESC, n_confirmed DESC, pattern_group) END AS rank_by_median_move FROM rep"))(lambda spark, d: reports.ranked(reports.pattern_report(frame_of(spark, d))))
 _CONF = "breakout_date IS NOT NULL AND breakout_price IS NOT NULL"

@@ -71,3 +71,9 @@ def test_double_tops_ask_for_no_other_detectors(spark):
     assert got and len({r.pattern_id for r in got}) == len(got)
     whole = pattern_queries.outcomes_of(spark, SF).filter("pattern_name = 'double_tops'")
     assert {r.pattern_id: r.max_favorable_excursion_pct for r in whole.collect()} == {r.pattern_id: r.max_favorable_excursion_pct for r in got}
+
+
+def test_groups_and_regimes_ask_for_no_outcomes(spark):
+    base._KEPT.clear()
+    assert entry.queries()["j8_pattern_groups"](spark, SF).collect() and entry.queries()["j6_market_regime"](spark, SF).collect()
+    assert not {"outcomes", "frame"} & {k[2] for k in base._KEPT}
