@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swingkit.operators.derived import adam_eve
-from swingkit.operators.lookahead import LONGEST, look_ahead
-from swingkit.sources.sinks import stored
+from swingkit.operators.lookahead import FOUND, LONGEST, look_ahead
 
 LOOKAHEAD, REVERSAL, RETEST_DAYS, RETEST_PCT = LONGEST, 20.0, 30, 1.0
+LEVELS = ["breakout_level", "opposite_level", "boundary_price"]
 RESULT = [
     "pattern_id", "symbol", "pattern_name", "breakout_date", "breakout_price", "breakout_direction", "target_price", "stop_loss_price", "bust_failure_5pct", "bust_failure_10pct", "bust_failure_date", "bust_failure_pct",
     "boundary_invalidated", "boundary_invalidation_date", "ultimate_price", "ultimate_date", "days_to_ultimate", "ultimate_stop_reason", "throwback_pullback_occurred", "throwback_pullback_date", "days_to_throwback_pullback",
@@ -31,14 +31,24 @@ def direction() -> Column:
 
 
 def pivot_levels(detections: DataFrame, bars: DataFrame, types: DataFrame, threshold_pct: float = 1.0) -> DataFrame:
-    """breakout_level, opposite_level and boundary_price of each pattern_id and symbol.
+    """breakout_level, opposite_level and boundary_price of each pattern_id and symbol; see :func:`with_levels`."""
+    return with_levels(detections, bars, types, threshold_pct).select("symbol", "pattern_id", *LEVELS)
+
+
+def with_levels(detections: DataFrame, bars: DataFrame, types: DataFrame, threshold_pct: float = 1.0, with_boundary: bool = True) -> DataFrame:
+    """``detections`` plus breakout_level, opposite_level and boundary_price.
 
     ``types`` has pattern_name and types (the H and L of its pivots). Where they are known, the lines through the first
     and last high and low give both levels at the breakout; else the stop is the opposite level, else the extreme of the
     pivots; the breakout level falls back to the breakout price without its threshold. The boundary is the middle pivot
     of a double, the mean neckline of a head and shoulders, else the extreme of the pivots on the breakout's side, else the stop.
+    Only the boundary asks for the pivots of a pattern that has a stop and no known types: without ``with_boundary`` it is null,
+    and these meet no bars.
     """
-    pivot = detections.select("pattern_id", "symbol", "pattern_name", F.posexplode("pivot_indices").alias("at", "idx")).join(F.broadcast(types), "pattern_name", "left")  # a row a pattern
+    pivot = detections.join(F.broadcast(types), "pattern_name", "left")  # a row a pattern
+    if not with_boundary:
+        pivot = pivot.filter("types is not null or stop_loss_price is null")
+    pivot = pivot.select("pattern_id", "symbol", "types", F.posexplode("pivot_indices").alias("at", "idx"))
     pivot = pivot.join(bars.select("symbol", "idx", "high", "low"), ["symbol", "idx"]).withColumn("t", F.substring("types", F.col("at") + 1, F.lit(1)))
     # Positions and prices side by side, not as structs, so that the sums are hashed and not sorted.
     own = lambda t: F.when(F.col("t") == t, F.col("idx"))
@@ -53,32 +63,37 @@ def pivot_levels(detections: DataFrame, bars: DataFrame, types: DataFrame, thres
     named = F.when(F.col("pattern_name").like("double_%"), F.col("p1")).when(F.col("pattern_name").like("head_and_shoulders%"), (F.col("p1") + F.col("p3")) / 2)
     side = F.when(up, F.col("top")).otherwise(F.col("bottom"))
     return out.select(
-        "symbol", "pattern_id", F.coalesce(F.when(up, line("H")).otherwise(line("L")), plain).alias("breakout_level"),
-        F.coalesce(F.when(up, line("L")).otherwise(line("H")), "stop_loss_price", extreme).alias("opposite_level"), F.coalesce(named, side, "stop_loss_price").alias("boundary_price"),
+        *[F.col(c) for c in detections.columns], F.coalesce(F.when(up, line("H")).otherwise(line("L")), plain).alias("breakout_level"), F.coalesce(F.when(up, line("L")).otherwise(line("H")), "stop_loss_price", extreme).alias("opposite_level"),
+        (F.coalesce(named, side, "stop_loss_price") if with_boundary else F.lit(None).cast("double")).alias("boundary_price"),
     )
 
 
-def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None = None, lookahead: DataFrame | None = None, invalidation_pct: float = 0.0, overrides: DataFrame | None = None, with_boundary: bool = False) -> DataFrame:
+def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None = None, lookahead: DataFrame | None = None, invalidation_pct: float = 0.0, overrides: DataFrame | None = None, with_boundary: bool = False, types: DataFrame | None = None) -> DataFrame:
     """One outcome row for each detection (of distinct pattern_id); never from a bar at or before the breakout.
 
-    ``levels`` as of :func:`pivot_levels`, ``lookahead`` (pattern_name, lookahead_bars), ``overrides`` (pattern_id,
+    ``levels`` as of :func:`pivot_levels`, or ``types`` for those of :func:`with_levels`; ``lookahead`` (pattern_name, lookahead_bars), ``overrides`` (pattern_id,
     height, boundary) of single rows: another height moves the target, another boundary takes the place of the boundary
     price, and the opposite level, which decides invalidation, stays that of ``levels``. ``with_boundary`` adds the column
     boundary_price. A breakout without two later bars, or without a valid price, gives nulls.
     """
-    out = breakout_positions(detections, bars)
-    out = out.join(levels, [c for c in ("symbol", "pattern_id") if c in levels.columns], "left") if levels is not None else out.withColumns({c: F.lit(None).cast("double") for c in ("breakout_level", "opposite_level", "boundary_price")})
+    own_levels = levels is None and types is not None
+    out = breakout_positions(with_levels(detections, bars, types, with_boundary=with_boundary) if own_levels else detections, bars)
+    if levels is not None:
+        out = out.join(levels, [c for c in ("symbol", "pattern_id") if c in levels.columns], "left")
+    elif not own_levels:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in LEVELS})
     out = out.join(F.broadcast(lookahead), "pattern_name", "left") if lookahead is not None else out.withColumn("lookahead_bars", F.lit(None).cast("int"))  # a row a pattern
     out = out.withColumns({"look": F.least(F.lit(LOOKAHEAD), F.coalesce("lookahead_bars", F.lit(LOOKAHEAD))), "way": F.when((direction() == "down") | (F.col("pattern_type") == "reversal_bearish"), -1).otherwise(1)})
     if overrides is not None:
         own = overrides.select("pattern_id", *[F.col(c) if c in overrides.columns else F.lit(None).cast("double").alias(c) for c in ("height", "boundary")])
         moved = F.coalesce(F.col("breakout_price") + F.col("way") * F.col("height"), "target_price")
         out = out.join(own, "pattern_id", "left").withColumns({"target_price": moved, "boundary_price": F.coalesce("boundary", "boundary_price")})
-    out = stored(out)  # asked for what follows, and shown with it
     fine = F.col("breakout_idx").isNotNull() & (F.col("breakout_price") > 0) & (F.col("breakout_price") < float("inf"))
-    lean = out.filter(fine).select("pattern_id", "symbol", "breakout_idx", F.col("breakout_date").alias("b_date"), F.col("breakout_price").alias("bp"), "breakout_level", "opposite_level", "target_price", "way", "look")
-    sums = look_ahead(lean, bars, REVERSAL, RETEST_DAYS, RETEST_PCT, invalidation_pct)
-    out = out.join(sums.filter("bars >= 2"), "pattern_id", "left")
+    # The look-ahead hands on what is shown with it, so that nothing has to be joined again; a row that can't have one looks ahead by no bar.
+    shown = [c for c in RESULT + ["boundary_price"] * with_boundary if c in out.columns and c not in ("pattern_id", "symbol", "target_price")] + ["opposite_level", "window"]
+    asked = out.withColumns({"window": F.col("look"), "look": F.when(fine, F.col("look")).otherwise(0), "breakout_idx": F.when(fine, F.col("breakout_idx")).otherwise(0), "b_date": F.col("breakout_date"), "bp": F.col("breakout_price")})
+    out = look_ahead(asked, bars, REVERSAL, RETEST_DAYS, RETEST_PCT, invalidation_pct, ["symbol", "target_price", "way", *shown])
+    out = out.withColumns({c: F.when(F.col("bars") >= 2, F.col(c)) for c in FOUND})
     known = F.col("bars").isNotNull()
     bust5, bust10 = (F.col("favor") < 5) & (F.col("against") >= 5), (F.col("favor") < 10) & (F.col("against") >= 10)
     days = lambda c: F.datediff(c, "breakout_date")
@@ -94,7 +109,7 @@ def evaluate(detections: DataFrame, bars: DataFrame, levels: DataFrame | None =
         "throwback_pullback_occurred": resumed, "throwback_pullback_date": F.when(resumed, F.col("retest_date")), "days_to_throwback_pullback": F.when(resumed, days("retest_date")),
         "retested_breakout_level": F.when(F.col("retest_bars") > 0, F.col("any_bp")), "retested_boundary_level": F.when(F.col("retest_bars") > 0, F.col("any_level")),
         "target_achieved_intraday": F.col("hit"), "target_achieved_close": F.col("hit_close"), "target_achievement_date": F.col("target_date"), "days_to_target": days("target_date"),
-        "max_favorable_excursion_pct": share(F.col("way") * (ultimate - F.col("breakout_price"))), "max_adverse_excursion_pct": share(worst), "evaluation_window_bars": F.coalesce("bars", "look").cast("int"),
+        "max_favorable_excursion_pct": share(F.col("way") * (ultimate - F.col("breakout_price"))), "max_adverse_excursion_pct": share(worst), "evaluation_window_bars": F.coalesce("bars", "window").cast("int"),
     }
     return out.select(*[values.get(c, F.col(c)).alias(c) for c in RESULT + ["boundary_price"] * with_boundary])
 

@@ -40,7 +40,7 @@ def chapter_outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = known.toDF("pattern_key", "own_types")
         types = specs.pattern_dim(spark).join(own, "pattern_key", "left").join(known, "spec_key", "left").select(F.col("pattern_key").alias("pattern_name"), F.coalesce("own_types", "types").alias("types")).filter("types is not null")
         bars, chosen = bars_of(spark, sf_dir), universe.confirmed(chapters_of(spark, sf_dir))
-        return outcomes.evaluate(chosen, bars, outcomes.pivot_levels(chosen, bars, types))
+        return outcomes.evaluate(chosen, bars, types=types)
 
     return kept(spark, sf_dir, "chapter outcomes", make)
 

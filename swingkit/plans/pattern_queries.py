@@ -67,7 +67,7 @@ def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _evaluated(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     types = specs.pattern_spec(spark).select(F.col("spec_key").alias("pattern_name"), F.array_join("detection_signature.pivot_sequence", "").alias("types"))
     bars, chosen = bars_of(spark, sf_dir), universe.confirmed(found)
-    return outcomes.evaluate(chosen, bars, outcomes.pivot_levels(chosen, bars, types))
+    return outcomes.evaluate(chosen, bars, types=types)
 
 
 def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:

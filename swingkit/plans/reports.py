@@ -21,8 +21,16 @@ def _rate(c: str) -> Column:
     return F.avg(F.col(c).cast("int")) * 100
 
 
+def _mean(value: Column) -> Column:
+    """The mean of a group. Whole hundredths, as excursions are, are summed as integers: the order of rows decides no last digit."""
+    hundredths = F.rint(value * 100)
+    whole = F.coalesce((F.abs(value) < 1e6) & (hundredths / 100 == value), F.lit(False))
+    sums, rest, n = F.sum(F.when(whole, hundredths.cast("bigint"))), F.sum(F.when(~whole, value)), F.nullif(F.count(value), F.lit(0))
+    return F.when(rest.isNull(), sums / (n * 100)).otherwise((F.coalesce(sums / 100, F.lit(0.0)) + rest) / n)
+
+
 def _finite(c: str) -> Column:
-    return F.avg(F.when(F.abs(c) < 1e308, F.col(c)))
+    return _mean(F.when(F.abs(c) < 1e308, F.col(c)))
 
 
 def run_stats(detections: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def totals(outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("total"), share("bust_failure_5pct").alias("bust_5pct"), share("boundary_invalidated").alias("invalidated_pct"), share("throwback_pullback_occurred").alias("throwback_pct"), share("target_achieved_intraday").alias("target_pct"),
         share("retested_breakout_level").alias("retested_breakout_pct"), share("retested_boundary_level").alias("retested_boundary_pct"),
         share("bust_failure_10pct").alias("bust_10pct"), share("target_achieved_close").alias("target_close_pct"), F.avg("days_to_target").alias("mean_days_to_target"), F.avg("days_to_ultimate").alias("mean_days"),
-        F.avg("max_favorable_excursion_pct").alias("mean_mfe"), F.avg("max_adverse_excursion_pct").alias("mean_mae"),
+        _mean(F.col("max_favorable_excursion_pct")).alias("mean_mfe"), _mean(F.col("max_adverse_excursion_pct")).alias("mean_mae"),
     )
     middles = {"median_days_to_target": "days_to_target", "median_days": "days_to_ultimate", "median_mfe": "max_favorable_excursion_pct", "median_mae": "max_adverse_excursion_pct"}
     return with_medians(sums, outcomes, [], {n: F.col(c) for n, c in middles.items()})
