@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from swingkit.operators import chain
-from swingkit.operators.sequences import DETECTION, near_bars
+from swingkit.operators.sequences import DETECTION, SHORT_CELL, near_bars
 
 
 def _by_symbol() -> WindowSpec:
@@ -162,7 +162,7 @@ def islands(bars: DataFrame, least_pct: float = 0.5, most_pct: float | None = No
         ends = F.filter("ahead", lambda x: (x["gap"] != F.col("gap")) & (x["idx"] > F.col("moves")) & (x["idx"] - F.col("idx")).between(max(1, min_bars - 1), max_bars - 1))
         pairs = cut.select("symbol", F.col("idx").alias("i"), F.col("gap").alias("way"), F.col("date").alias("start_date"), F.explode(F.slice(ends, 1, 1) if height == (None, None) else ends).alias("x"))
     pairs = pairs.select("symbol", "i", "way", "start_date", F.col("x.idx").alias("j"), F.col("x.date").alias("end_date"), F.col("x.close").alias("end_close"))
-    ranges = near_bars(pairs, bars.select("symbol", "idx", "high", "low"), "i", F.col("i"), F.col("j") - 1).groupBy("symbol", "i", "j", "way", "start_date", "end_date", "end_close").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+    ranges = near_bars(pairs, bars.select("symbol", "idx", "high", "low"), "i", F.col("i"), F.col("j") - 1, SHORT_CELL).groupBy("symbol", "i", "j", "way", "start_date", "end_date", "end_close").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
     ranges = ranges.withColumn("size", (F.col("top") - F.col("bottom")) / ((F.col("top") + F.col("bottom")) / 2) * 100).filter((F.col("top") > F.col("bottom")) & _between(F.col("size"), *height))
     first = ranges if first_only else ranges.withColumn("r", F.row_number().over(Window.partitionBy("symbol", "i").orderBy("j"))).filter("r = 1")
     order = Window.partitionBy("symbol").orderBy("i")

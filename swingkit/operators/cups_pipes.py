@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swingkit.operators.derived import degrees, mirrored, with_pivot_prices
+from swingkit.operators.derived import axes, degrees, mirrored, with_pivot_prices
 from swingkit.operators.pivots import thin
-from swingkit.operators.sequences import DETECTION, near_bars, prior_trend
+from swingkit.operators.sequences import DETECTION, SHORT_CELL, near_bars, prior_trend
 from swingkit.sources.sinks import stored
 
 # Bars of a handle, of the breakout search after a pipe, and of a pipe's legs; the widest difference of rims (%).
@@ -86,15 +86,19 @@ def confirmed_breakout(found: DataFrame, bars: DataFrame, key: str, search: int,
     return found.join(hits, ["symbol", key])
 
 
-def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) -> DataFrame:
-    """Cups under the ``rims`` (symbol, idx, price), one row a pair of rims, with the detection columns and ``breakout_price`` of ``bars``."""
+def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int, dates: DataFrame | None = None) -> DataFrame:
+    """Cups under the ``rims`` (symbol, idx, price), one row a pair of rims, with the detection columns and ``breakout_price`` of ``bars``.
+
+    ``dates`` has the same bars for what asks for no price, where prices have to be worked out.
+    """
+    dates = bars if dates is None else dates
     by_rim = Window.partitionBy("symbol").orderBy("idx")
     rims = rims.select("symbol", "idx", "price", F.lead("idx").over(by_rim).alias("next_idx"))
-    legs = near_bars(rims.filter("next_idx is not null").withColumnRenamed("idx", "at"), bars.select("symbol", "idx", "low"), "at", F.col("at"), F.col("next_idx"))
+    legs = near_bars(rims.filter("next_idx is not null").withColumnRenamed("idx", "at"), bars.select("symbol", "idx", "low"), "at", F.col("at"), F.col("next_idx"), SHORT_CELL)
     legs = legs.groupBy("symbol", F.col("at").alias("idx")).agg(F.min(F.struct("low", "idx")).alias("leg"))
     most = cup.width[1] // spacing + 1  # rims are at least so far apart
     ahead = F.collect_list(F.struct("idx", "price", "leg")).over(by_rim.rowsBetween(0, most))
-    last = bars.groupBy("symbol").agg(F.max("idx").alias("last_idx"))
+    last = dates.groupBy("symbol").agg(F.max("idx").alias("last_idx"))
     left = rims.join(legs, ["symbol", "idx"], "left").select("symbol", F.col("idx").alias("start_idx"), F.col("price").alias("p0"), ahead.alias("ahead")).join(last, "symbol")
     left = prior_trend(left.filter(F.col("start_idx") + cup.width[0] - 1 <= F.col("last_idx")).withColumns(_asked(cup.trend)), bars)
     pairs = left.select("*", F.posexplode("ahead").alias("step", "right")).filter("step > 0")
@@ -105,7 +109,7 @@ def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) ->
         F.col("width").between(*cup.width) & (F.col("rim_gap") <= max(cup.tolerance, RIMS_APART)) & (F.col("bottom.low") > 0) & (F.col("rim") > 0)
         & F.col("depth").between(*cup.depth) & (F.col("right_idx") + 1 + HANDLE_MIN <= F.col("last_idx"))
     ).withColumn("pair_id", F.concat_ws("_", "symbol", "start_idx", "right_idx"))
-    handles = near_bars(pairs.drop("width", "trend", "trend_bars", "trend_pct", "prior_dir"), bars.select("symbol", "idx", F.col("low").alias("h_low"), F.col("high").alias("h_high"), F.col("date").alias("h_date")), "pair_id", F.col("right_idx") + 1, F.col("right_idx") + HANDLE_MAX)
+    handles = near_bars(pairs.drop("width", "trend", "trend_bars", "trend_pct", "prior_dir"), bars.select("symbol", "idx", F.col("low").alias("h_low"), F.col("high").alias("h_high"), F.col("date").alias("h_date")), "pair_id", F.col("right_idx") + 1, F.col("right_idx") + HANDLE_MAX, SHORT_CELL)
     so_far = Window.partitionBy("symbol", "pair_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     handles = handles.withColumns({"low_bar": F.min(F.struct(F.col("h_low").alias("low"), "idx")).over(so_far), "level": F.max("h_high").over(so_far), "end_idx": F.col("idx")}).drop("idx")
     decline, place = (F.col("rim") - F.col("low_bar.low")) / F.col("rim") * 100, (F.col("low_bar.low") - F.col("bottom.low")) / (F.col("rim") - F.col("bottom.low")) * 100
@@ -116,7 +120,7 @@ def _cups(bars: DataFrame, rims: DataFrame, key: str, cup: Cup, spacing: int) ->
     broken = confirmed_breakout(handles, bars, "handle_id", cup.search, cup.breakout)
     rows = [c for c in broken.columns if c not in ("symbol", "pair_id")]
     first = broken.groupBy("symbol", "pair_id").agg(F.min_by(F.struct(*rows), "end_idx").alias("x")).select("symbol", "x.*")
-    starts = bars.select("symbol", F.col("idx").alias("start_idx"), F.col("date").alias("start_date"))
+    starts = dates.select("symbol", F.col("idx").alias("start_idx"), F.col("date").alias("start_date"))
     score = F.lit(70) + F.when(F.col("rim_gap") <= cup.tolerance, 10).when(F.col("rim_gap") <= 5, 5).otherwise(0) + F.when(F.col("hit.volume_ok"), 10).otherwise(0)
     values = {
         "pattern_id": F.concat_ws("_", "symbol", F.lit(key), "start_idx", "end_idx"), "symbol": F.col("symbol"), "pattern_name": F.lit(key), "pattern_type": F.lit(cup.kind),
@@ -138,9 +142,9 @@ def cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(), key: str
 
 def inverted_cups_with_handle(bars: DataFrame, raw: DataFrame, cup: Cup = Cup(), key: str = "cup_with_handle_inverted", spacing: int = 10, thinned: DataFrame | None = None) -> DataFrame:
     """Cups in the mirrored bars; all percentages are of mirrored prices, the prices of the result are those of ``bars``."""
-    axis = bars.groupBy("symbol").agg((F.max("high") + F.min("low")).alias("axis"))
-    rims = (thin(raw, spacing) if thinned is None else thinned).filter("ptype = 'L'").join(axis, "symbol").withColumn("price", F.col("axis") - F.col("price"))
-    found = with_pivot_prices(stored(_cups(mirrored(bars), rims, key, cup, spacing)), bars, 5)
+    axis = stored(axes(bars))  # asked for with every use of the mirrored bars
+    rims = (thin(raw, spacing) if thinned is None else thinned).filter("ptype = 'L'").join(axis, "symbol").withColumn("price", F.col("_axis") - F.col("price")).drop("_axis")
+    found = with_pivot_prices(stored(_cups(mirrored(bars, axis), rims, key, cup, spacing, bars)), bars, 5)
     found = found.drop("breakout_price").join(bars.select("symbol", F.col("idx").alias("breakout_idx"), F.col("close").alias("breakout_price")), ["symbol", "breakout_idx"])
     rim, depth = (F.col("l0") + F.col("l2")) / 2, F.col("h1") - (F.col("l0") + F.col("l2")) / 2
     found = found.filter((F.col("l0") > 0) & (F.col("l2") > 0) & (rim > 0) & (depth > 0) & (F.col("breakout_price") > 0))
@@ -171,10 +175,10 @@ def pipes(bars: DataFrame, raw: DataFrame, pipe: Pipe, bottom: bool = True, key:
     apart = max(1, pipe.separation[0], pipe.width[0] - 1), min(pipe.separation[1], pipe.width[1] - 1)
     first = prior_trend(points.select("symbol", F.col("idx").alias("start_idx"), F.col("price").alias("p0"), F.col("date").alias("start_date")).withColumns(_asked(pipe.trend)), bars).drop("trend", "trend_bars", "trend_pct", "prior_dir")
     second = points.select("symbol", "idx", F.col("price").alias("p1"), F.col("date").alias("end_date"))
-    pairs = near_bars(first, second, "start_idx", F.col("start_idx") + apart[0], F.col("start_idx") + apart[1]).withColumnRenamed("idx", "end_idx")
+    pairs = near_bars(first, second, "start_idx", F.col("start_idx") + apart[0], F.col("start_idx") + apart[1], SHORT_CELL).withColumnRenamed("idx", "end_idx")
     pairs = pairs.filter((F.col("p1") / F.col("p0")).between(*pipe.ratio)).withColumn("pair_id", F.concat_ws("_", "symbol", "start_idx", "end_idx"))
     pairs = stored(pairs)
-    inside = near_bars(pairs.select("pair_id", "symbol", "start_idx", "end_idx"), bars.select("symbol", "idx", far), "pair_id", F.col("start_idx"), F.col("end_idx"))
+    inside = near_bars(pairs.select("pair_id", "symbol", "start_idx", "end_idx"), bars.select("symbol", "idx", far), "pair_id", F.col("start_idx"), F.col("end_idx"), SHORT_CELL)
     between = inside.groupBy("symbol", "pair_id").agg(extreme(side).alias("between"))
     found = pairs.join(between, ["symbol", "pair_id"]).withColumns({"level": F.col(f"between.{far}"), "ends": (F.col("p0") + F.col("p1")) / 2})
     size = F.col("level") - F.col("ends") if bottom else F.col("ends") - F.col("level")

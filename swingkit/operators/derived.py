@@ -148,8 +148,12 @@ def long_islands(base: DataFrame) -> DataFrame:
     return derive_all(base, [("islands_long", F.col("pattern_width_bars") > 10, None), ("island_reversals", F.col("pattern_width_bars") <= 10, None)])
 
 
-def mirrored(bars: DataFrame) -> DataFrame:
-    """Bars with prices reflected in each symbol's highest high plus lowest low, so tops become bottoms."""
-    sums = bars.groupBy("symbol").agg((F.max("high") + F.min("low")).alias("_axis"))
-    out = bars.join(sums, "symbol")
+def axes(bars: DataFrame) -> DataFrame:
+    """symbol and ``_axis``, its highest high plus lowest low."""
+    return bars.groupBy("symbol").agg((F.max("high") + F.min("low")).alias("_axis"))
+
+
+def mirrored(bars: DataFrame, axis: DataFrame | None = None) -> DataFrame:
+    """Bars with prices reflected in each symbol's highest high plus lowest low, so tops become bottoms; ``axis`` as of :func:`axes`, if it is there already."""
+    out = bars.join(axes(bars) if axis is None else axis, "symbol")
     return out.withColumns({"open": F.col("_axis") - F.col("open"), "close": F.col("_axis") - F.col("close"), "high": F.col("_axis") - F.col("low"), "low": F.col("_axis") - F.col("high")}).drop("_axis")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from swingkit.operators.pivots import numbered, thin, thin_all
 from swingkit.sources.sinks import stored
 
-#: Bars of one cell of the breakout search; a search of n bars covers n // CELL + 2 cells at most.
-CELL = 64
+#: Bars of one cell of the breakout search; a search of n bars covers n // CELL + 2 cells at most and meets all bars of these.
+CELL = 32
+#: The same where few bars are searched.
+SHORT_CELL = 8
 
 DETECTION = [
     "pattern_id", "symbol", "pattern_name", "pattern_type", "formation_start", "formation_end", "breakout_date", "breakout_idx", "breakout_direction", "breakout_price",
@@ -117,11 +119,11 @@ def boundary(ptype: str) -> Column:
     return F.struct(first["idx"].alias("idx0"), first["price"].alias("price0"), slope.alias("slope"))
 
 
-def near_bars(matches: DataFrame, bars: DataFrame, key: str, first: Column, last: Column) -> DataFrame:
-    """Every match with the bars of its symbol whose idx is from ``first`` to ``last``; joined by cells of CELL bars."""
+def near_bars(matches: DataFrame, bars: DataFrame, key: str, first: Column, last: Column, cell: int = CELL) -> DataFrame:
+    """Every match with the bars of its symbol whose idx is from ``first`` to ``last``; joined by cells of ``cell`` bars, best about half as many as are searched."""
     m = matches.withColumns({"_first": first, "_last": last}).filter("_last >= _first")
-    m = m.withColumn("_cell", F.explode(F.expr(f"sequence(_first div {CELL}, _last div {CELL})")))
-    b = bars.withColumn("_cell", F.expr(f"cast(idx as bigint) div {CELL}"))
+    m = m.withColumn("_cell", F.explode(F.expr(f"sequence(_first div {cell}, _last div {cell})")))
+    b = bars.withColumn("_cell", F.expr(f"cast(idx as bigint) div {cell}"))
     return m.join(b, ["symbol", "_cell"]).filter("idx between _first and _last").drop("_first", "_last", "_cell")
 
 

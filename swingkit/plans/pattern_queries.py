@@ -34,17 +34,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _kinds(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
     """How each kind of detector finds its detections."""
-    bars, raw, thinned = bars_of(spark, sf_dir), pivots_of(spark, sf_dir), thinned_of(spark, sf_dir)
-    tens = thinned.filter("spacing = 10").drop("spacing")
+    bars, raw, thinned = bars_of(spark, sf_dir), lambda: pivots_of(spark, sf_dir), lambda: thinned_of(spark, sf_dir)
+    tens = lambda: thinned().filter("spacing = 10").drop("spacing")
     local = (barlocal.inside_days, barlocal.gaps, barlocal.islands, barlocal.three_methods, barlocal.spikes, barlocal.dead_cat_bounces, barlocal.inverted_dead_cats)
     built_in = (sequences.detect_head_and_shoulders, sequences.detect_double_tops)
     marked = lambda df: df.withColumns({c: F.concat(c, F.lit("_built_in")) for c in ("pattern_id", "pattern_name")})
     return {
-        "specs": lambda: sequences.detect_sequences(bars, raw, specs.pattern_spec(spark), thinned),
+        "specs": lambda: sequences.detect_sequences(bars, raw(), specs.pattern_spec(spark), thinned()),
         "bar local": lambda: _union([detect(bars) for detect in local]),
-        "built in": lambda: _union([marked(detect(bars, raw, thinned=tens)) for detect in built_in]),
-        "cups": lambda: cups_pipes.cups_with_handle(bars, raw, CUP, thinned=tens).unionByName(cups_pipes.inverted_cups_with_handle(bars, raw, CUP, thinned=tens)),
-        "pipes": lambda: cups_pipes.pipes(bars, raw, PIPE).unionByName(cups_pipes.pipes(bars, raw, PIPE, bottom=False)),
+        "built in": lambda: _union([marked(detect(bars, raw(), thinned=tens())) for detect in built_in]),
+        "cups": lambda: cups_pipes.cups_with_handle(bars, raw(), CUP, thinned=tens()).unionByName(cups_pipes.inverted_cups_with_handle(bars, raw(), CUP, thinned=tens())),
+        "pipes": lambda: cups_pipes.pipes(bars, raw(), PIPE).unionByName(cups_pipes.pipes(bars, raw(), PIPE, bottom=False)),
     }
 
 
@@ -59,9 +59,13 @@ def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     The two built-in detectors are marked, as specs have their names. Every kind of detector writes a table of its own.
     """
     kinds = _kinds(spark, sf_dir)
+    find = lambda kind: kept(spark, sf_dir, f"found {kind}", kinds[kind])
     # Most of a kind's time is planning, and none has stages for a whole cluster all the time, so their jobs run side by side.
     with ThreadPoolExecutor(len(kinds)) as pool:
-        return _union(list(pool.map(lambda kind: kept(spark, sf_dir, f"found {kind}", kinds[kind]), kinds)))
+        early = pool.submit(find, "bar local")  # needs no pivots, so it runs beside their thinning
+        thinned_of(spark, sf_dir)
+        found = {kind: pool.submit(find, kind) for kind in kinds if kind != "bar local"} | {"bar local": early}
+        return _union([found[kind].result() for kind in kinds])
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
