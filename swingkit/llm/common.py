@@ -46,10 +46,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared folder, and the table's path; AQE merges its small partitions before they are written."""
+def kept(df: DataFrame, name: str, merged: bool = True) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and the table's path; if ``merged``, AQE merges its small partitions, by a shuffle, before they are written."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.hint("rebalance").write.parquet(path)
+    (df.hint("rebalance") if merged else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
